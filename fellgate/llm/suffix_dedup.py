@@ -57,3 +57,31 @@ def digest(result: DataFrame) -> DataFrame:
     return result.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+
+
+def cut_texts(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
+    """docs, columns as they came, with the repeated bytes cut out of text (and halves of characters with them); null stays null."""
+    scratch = Scratch(docs.sparkSession)
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")))
+    source = texts(docs).select(F.xxhash64("doc_id", "text").alias("id"), F.col("text").cast("binary").alias("data"))
+    runs = repeated_windows(source, lengths(min_bytes), False, False, scratch)
+    lists = runs.groupBy("id").agg(F.collect_list(F.struct("first", "n")).alias("__s_runs")).withColumnRenamed("id", "__s_id")
+    joined = docs.withColumn("__s_key", key).join(lists, F.col("__s_key") == F.col("__s_id"), "left")
+    at = docs.columns.index("text")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, runs in zip(batch.column(at), batch.column("__s_runs").to_pylist()):
+                text = text.as_py()
+                if runs:
+                    data, done, kept = text.encode(), 0, []
+                    for a, b in union(runs, min_bytes):
+                        kept.append(data[done:a])
+                        done = b
+                    text = b"".join([*kept, data[done:]]).decode("utf-8", "ignore")
+                out.append(text)
+            columns = [pa.array(out, pa.string()) if i == at else batch.column(i) for i in range(len(docs.columns))]
+            yield pa.RecordBatch.from_arrays(columns, names=docs.columns)
+
+    return joined.select(*docs.columns, "__s_runs").mapInArrow(cut, docs.schema)
