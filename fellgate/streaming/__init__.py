@@ -1,0 +1 @@
+"""The statement language has no streams: nothing here yet."""
