@@ -67,7 +67,8 @@ def cut_texts(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     runs = repeated_windows(source, lengths(min_bytes), False, False, scratch)
     lists = runs.groupBy("id").agg(F.collect_list(F.struct("first", "n")).alias("__s_runs")).withColumnRenamed("id", "__s_id")
     joined = docs.withColumn("__s_key", key).join(lists, F.col("__s_key") == F.col("__s_id"), "left")
-    at = docs.columns.index("text")
+    names = docs.columns
+    at = names.index("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,7 +82,7 @@ def cut_texts(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
                         done = b
                     text = b"".join([*kept, data[done:]]).decode("utf-8", "ignore")
                 out.append(text)
-            columns = [pa.array(out, pa.string()) if i == at else batch.column(i) for i in range(len(docs.columns))]
-            yield pa.RecordBatch.from_arrays(columns, names=docs.columns)
+            columns = [pa.array(out, pa.string()) if i == at else batch.column(i) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return joined.select(*docs.columns, "__s_runs").mapInArrow(cut, docs.schema)
+    return joined.select(*names, "__s_runs").mapInArrow(cut, docs.schema)
