@@ -17,7 +17,9 @@ is large.
   more bits than a pair within the radius may are cut off by the triangle
   inequality, and so are sizes apart.  Regions of more than BLOCK documents are
   joined block by block, in order of size, only blocks whose sizes may meet.
-* What is left is decided by the sets themselves.
+* What is left is decided by the sets themselves: first one partner of each document in
+  each region, which connects dense groups by stars, then all pairs that are not
+  connected by then.  Pairs within a component would not change the result.
 
 Equal sets are one class from the start, and classes are joined, not documents.
 Links make components by alternating stars (large and small), in as many rounds
@@ -33,15 +35,17 @@ hash and byte length, sets by a 64-bit hash.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fellgate.llm.hashing import mix
 from fellgate.llm.scratch import Scratch
-from fellgate.llm.words import hash_words, texts
+from fellgate.llm.words import texts
 
 N, NUMERATOR, DENOMINATOR = 3, 9, 10
 #: A pivot found in more regions' worth of rows than COMMON, and than a share of all rows so that there are at most MOST of them.
@@ -51,20 +55,54 @@ SKETCH = 512
 _LOW = np.uint64((1 << 56) - 1)
 
 
-def shingle_set(data: bytes, n: int) -> np.ndarray:
-    """Distinct shingles of a text as sorted numbers: the longest come first."""
-    words = data.lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    n = min(n, len(words))
-    hashes = hash_words(words)
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    m = len(words) - n + 1
-    key, size = mix(hashes[:m]), sizes[:m].copy()
-    for k in range(1, n):
-        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + m])
-        size += sizes[k : k + m]
-    return np.unique(((255 - np.minimum(size, 255)).astype(np.uint64) << np.uint64(56)) | (key & _LOW))
+class _Codes(dict):
+    """Word to its length (high byte) and 56-bit hash; forgets all when full."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 1 << 20:
+            self.clear()
+        code = self[word] = min(len(word), 255) << 56 | xxhash.xxh3_64_intdigest(word) >> 8
+        return code
+
+
+_CODES = _Codes()
+#: Words of texts that are hashed at once.
+TOGETHER = 1 << 17
+
+
+def _together(words: list[list[bytes]], n: int) -> Iterator[np.ndarray]:
+    counts = np.fromiter(map(len, words), np.int64, len(words))
+    total = int(counts.sum())
+    codes = np.fromiter(map(_CODES.__getitem__, chain.from_iterable(words)), np.uint64, total)
+    sizes, hashes = codes >> np.uint64(56), codes & _LOW
+    key, size = mix(hashes), sizes.copy()
+    for k in range(1, n):  # what runs over the end of a text is not used
+        key[: total - k] = mix(key[: total - k] * np.uint64(0x9E3779B97F4A7C15) + hashes[k:])
+        size[: total - k] += sizes[k:]
+    tokens = ((np.uint64(255) - np.minimum(size, np.uint64(255))) << np.uint64(56)) | (key & _LOW)
+    at = 0
+    for own_words, count in zip(words, counts.tolist()):
+        if count >= n:
+            own = np.sort(tokens[at : at + count - n + 1])
+            yield own[np.concatenate([[True], own[1:] != own[:-1]])]
+        elif count:  # the whole text is one shingle
+            yield from _together([own_words], count)
+        else:
+            yield np.zeros(0, np.uint64)
+        at += count
+
+
+def shingle_sets(texts_: Iterator[bytes], n: int) -> Iterator[np.ndarray]:
+    """Distinct shingles of each text as sorted numbers: the longest come first."""
+    words: list[list[bytes]] = []
+    size = 0
+    for data in texts_:
+        words.append(data.lower().split())
+        size += len(words[-1])
+        if size >= TOGETHER:
+            yield from _together(words, n)
+            words, size = [], 0
+    yield from _together(words, n)
 
 
 def _name(tokens: np.ndarray) -> int:
@@ -77,33 +115,52 @@ def _rows(data: pa.Array) -> Iterator[bytes]:
     return (x.as_py() for x in data)
 
 
-def _classes(source: DataFrame, n: int) -> DataFrame:
-    """doc_id, id, n_shingles, fp of every document."""
+def _reach(size: int, num: int, den: int) -> int:
+    """How many of its nearest pivots a set is copied to."""
+    return size + num * size // -den + 1
+
+
+def _classes(source: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """doc_id, id, n_shingles, fp and the nearest pivots of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(x, n) for x in _rows(batch.column("data"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_name(s) for s in sets], pa.int64())], names=["doc_id", "id", "n_shingles", "fp"])
+            sizes, names, heads = [], [], []
+            for s in shingle_sets(_rows(batch.column("data")), n):
+                sizes.append(len(s))
+                names.append(_name(s))
+                heads.append(s[: _reach(len(s), num, den)].tobytes() if len(s) else b"")
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("id"), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(heads, pa.binary())], names=["doc_id", "id", "n_shingles", "fp", "head"])
 
-    return source.select("doc_id", "id", "data").mapInArrow(run, "doc_id long, id long, n_shingles long, fp long")
+    return source.select("doc_id", "id", "data").mapInArrow(run, "doc_id long, id long, n_shingles long, fp long, head binary")
 
 
-def _regions(source: DataFrame, n: int, num: int, den: int, common=None) -> DataFrame:
-    """pivot, fp: the regions that each set is copied into."""
+def _head_pivots(known: DataFrame) -> DataFrame:
+    """pivot, n: how often each pivot stands in the heads, counted within batches first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        late = common.value if common is not None else np.zeros(0, np.uint64)
+        for batch in batches:
+            pivots, counts = np.unique(np.frombuffer(b"".join(_rows(batch.column("head"))), np.uint64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(pivots.view(np.int64)), pa.array(counts.astype(np.int64))], names=["pivot", "n"])
+
+    return known.select("head").mapInArrow(run, "pivot long, n long")
+
+
+def _regions(source: DataFrame, n: int, num: int, den: int, common) -> DataFrame:
+    """pivot, fp: the regions that each set is copied into; common pivots come last in the order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        late = common.value
         for batch in batches:
             pivots, names, size = [], [], 0
-            for data in _rows(batch.column("data")):
-                s = shingle_set(data, n)
+            for s in shingle_sets(_rows(batch.column("data")), n):
                 if not len(s):
                     continue
-                name, reach = _name(s), len(s) + num * len(s) // -den + 1
+                name, reach = _name(s), _reach(len(s), num, den)
                 if len(late):
-                    at = np.minimum(np.searchsorted(late, s), len(late) - 1)
-                    is_late = late[at] == s
-                    s = np.concatenate([s[~is_late], s[is_late]])
+                    is_late = late[np.minimum(np.searchsorted(late, s), len(late) - 1)] == s
+                    if is_late.any():
+                        s = np.concatenate([s[~is_late], s[is_late]])
                 pivots.append(s[:reach].view(np.int64))
                 names.append(np.full(reach, name, np.int64))
                 size += reach
@@ -129,7 +186,7 @@ def _sets(source: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
-                sets = [shingle_set(x, n) for x in _rows(part.column("data"))]
+                sets = list(shingle_sets(_rows(part.column("data")), n))
                 yield pa.RecordBatch.from_arrays([part.column("fp"), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["fp", "n", "sketch", "tokens"])
 
     return source.select("id", "data").join(wanted, "id").dropDuplicates(["fp"]).select("fp", "data").mapInArrow(run, "fp long, n long, sketch binary, tokens binary")
@@ -140,35 +197,38 @@ def _apart(na: np.ndarray, nb: np.ndarray, num: int, den: int) -> np.ndarray:
     return (den - num) * (na + nb) // (den + num)
 
 
-def _candidates(members: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b), a < b, of each (pivot, part): side 0 against sides 0 and 1."""
+def _candidates(members: DataFrame, num: int, den: int, first: bool) -> DataFrame:
+    """Pairs (a, b), a < b, of each (pivot, part): side 0 against sides 0 and 1, both of different components.
+
+    first: for each set only its partner of least name, so that dense groups give a star and not all their pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for own in batch.column("own"):
                 rows = own.values
-                fp, size, side = (rows.field(c).to_numpy(zero_copy_only=False) for c in ("fp", "n", "side"))
+                fp, size, side, group = (rows.field(c).to_numpy(zero_copy_only=False) for c in ("fp", "n", "side", "c"))
                 bits = np.frombuffer(b"".join(rows.field("sketch").to_pylist()), np.uint64).reshape(len(fp), -1)
-                first = np.flatnonzero(side == 0)
-                for i in first:
-                    others = np.flatnonzero((side == 1) | (fp > fp[i]))
+                for i in np.flatnonzero(side == 0):
+                    others = np.flatnonzero(((side == 1) | (fp > fp[i]) | first) & (group != group[i]))
                     others = others[(den * size[others] >= num * size[i]) & (num * size[others] <= den * size[i])]
                     if len(others):
                         differ = np.bitwise_count(bits[others] ^ bits[i]).sum(axis=1)
                         others = others[differ <= _apart(size[others], size[i], num, den)]
+                        if first and len(others):
+                            others = others[[np.argmin(fp[others])]]
                         out_a.append(np.minimum(fp[others], fp[i]))
                         out_b.append(np.maximum(fp[others], fp[i]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_a, out_b)], names=["a", "b"])
 
-    lists = members.groupBy("pivot", "part").agg(F.collect_list(F.struct("fp", "n", "sketch", "side")).alias("own")).where("size(own) > 1")
+    lists = members.groupBy("pivot", "part").agg(F.collect_list(F.struct("fp", "n", "sketch", "side", "c")).alias("own")).where("size(own) > 1")
     return lists.select("own").mapInArrow(run, "a long, b long").where("a <> b").distinct()
 
 
 def _dealt(rows: DataFrame, scratch: Scratch, num: int, den: int) -> DataFrame:
     """Members of regions (pivot, fp, n, sketch) dealt into parts of two blocks at most, in order of size."""
     sizes = scratch.keep(rows.groupBy("pivot").agg(F.count("*").alias("g")).where("g > 1"))
-    small = rows.join(sizes.where(F.col("g") <= BLOCK).select("pivot"), "pivot").select("pivot", F.lit("").alias("part"), "fp", "n", "sketch", F.lit(0).alias("side"))
+    small = rows.join(sizes.where(F.col("g") <= BLOCK).select("pivot"), "pivot").select("pivot", F.lit("").alias("part"), "fp", "n", "sketch", "c", F.lit(0).alias("side"))
     # large regions: blocks of sizes, cut where the counts of the sizes add up, and by hash within one size
     large = rows.join(sizes.where(F.col("g") > BLOCK).select("pivot"), "pivot")
     by_size = large.groupBy("pivot", "n").agg(F.count("*").alias("c"))
@@ -176,29 +236,30 @@ def _dealt(rows: DataFrame, scratch: Scratch, num: int, den: int) -> DataFrame:
     blocks = scratch.keep(cut)
     own = large.join(blocks, ["pivot", "n"]).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     # a block (n, block) is the home of its rows; rows of sizes n' <= n within reach, and earlier blocks of n, visit it
-    home = own.select("pivot", F.concat_ws(":", "n", "block").alias("part"), "fp", "n", "sketch", F.lit(0).alias("side"))
+    home = own.select("pivot", F.concat_ws(":", "n", "block").alias("part"), "fp", "n", "sketch", "c", F.lit(0).alias("side"))
     near = blocks.select("pivot", F.col("n").alias("to_n"), F.col("blocks").alias("to_blocks"))
     visit = own.join(near, "pivot").where((F.col("to_n") >= F.col("n")) & (F.col("to_n") * num <= F.col("n") * den))
     visit = visit.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("to_blocks") - 1))).where("to_n > n OR to > block")
-    visit = visit.select("pivot", F.concat_ws(":", "to_n", "to").alias("part"), "fp", "n", "sketch", F.lit(1).alias("side"))
+    visit = visit.select("pivot", F.concat_ws(":", "to_n", "to").alias("part"), "fp", "n", "sketch", "c", F.lit(1).alias("side"))
     return small.unionByName(home).unionByName(visit)
 
 
 def links(source: DataFrame, known: DataFrame, scratch: Scratch, n: int, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of names of different sets that are linked. source: id, data; known: what _classes gave."""
+    """Pairs (a, b) of names of different sets that are linked, as many as it takes to connect all that are.
+
+    source: id, data; known: what _classes gave.  Links are sought twice: first of each set with one partner in
+    each region, then between sets that are not connected by then, in full."""
     spark = source.sparkSession
-    counts = scratch.keep(_regions(source, n, num, den).groupBy("pivot").agg(F.count("*").alias("c")))
-    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    late = counts.where(F.col("c") > max(COMMON, total // MOST)).select("pivot").toPandas()["pivot"].to_numpy()  # MOST rows at most
-    common = spark.sparkContext.broadcast(np.sort(late.view(np.uint64)))
-    rows = _regions(source, n, num, den, common)
-    shared = scratch.keep(rows.groupBy("pivot").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo < hi").select("pivot"))
-    rows = scratch.keep(rows.join(shared, "pivot").distinct())
-    scratch.drop(counts, shared)
+    counts = scratch.keep(_head_pivots(known).groupBy("pivot").agg(F.sum("n").alias("n")).where(F.col("n") > COMMON))
+    total = known.agg(F.coalesce(F.sum(F.length("head")), F.lit(0))).first()[0] // 8
+    late = counts.where(F.col("n") > total // MOST).toPandas()["pivot"].to_numpy()  # MOST rows at most
+    common = spark.sparkContext.broadcast(np.sort(late.astype(np.int64).view(np.uint64)))
+    regions = scratch.keep(_regions(source, n, num, den, common))
+    shared = scratch.keep(regions.groupBy("pivot").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo < hi").select("pivot"))
+    rows = scratch.keep(regions.join(shared, "pivot").distinct())
+    scratch.drop(counts, shared, regions)
     wanted = rows.select("fp").distinct().join(known.groupBy("fp").agg(F.min("id").alias("id")), "fp")
     sets = scratch.keep(_sets(source, wanted, n))
-    rows = rows.join(sets.select("fp", "n", "sketch"), "fp")
-    pairs = scratch.keep(_candidates(_dealt(rows, scratch, num, den), num, den))
     left = sets.select(F.col("fp").alias("a"), F.col("tokens").alias("left"))
     right = sets.select(F.col("fp").alias("b"), F.col("tokens").alias("right"))
 
@@ -211,7 +272,18 @@ def links(source: DataFrame, known: DataFrame, scratch: Scratch, n: int, num: in
                 keep.append(den * both >= num * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return scratch.keep(pairs.join(left, "a").join(right, "b").mapInArrow(verify, "a long, b long"))
+    def linked(pairs: DataFrame) -> DataFrame:
+        return scratch.keep(pairs.join(left, "a").join(right, "b").mapInArrow(verify, "a long, b long"))
+
+    rows = rows.join(sets.select("fp", "n", "sketch"), "fp")
+    dealt = scratch.keep(_dealt(rows.withColumn("c", F.col("fp")), scratch, num, den))
+    pairs = scratch.keep(_candidates(dealt, num, den, True))
+    star = linked(pairs)
+    scratch.drop(pairs)
+    group = components(star, scratch).select(F.col("node").alias("fp"), F.col("component").alias("g"))
+    dealt = dealt.join(group, "fp", "left").withColumn("c", F.coalesce("g", "c")).drop("g")
+    pairs = scratch.keep(_candidates(dealt, num, den, False))
+    return star.unionByName(linked(pairs))
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -242,7 +314,7 @@ def groups(docs: DataFrame, n: int = N, num: int = NUMERATOR, den: int = DENOMIN
     """doc_id, n_shingles, component_id, class_id (least doc_id with an equal set)."""
     scratch = Scratch(docs.sparkSession)
     source = texts(docs).select("doc_id", F.xxhash64("doc_id", "text").alias("id"), F.col("text").cast("binary").alias("data"))
-    known = scratch.keep(_classes(source, n))
+    known = scratch.keep(_classes(source, n, num, den))
     takes_part = known.where("doc_id IS NOT NULL AND n_shingles > 0")
     pairs = links(source.where("doc_id IS NOT NULL"), takes_part, scratch, n, num, den)
     least = scratch.keep(takes_part.groupBy("fp").agg(F.min("doc_id").alias("class_id")))
@@ -250,7 +322,7 @@ def groups(docs: DataFrame, n: int = N, num: int = NUMERATOR, den: int = DENOMIN
     edges = pairs.join(a, "a").join(b, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     found = components(edges, scratch)
     least = scratch.keep(least.join(found.select(F.col("node").alias("class_id"), "component"), "class_id", "left"))
-    out = known.withColumn("fp", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("fp"))).join(least, "fp", "left")
+    out = known.drop("head").withColumn("fp", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("fp"))).join(least, "fp", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "class_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
