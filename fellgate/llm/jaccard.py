@@ -209,16 +209,24 @@ def _candidates(members: DataFrame, num: int, den: int, first: bool) -> DataFram
                 rows = own.values
                 fp, size, side, group = (rows.field(c).to_numpy(zero_copy_only=False) for c in ("fp", "n", "side", "c"))
                 bits = np.frombuffer(b"".join(rows.field("sketch").to_pylist()), np.uint64).reshape(len(fp), -1)
-                for i in np.flatnonzero(side == 0):
-                    others = np.flatnonzero(((side == 1) | (fp > fp[i]) | first) & (group != group[i]))
-                    others = others[(den * size[others] >= num * size[i]) & (num * size[others] <= den * size[i])]
-                    if len(others):
-                        differ = np.bitwise_count(bits[others] ^ bits[i]).sum(axis=1)
-                        others = others[differ <= _apart(size[others], size[i], num, den)]
-                        if first and len(others):
-                            others = others[[np.argmin(fp[others])]]
-                        out_a.append(np.minimum(fp[others], fp[i]))
-                        out_b.append(np.maximum(fp[others], fp[i]))
+                home = np.flatnonzero(side == 0)
+                for lo in range(0, len(home), 64):
+                    some = home[lo : lo + 64, None]
+                    meet = (group[some] != group) & ((side == 1) | (fp[some] < fp) | first)
+                    meet &= (den * size >= num * size[some]) & (num * size <= den * size[some])
+                    x, y = np.nonzero(meet)
+                    if not len(x):
+                        continue
+                    x = some[x, 0]
+                    near = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1) <= _apart(size[x], size[y], num, den)
+                    x, y = x[near], y[near]
+                    if first:
+                        order = np.lexsort((fp[y], x))
+                        x, y = x[order], y[order]
+                        new = np.flatnonzero(np.diff(x, prepend=-1))
+                        x, y = x[new], y[new]
+                    out_a.append(np.minimum(fp[x], fp[y]))
+                    out_b.append(np.maximum(fp[x], fp[y]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_a, out_b)], names=["a", "b"])
 
     lists = members.groupBy("pivot", "part").agg(F.collect_list(F.struct("fp", "n", "sketch", "side", "c")).alias("own")).where("size(own) > 1")
