@@ -32,12 +32,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from fellgate.llm.bpe import byte_alphabet
 from fellgate.llm.scratch import Scratch
 from fellgate.llm.words import texts
 
 CAPACITY = 2048
 # Fixed value: how the word vocabulary cuts a text; white space falls away.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_ALPHABET = dict(enumerate(byte_alphabet()))
 
 
 class _Ids(dict):
@@ -45,12 +47,13 @@ class _Ids(dict):
 
     def __init__(self, tokenizer: Tokenizer, most: int = 1 << 20) -> None:
         super().__init__()
-        self._tokenizer, self._most = tokenizer, most
+        self._model, self._most = tokenizer.model, most  # a pretoken needs no more of the tokenizer than its model
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= self._most:
             self.clear()
-        ids = self[piece] = np.array(self._tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+        symbols = piece.encode().decode("latin-1").translate(_ALPHABET)
+        ids = self[piece] = np.array([t.id for t in self._model.tokenize(symbols)], "<u4").tobytes()
         return ids
 
 
