@@ -6,6 +6,8 @@ suppliers, nations and regions: relations, two levels deep.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,16 +27,44 @@ def _tags(**values: Column) -> Column:
     return F.create_map(*(x for k, v in values.items() for x in (F.lit(k), v.cast("string"))))
 
 
+class _OnDemand(Catalog):
+    """A catalog that builds each table when it is first asked for: a statement plans only what it reads."""
+
+    def __init__(self, makers: dict[str, Callable[[Catalog], DataFrame]]) -> None:
+        object.__setattr__(self, "_makers", makers)
+
+    def __getattr__(self, name: str) -> DataFrame:
+        makers = object.__getattribute__(self, "_makers")
+        if name not in makers:
+            raise AttributeError(name)
+        object.__setattr__(self, name, makers[name](self))
+        return object.__getattribute__(self, name)
+
+
 def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
     def read(name: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-    part, orders, lines = read("part"), read("orders"), read("lineitem")
+    makers = {
+        "nodes": lambda c: _nodes(read("part")),
+        "ways": lambda c: _ways(read("orders"), read("lineitem")),
+        "relations": lambda c: importer.locate_relations(_relations(read("region"), read("nation"), read("supplier"), read("customer")), c, depth=2),
+        "way_nodes": lambda c: read("lineitem").select(F.col("l_orderkey").alias("way_id"), F.col("l_linenumber").alias("pos"), F.col("l_partkey").alias("node_id")),
+        "rel_nodes": lambda c: read("lineitem").select((F.col("l_suppkey") + SUPPLIER).alias("rel_id"), F.col("l_partkey").alias("node_id")).distinct(),
+        "rel_ways": lambda c: read("orders").select((F.col("o_custkey") + CUSTOMER).alias("rel_id"), F.col("o_orderkey").alias("way_id")),
+        "rel_rels": lambda c: _children(read("nation"), read("supplier"), read("customer")),
+    }
+    return _OnDemand(makers)
+
+
+def _nodes(part: DataFrame) -> DataFrame:
     lon, lat = _place(F.col("p_partkey"))
     size = F.col("p_size").cast("string")
     width = F.when(F.col("p_partkey") % 2 == 1, F.concat(size, F.lit(" m"))).otherwise(size)
-    nodes = importer.locate_nodes(part.select(F.col("p_partkey").alias("id"), lon.alias("lon"), lat.alias("lat"), _tags(type=F.col("p_type"), size=size, name=F.col("p_name"), brand=F.col("p_brand"), width=width).alias("tags")))
+    return importer.locate_nodes(part.select(F.col("p_partkey").alias("id"), lon.alias("lon"), lat.alias("lat"), _tags(type=F.col("p_type"), size=size, name=F.col("p_name"), brand=F.col("p_brand"), width=width).alias("tags")))
+
 
+def _ways(orders: DataFrame, lines: DataFrame) -> DataFrame:
     lon, lat = _place(F.col("l_partkey"))
     placed = lines.select("l_orderkey", "l_partkey", "l_linenumber", "l_suppkey", lon.alias("lon"), lat.alias("lat"))
     inner = F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "lon", "lat")))
@@ -42,23 +72,21 @@ def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
     cells = F.array_distinct(F.transform("n", lambda x: F.struct(cell(x["lon"]).alias("x"), cell(x["lat"]).alias("y"))))
     tags = _tags(status=F.col("o_orderstatus"), priority=F.col("o_orderpriority"), price=F.floor("o_totalprice"))
     ways = orders.select(F.col("o_orderkey").alias("id"), tags.alias("tags")).join(lists, "id")
-    ways = ways.select("id", "tags", F.transform("n", lambda x: F.struct(x["l_partkey"].alias("id"), x["lon"].alias("lon"), x["lat"].alias("lat"))).alias("nodes"), "min_lon", "min_lat", "max_lon", "max_lat", cells.alias("cells"))
-    way_nodes = lines.select(F.col("l_orderkey").alias("way_id"), F.col("l_linenumber").alias("pos"), F.col("l_partkey").alias("node_id"))
-
-    region, nation, supplier, customer = read("region"), read("nation"), read("supplier"), read("customer")
-    name = {"r": "r_name", "n": "n_name", "s": "s_name", "c": "c_name"}
-    relations = (
-        region.select((F.col("r_regionkey") + REGION).cast("long").alias("id"), _tags(name=F.col(name["r"]), kind=F.lit("region")).alias("tags"))
-        .unionByName(nation.select((F.col("n_nationkey") + NATION).cast("long").alias("id"), _tags(name=F.col(name["n"]), kind=F.lit("nation")).alias("tags")))
-        .unionByName(supplier.select((F.col("s_suppkey") + SUPPLIER).alias("id"), _tags(name=F.col(name["s"]), kind=F.lit("supplier"), balance=F.floor("s_acctbal")).alias("tags")))
-        .unionByName(customer.select((F.col("c_custkey") + CUSTOMER).alias("id"), _tags(name=F.col(name["c"]), kind=F.lit("customer"), segment=F.col("c_mktsegment"), balance=F.floor("c_acctbal")).alias("tags")))
+    return ways.select("id", "tags", F.transform("n", lambda x: F.struct(x["l_partkey"].alias("id"), x["lon"].alias("lon"), x["lat"].alias("lat"))).alias("nodes"), "min_lon", "min_lat", "max_lon", "max_lat", cells.alias("cells"))
+
+
+def _relations(region: DataFrame, nation: DataFrame, supplier: DataFrame, customer: DataFrame) -> DataFrame:
+    return (
+        region.select((F.col("r_regionkey") + REGION).cast("long").alias("id"), _tags(name=F.col("r_name"), kind=F.lit("region")).alias("tags"))
+        .unionByName(nation.select((F.col("n_nationkey") + NATION).cast("long").alias("id"), _tags(name=F.col("n_name"), kind=F.lit("nation")).alias("tags")))
+        .unionByName(supplier.select((F.col("s_suppkey") + SUPPLIER).alias("id"), _tags(name=F.col("s_name"), kind=F.lit("supplier"), balance=F.floor("s_acctbal")).alias("tags")))
+        .unionByName(customer.select((F.col("c_custkey") + CUSTOMER).alias("id"), _tags(name=F.col("c_name"), kind=F.lit("customer"), segment=F.col("c_mktsegment"), balance=F.floor("c_acctbal")).alias("tags")))
     )
-    rel_nodes = lines.select((F.col("l_suppkey") + SUPPLIER).alias("rel_id"), F.col("l_partkey").alias("node_id")).distinct()
-    rel_ways = orders.select((F.col("o_custkey") + CUSTOMER).alias("rel_id"), F.col("o_orderkey").alias("way_id"))
-    rel_rels = (
+
+
+def _children(nation: DataFrame, supplier: DataFrame, customer: DataFrame) -> DataFrame:
+    return (
         customer.select((F.col("c_nationkey") + NATION).cast("long").alias("parent_id"), (F.col("c_custkey") + CUSTOMER).alias("child_id"))
         .unionByName(supplier.select((F.col("s_nationkey") + NATION).cast("long").alias("parent_id"), (F.col("s_suppkey") + SUPPLIER).alias("child_id")))
         .unionByName(nation.select((F.col("n_regionkey") + REGION).cast("long").alias("parent_id"), (F.col("n_nationkey") + NATION).cast("long").alias("child_id")))
     )
-    part_ = Catalog(nodes, ways, relations, way_nodes, rel_nodes, rel_ways, rel_rels)
-    return Catalog(nodes, ways, importer.locate_relations(relations, part_, depth=2), way_nodes, rel_nodes, rel_ways, rel_rels)
