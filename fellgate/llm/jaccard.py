@@ -121,18 +121,20 @@ def _reach(size: int, num: int, den: int) -> int:
 
 
 def _classes(source: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """doc_id, id, n_shingles, fp and the nearest pivots of every document."""
+    """doc_id, id, n_shingles, fp, the nearest pivots and the sketch of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, names, heads = [], [], []
+            sizes, names, heads, sketches = [], [], [], []
             for s in shingle_sets(_rows(batch.column("data")), n):
                 sizes.append(len(s))
                 names.append(_name(s))
                 heads.append(s[: _reach(len(s), num, den)].tobytes() if len(s) else b"")
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("id"), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(heads, pa.binary())], names=["doc_id", "id", "n_shingles", "fp", "head"])
+                sketches.append(sketch(s).tobytes())
+            columns = [batch.column("doc_id"), batch.column("id"), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(heads, pa.binary()), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "id", "n_shingles", "fp", "head", "sketch"])
 
-    return source.select("doc_id", "id", "data").mapInArrow(run, "doc_id long, id long, n_shingles long, fp long, head binary")
+    return source.select("doc_id", "id", "data").mapInArrow(run, "doc_id long, id long, n_shingles long, fp long, head binary, sketch binary")
 
 
 def _head_pivots(known: DataFrame) -> DataFrame:
@@ -179,17 +181,11 @@ def sketch(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(cells.astype(np.uint8))
 
 
-def _sets(source: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """fp, n, sketch, tokens of the wanted (id, fp)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
-                sets = list(shingle_sets(_rows(part.column("data")), n))
-                yield pa.RecordBatch.from_arrays([part.column("fp"), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["fp", "n", "sketch", "tokens"])
-
-    return source.select("id", "data").join(wanted, "id").dropDuplicates(["fp"]).select("fp", "data").mapInArrow(run, "fp long, n long, sketch binary, tokens binary")
+def _bodies(source: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """fp and text of the sets (fp, id) that are in pairs: a text takes less room than its shingles."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(sets.select("fp", "id"), "fp")
+    # repeated rows share an id, so the groups lie where the join has put them
+    return source.select("id", "data").join(wanted, "id").groupBy("id", "fp").agg(F.first("data").alias("data")).select("fp", "data")
 
 
 def _apart(na: np.ndarray, nb: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -266,25 +262,26 @@ def links(source: DataFrame, known: DataFrame, scratch: Scratch, n: int, num: in
     shared = scratch.keep(regions.groupBy("pivot").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo < hi").select("pivot"))
     rows = scratch.keep(regions.join(shared, "pivot").distinct())
     scratch.drop(counts, shared, regions)
-    wanted = rows.select("fp").distinct().join(known.groupBy("fp").agg(F.min("id").alias("id")), "fp")
-    sets = scratch.keep(_sets(source, wanted, n))
-    left = sets.select(F.col("fp").alias("a"), F.col("tokens").alias("left"))
-    right = sets.select(F.col("fp").alias("b"), F.col("tokens").alias("right"))
+    sets = scratch.keep(known.groupBy("fp").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("left"), batch.column("right")):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+            for x, y in zip(*(shingle_sets(_rows(batch.column(c)), n) for c in ("left", "right"))):
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(den * both >= num * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     def linked(pairs: DataFrame) -> DataFrame:
-        return scratch.keep(pairs.join(left, "a").join(right, "b").mapInArrow(verify, "a long, b long"))
-
-    rows = rows.join(sets.select("fp", "n", "sketch"), "fp")
-    dealt = scratch.keep(_dealt(rows.withColumn("c", F.col("fp")), scratch, num, den))
+        bodies = scratch.keep(_bodies(source, sets, pairs))
+        left, right = (bodies.select(F.col("fp").alias(c), F.col("data").alias(side)) for c, side in (("a", "left"), ("b", "right")))
+        found = scratch.keep(pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(verify, "a long, b long"))
+        scratch.drop(bodies)
+        return found
+
+    described = rows.join(sets.select("fp", "n", "sketch"), "fp")
+    dealt = scratch.keep(_dealt(described.withColumn("c", F.col("fp")), scratch, num, den))
+    scratch.drop(rows)
     pairs = scratch.keep(_candidates(dealt, num, den, True))
     star = linked(pairs)
     scratch.drop(pairs)
@@ -330,7 +327,7 @@ def groups(docs: DataFrame, n: int = N, num: int = NUMERATOR, den: int = DENOMIN
     edges = pairs.join(a, "a").join(b, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     found = components(edges, scratch)
     least = scratch.keep(least.join(found.select(F.col("node").alias("class_id"), "component"), "class_id", "left"))
-    out = known.drop("head").withColumn("fp", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("fp"))).join(least, "fp", "left")
+    out = known.drop("head", "sketch").withColumn("fp", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("fp"))).join(least, "fp", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "class_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
