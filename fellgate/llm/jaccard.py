@@ -51,6 +51,8 @@ N, NUMERATOR, DENOMINATOR = 3, 9, 10
 #: A pivot found in more regions' worth of rows than COMMON, and than a share of all rows so that there are at most MOST of them.
 COMMON, MOST = 64, 1 << 20
 BLOCK = 256
+#: Regions up to FEW rows are compared together, as many as have ROWS rows.
+FEW, ROWS = 8, 1 << 15
 SKETCH = 512
 _LOW = np.uint64((1 << 56) - 1)
 
@@ -193,6 +195,50 @@ def _apart(na: np.ndarray, nb: np.ndarray, num: int, den: int) -> np.ndarray:
     return (den - num) * (na + nb) // (den + num)
 
 
+def _slices(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of regions that have at most ROWS rows together, or of one region."""
+    lo = 0
+    while lo < len(offsets) - 1:
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + ROWS, "right")) - 1)
+        yield lo, hi
+        lo = hi
+
+
+def near_pairs(offsets: np.ndarray, fp: np.ndarray, size: np.ndarray, side: np.ndarray, group: np.ndarray, bits: np.ndarray, num: int, den: int, first: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows (x, y) of one region, x at home, that sizes and sketches do not part; region i has the rows offsets[i] to offsets[i + 1].
+
+    Regions of as many rows, up to FEW, are compared together; larger ones on their own, 64 rows at a time."""
+
+    def near(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ok = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1) <= _apart(size[x], size[y], num, den)
+        x, y = x[ok], y[ok]
+        if first:  # of each x its partner of least name
+            order = np.lexsort((fp[y], x))
+            x, y = x[order], y[order]
+            new = np.flatnonzero(np.diff(x, prepend=-1))
+            x, y = x[new], y[new]
+        return x, y
+
+    def meet(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        ok = (group[x] != group[y]) & ((side[y] == 1) | (fp[x] < fp[y]) | first)
+        return ok & (den * size[y] >= num * size[x]) & (num * size[y] <= den * size[x])
+
+    counts = np.diff(offsets)
+    for g in range(2, FEW + 1):
+        at = offsets[:-1][counts == g, None]
+        i, j = np.nonzero(~np.eye(g, dtype=bool))
+        x, y = (at + i).ravel(), (at + j).ravel()
+        ok = (side[x] == 0) & meet(x, y)
+        yield near(x[ok], y[ok])
+    for k in np.flatnonzero(counts > FEW):
+        every = np.arange(offsets[k], offsets[k + 1])
+        home = every[side[every] == 0]
+        for lo in range(0, len(home), 64):
+            some = home[lo : lo + 64]
+            i, j = np.nonzero(meet(some[:, None], every[None, :]))
+            yield near(some[i], every[j])
+
+
 def _candidates(members: DataFrame, num: int, den: int, first: bool) -> DataFrame:
     """Pairs (a, b), a < b, of each (pivot, part): side 0 against sides 0 and 1, both of different components.
 
@@ -200,30 +246,15 @@ def _candidates(members: DataFrame, num: int, den: int, first: bool) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for own in batch.column("own"):
-                rows = own.values
+            lists = batch.column("own")
+            offsets = lists.offsets.to_numpy().astype(np.int64)
+            for lo, hi in _slices(offsets):
+                rows = lists.values.slice(offsets[lo], offsets[hi] - offsets[lo])
                 fp, size, side, group = (rows.field(c).to_numpy(zero_copy_only=False) for c in ("fp", "n", "side", "c"))
                 bits = np.frombuffer(b"".join(rows.field("sketch").to_pylist()), np.uint64).reshape(len(fp), -1)
-                home = np.flatnonzero(side == 0)
-                for lo in range(0, len(home), 64):
-                    some = home[lo : lo + 64, None]
-                    meet = (group[some] != group) & ((side == 1) | (fp[some] < fp) | first)
-                    meet &= (den * size >= num * size[some]) & (num * size <= den * size[some])
-                    x, y = np.nonzero(meet)
-                    if not len(x):
-                        continue
-                    x = some[x, 0]
-                    near = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1) <= _apart(size[x], size[y], num, den)
-                    x, y = x[near], y[near]
-                    if first:
-                        order = np.lexsort((fp[y], x))
-                        x, y = x[order], y[order]
-                        new = np.flatnonzero(np.diff(x, prepend=-1))
-                        x, y = x[new], y[new]
-                    out_a.append(np.minimum(fp[x], fp[y]))
-                    out_b.append(np.maximum(fp[x], fp[y]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_a, out_b)], names=["a", "b"])
+                out = [(fp[x], fp[y]) for x, y in near_pairs(offsets[lo : hi + 1] - offsets[lo], fp, size, side, group, bits, num, den, first)]
+                x, y = (np.concatenate(c) for c in zip(*out))
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
     lists = members.groupBy("pivot", "part").agg(F.collect_list(F.struct("fp", "n", "sketch", "side", "c")).alias("own")).where("size(own) > 1")
     return lists.select("own").mapInArrow(run, "a long, b long").where("a <> b").distinct()

@@ -1,6 +1,9 @@
 import collections
 import random
 
+import numpy as np
+import pytest
+
 from fellgate.llm import jaccard
 
 
@@ -65,3 +68,30 @@ def test_chain_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 200)], "a long, b long")
     found = {r["node"]: r["component"] for r in jaccard.components(edges, Scratch(spark)).collect()}
     assert found == {i: 1 for i in range(1, 41)} | {100: 100, 200: 100}
+
+
+@pytest.mark.parametrize("first", [False, True])
+def test_near_pairs_against_all_pairs(first):
+    rng = np.random.default_rng(1)
+    for trial in range(40):
+        counts = rng.integers(2, (3, 9, 14, 200)[trial % 4], size=rng.integers(1, 12))
+        offsets = np.concatenate([[0], np.cumsum(counts)])
+        n = offsets[-1]
+        fp, size, side, group = rng.choice(10**6, n, replace=False) - 500_000, rng.integers(20, 40, n), rng.integers(0, 2, n), rng.integers(0, n, n)
+        bits = np.zeros((n, 8), np.uint64)
+        bits[:, 0] = rng.integers(0, 16, n)
+        want = set()
+        for lo, hi in zip(offsets[:-1], offsets[1:]):
+            for x in (x for x in range(lo, hi) if side[x] == 0):
+                met = [
+                    int(fp[y])
+                    for y in range(lo, hi)
+                    if group[x] != group[y]
+                    and (first or side[y] == 1 or fp[x] < fp[y])
+                    and 9 * max(size[x], size[y]) <= 10 * min(size[x], size[y])
+                    and int(bits[x, 0] ^ bits[y, 0]).bit_count() <= (size[x] + size[y]) // 19
+                ]
+                want |= {frozenset((int(fp[x]), y)) for y in (sorted(met)[:1] if first else met)}
+        found = jaccard.near_pairs(offsets, fp, size, side, group, bits, 9, 10, first)
+        assert {frozenset((int(fp[a]), int(fp[b]))) for x, y in found for a, b in zip(x, y)} == want
+        assert [k for lo, hi in jaccard._slices(offsets) for k in range(lo, hi)] == list(range(len(counts)))
