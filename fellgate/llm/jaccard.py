@@ -362,8 +362,10 @@ def groups(docs: DataFrame, n: int = N, num: int = NUMERATOR, den: int = DENOMIN
     return out.select("doc_id", "n_shingles", F.coalesce("component", "class_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
-def representatives(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component left, that of the least doc_id; all rows without a doc_id stay."""
-    keep = groups(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__j_id")).distinct()
+def representatives(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
+    """docs with one document of each component left, that of the least doc_id; all rows without a doc_id stay.
+
+    Near copies of a corpus share 80 % of their five-word shingles; N and its threshold are those of op5 alone."""
+    keep = groups(docs, n, num, den).where("doc_id = component_id").select(F.col("doc_id").alias("__j_id")).distinct()
     kept = docs.join(keep, F.col("doc_id").cast("long") == F.col("__j_id"), "left_semi")
     return kept.unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)

@@ -95,3 +95,22 @@ def test_near_pairs_against_all_pairs(first):
         found = jaccard.near_pairs(offsets, fp, size, side, group, bits, 9, 10, first)
         assert {frozenset((int(fp[a]), int(fp[b]))) for x, y in found for a, b in zip(x, y)} == want
         assert [k for lo, hi in jaccard._slices(offsets) for k in range(lo, hi)] == list(range(len(counts)))
+
+
+def test_representatives_take_five_words_and_four_fifths(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(10, 60):
+        w = [f"{i // 5}v{k}" for k in range(90)]
+        for _ in range(i % 5):
+            w[rng.randrange(90)] = f"e{rng.randint(0, 999)}"
+        rows.append((i, " ".join(w)))
+    sets = {i: set(zip(*(t.split()[k:] for k in range(5)))) for i, t in rows}
+    least = {i: i for i in sets}
+    for _ in sets:
+        for a in sets:
+            for b in sets:
+                if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]):
+                    least[a] = least[b] = min(least[a], least[b])
+    kept = sorted(r["doc_id"] for r in jaccard.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert kept == sorted(set(least.values())) != sorted({c for _, _, c in brute(rows)})
