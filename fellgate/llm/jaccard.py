@@ -363,9 +363,22 @@ def groups(docs: DataFrame, n: int = N, num: int = NUMERATOR, den: int = DENOMIN
 
 
 def representatives(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
-    """docs with one document of each component left, that of the least doc_id; all rows without a doc_id stay.
+    """docs with exactly one row of each component left, that of the least doc_id (one without a doc_id comes last).
 
-    Near copies of a corpus share 80 % of their five-word shingles; N and its threshold are those of op5 alone."""
-    keep = groups(docs, n, num, den).where("doc_id = component_id").select(F.col("doc_id").alias("__j_id")).distinct()
-    kept = docs.join(keep, F.col("doc_id").cast("long") == F.col("__j_id"), "left_semi")
-    return kept.unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+    Near copies of a corpus share 80 % of their five-word shingles; N and its threshold are those of op5 alone.
+    Sets are joined by name, so rows without a doc_id take part, and texts that share a doc_id are told apart.
+    Texts without words are linked with nothing; of those, as of all rows, equal ones (doc_id and text) leave one."""
+    scratch = Scratch(docs.sparkSession)
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")))
+    source = texts(docs).select("doc_id", F.xxhash64("doc_id", "text").alias("id"), F.col("text").cast("binary").alias("data"))
+    known = scratch.keep(_classes(source, n, num, den))
+    takes_part = known.where("n_shingles > 0")
+    found = components(links(source, takes_part, scratch, n, num, den), scratch).select(F.col("node").alias("fp"), "component")
+    rows = known.groupBy("doc_id", "id", "n_shingles", "fp").agg(F.count("*").alias("k"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "id", "k")).alias("row")
+    of_set = rows.where("n_shingles > 0").groupBy("fp").agg(first)
+    chosen = of_set.join(found, "fp", "left").groupBy(F.coalesce("component", "fp").alias("c")).agg(F.min("row").alias("row")).select("row.id", "row.k")
+    chosen = scratch.keep(chosen.unionByName(rows.where("n_shingles = 0").select("id", "k")))
+    keyed = docs.withColumn("__j_key", key)
+    once, often = (keyed.join(chosen.where(w).select(F.col("id").alias("__j_id")), F.col("__j_key") == F.col("__j_id"), "left_semi") for w in ("k = 1", "k > 1"))
+    return once.unionByName(often.dropDuplicates(["__j_key"])).select(*docs.columns)

@@ -114,3 +114,13 @@ def test_representatives_take_five_words_and_four_fifths(spark):
                     least[a] = least[b] = min(least[a], least[b])
     kept = sorted(r["doc_id"] for r in jaccard.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert kept == sorted(set(least.values())) != sorted({c for _, _, c in brute(rows)})
+
+
+def test_representatives_leave_one_row_of_each_component(spark):
+    from fellgate.llm import suffix_dedup
+
+    long, other, third = (" ".join(f"{c}{i}" for i in range(90)) for c in "abc")
+    rows = [(1, long), (1, long), (2, long + " end"), (None, long), (3, other), (3, third), (None, third), (4, third), (None, "p q r"), (None, "p q r"), (5, None), (5, None), (6, " "), (None, None)]
+    kept = jaccard.representatives(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert collections.Counter(map(tuple, kept.collect())) == collections.Counter([(1, long), (3, other), (3, third), (None, "p q r"), (5, None), (6, " "), (None, None)])
+    assert {tuple(r) for r in suffix_dedup.cut_texts(kept).collect()} >= {(1, long), (3, other), (3, third)}
