@@ -30,7 +30,10 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style noscript template textarea title iframe noframes noembed xmp svg math object select button canvas audio video datalist".split())
 DROPPED = frozenset("head nav footer aside form dialog menu frameset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
+# Marks are whole names, or names whose parts are all marks or say what a mark is made of (cookie-notice, share-buttons); has-sidebar or no-comments say nothing about the element itself.
 MARKS = frozenset("ad ads adv advert adverts advertisement advertising adslot adbox banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disqus dropdown footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination paywall popup promo promoted promotion recommended related replies reply respond search share sharing shoutbox sidebar sidebars signup skip social sponsor sponsored subscribe subscription teaser toolbar topbar widget widgets".split())
+PARTS = frozenset("area bar block box button buttons form item items link links list posts section slot".split())
+WHOLE = frozenset("html body main".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("thead", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
 STOPS = frozenset("ul ol dl table".split())
 PUNCTUATION = re.compile(r"[.,;:!?。，！？、…]")
@@ -40,32 +43,48 @@ _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.
 _SMOOTH = np.array([1, 2, 3, 2, 1], float) / 9
 
 
-def _no_article(tag: str, attrs: str, inside: bool) -> bool:
-    """Is this element something else than the article? inside: it stands in an article or main element."""
-    if tag in DROPPED or (tag == "header" and not inside):
-        return True
-    for name, value in _ATTR.findall(attrs):
-        words = re.split(r"[^a-z]+", value.lower())
-        if name.lower() == "role":
-            if ROLES.intersection(words):
-                return True
-        elif MARKS.intersection(words) or (not inside and "header" in words):
+def _marked(value: str, inside: bool) -> bool:
+    """Does one of these class names or ids mark something else than the article?"""
+    for name in value.strip("\"'").lower().split():
+        parts = [x for x in re.split(r"[^a-z]+", name) if x]
+        if parts and (parts[0] in MARKS and all(x in MARKS or x in PARTS for x in parts) or (not inside and parts in (["header"], ["site", "header"], ["page", "header"]))):
             return True
     return False
 
 
+def _no_article(tag: str, attrs: str, inside: bool) -> int:
+    """Is this element something else than the article? 1: by its tag, 2: by its role, class or as a form, which may prove wrong; inside: it stands in an article or main element."""
+    if tag == "form":
+        return 2
+    if tag in DROPPED or (tag == "header" and not inside):
+        return 1
+    for name, value in _ATTR.findall(attrs):
+        if ROLES.intersection(re.split(r"[^a-z]+", value.lower())) if name.lower() == "role" else _marked(value, inside):
+            return 2
+    return 0
+
+
+def _may_drop(tag: str, parent: _Node) -> bool:
+    """html, body and main are never dropped, an article only within another one (as comments are)."""
+    node: _Node | None = parent if tag == "article" else None
+    while node and node.tag != "article":
+        node = node.parent
+    return tag not in WHOLE and (tag != "article" or node is not None)
+
+
 class _Node:
-    __slots__ = ("tag", "path", "parent", "dropped", "inside", "depth")
+    __slots__ = ("tag", "path", "parent", "mark", "dropped", "inside", "depth")
 
-    def __init__(self, tag: str, label: str, parent: _Node | None, dropped: bool, inside: bool) -> None:
-        self.tag, self.parent, self.dropped, self.inside = tag, parent, dropped, inside
+    def __init__(self, tag: str, label: str, parent: _Node | None, mark: int, inside: bool) -> None:
+        self.tag, self.parent, self.mark, self.inside = tag, parent, mark, inside
+        self.dropped = mark or (parent.dropped if parent else 0)  # of the nearest marked element
         self.path = f"{parent.path}/{label}" if parent else label
         self.depth = parent.depth + 1 if parent else 0
 
 
 def blocks(page: str) -> list[tuple[_Node, str, int]]:
     """(element, text, characters within links) of each block in page order."""
-    root = here = _Node("", "", None, False, False)
+    root = here = _Node("", "", None, 0, False)
     out: list[tuple[_Node, str, int]] = []
     text: list[str] = []
     linked, in_link = 0, False
@@ -133,7 +152,8 @@ def blocks(page: str) -> list[tuple[_Node, str, int]]:
             words = _ATTR.search(m[3]) if m[3] != ">" else None
             label = tag + ("." + words[2].strip("\"'").split(" ")[0] if words else "")
             inside = here.inside or tag in ("article", "main")
-            here = _Node(tag, label, here, here.dropped or (m[3] != ">" or tag in DROPPED or tag == "header") and _no_article(tag, m[3], here.inside), inside)
+            mark = _no_article(tag, m[3], here.inside) if m[3] != ">" or tag in DROPPED or tag == "header" else 0
+            here = _Node(tag, label, here, mark if mark and _may_drop(tag, here) else 0, inside)
     if at < len(page):
         add(page[at:])
     flush()
@@ -141,8 +161,8 @@ def blocks(page: str) -> list[tuple[_Node, str, int]]:
     return out
 
 
-def _content_root(kept: list[tuple[_Node, str, int]]) -> _Node:
-    """The nearest element around all blocks on content paths."""
+def _content(kept: list[tuple[_Node, str, int]]) -> np.ndarray:
+    """Which blocks stand on content paths."""
     index: dict[str, int] = {}
     path = np.array([index.setdefault(n.path, len(index)) for n, _, _ in kept])
     length = np.array([len(t) for _, t, _ in kept], float)
@@ -154,13 +174,51 @@ def _content_root(kept: list[tuple[_Node, str, int]]) -> _Node:
     smooth = [np.convolve(np.pad(x, 2, mode="edge"), _SMOOTH, "valid") for x in (text_ratio, mark_ratio)]
     fused = smooth[0] * (1 + smooth[1]) * np.maximum(0, 1 - link_share)
     score = np.bincount(path, fused) / count
-    content = score >= min(score.mean(), 0.5 * score.max())
+    return (score >= min(score.mean(), 0.5 * score.max()))[path]
+
+
+def _restore(found: list[tuple[_Node, str, int]]) -> list[tuple[_Node, str, int]]:
+    """The blocks that are not dropped. Elements marked by role or class, or as a form, stay if they hold most of the
+    text on content paths; unless it is a form, no article, main or h1 may stand outside (comments can be longer than what they are about)."""
+
+    def marks(node: _Node) -> list[_Node]:
+        out = []
+        walk: _Node | None = node
+        while walk:
+            if walk.mark:
+                out.append(walk)
+            walk = walk.parent
+        return out
+
+    if not any(n.dropped == 2 for n, _, _ in found):
+        return [b for b in found if not b[0].dropped]
+    rows = [(b, over) for b, over in ((b, marks(b[0])) for b in found) if all(x.mark == 2 for x in over)]
+    if not rows:
+        return []
+    content = _content([b for b, _ in rows])
+    held: dict[_Node, int] = {}
+    total = 0
+    for ((_, text, _), over), good in zip(rows, content):
+        if good:
+            total += len(text)
+            for x in over:
+                held[x] = held.get(x, 0) + len(text)
+    wrong = set()
+    for x, size in held.items():
+        if 2 * size > total and (x.tag == "form" or not any(x not in over and (n.inside or n.tag == "h1") for (n, _, _), over in rows)):
+            wrong.add(x)
+    return [b for b, over in rows if all(x in wrong for x in over)]
+
+
+def _content_root(kept: list[tuple[_Node, str, int]]) -> _Node:
+    """The nearest element around all blocks on content paths."""
+    content = _content(kept)
     weight: dict[int, float] = {}
     nodes: dict[int, _Node] = {}
     common: _Node | None = None
     total = 0.0
-    for (node, text, _), p in zip(kept, path):
-        if not content[p]:
+    for (node, text, _), good in zip(kept, content):
+        if not good:
             continue
         total += len(text)
         walk: _Node | None = node
@@ -189,7 +247,7 @@ def _content_root(kept: list[tuple[_Node, str, int]]) -> _Node:
 
 def main_text(page: str | None) -> str:
     """The article of a page, one line for each block."""
-    kept = [b for b in blocks(page or "") if not b[0].dropped]
+    kept = _restore(blocks(page or ""))
     if not kept:
         return ""
     root = _content_root(kept)

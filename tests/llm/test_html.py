@@ -36,3 +36,27 @@ def html_row(page, url, text):
     from pyspark.sql import Row
 
     return Row(page_id=page, url=url, text=text, n_chars=len(text))
+
+
+ARTICLE = "<h1>Title</h1><p>Some long text here, with commas. And more text.</p><p>A second paragraph, long enough too.</p>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body class='has-sidebar'><article>{}</article></body>",
+        "<body class=sidebar><article>{}</article></body>",
+        "<body><main id='page-with-comments'>{}</main></body>",
+        "<body><article class='post no-comments'>{}</article></body>",
+        "<body><article class='comments'>{}</article></body>",
+        "<body><div class='content-with-widget'>{}</div></body>",
+        "<body><form action=x><div>{}</div></form></body>",
+        "<body><div class=widget>{}</div><p>x</p></body>",
+        "<body><article>{}</article><div class='comments'><p>" + "Much longer, a comment. " * 30 + "</p></div></body>",
+        "<body><article>{}<article class=comment><p>A reader, who says so.</p></article><div class='share-buttons'>a, b</div></article></body>",
+    ],
+)
+def test_marks_do_not_drop_the_page(page):
+    want = "Title\nSome long text here, with commas. And more text.\nA second paragraph, long enough too."
+    got = html_extract.main_text(page.format(ARTICLE))
+    assert got.removesuffix("\nx") == want
