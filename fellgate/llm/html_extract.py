@@ -5,7 +5,7 @@ tags), each with its root-to-leaf tag path.  Text length, punctuation and link
 text are summed over each path of the page and divided by its blocks; the ratios
 are smoothed over neighbouring blocks in page order, fused into one score, and
 paths whose score passes a threshold are content.  The nearest element that
-holds all content (an article or main element where there is one) is then taken
+holds all content (an article or main element where one does) is then taken
 whole, less the parts whose tag, role or class says that they are no article.
 
 Defined results: null, empty or tagless html gives its own text or an empty one;
@@ -213,18 +213,18 @@ def _restore(found: list[tuple[_Node, str, int]]) -> list[tuple[_Node, str, int]
 def _content_root(kept: list[tuple[_Node, str, int]]) -> _Node:
     """The nearest element around all blocks on content paths."""
     content = _content(kept)
-    weight: dict[int, float] = {}
+    weight: dict[int, int] = {}
     nodes: dict[int, _Node] = {}
     common: _Node | None = None
-    total = 0.0
-    for (node, text, _), good in zip(kept, content):
+    total = 0
+    for (node, _, _), good in zip(kept, content):
         if not good:
             continue
-        total += len(text)
+        total += 1
         walk: _Node | None = node
         while walk:
             if walk.tag in ("article", "main"):
-                weight[id(walk)] = weight.get(id(walk), 0) + len(text)
+                weight[id(walk)] = weight.get(id(walk), 0) + 1
                 nodes[id(walk)] = walk
             walk = walk.parent
         if common is None:
@@ -237,9 +237,15 @@ def _content_root(kept: list[tuple[_Node, str, int]]) -> _Node:
             other = other.parent
         while common is not other:
             common, other = common.parent, other.parent
-    holders = [n for i, n in nodes.items() if weight[i] >= 0.5 * total]
+    holders = [n for i, n in nodes.items() if weight[i] == total]
     if holders:
-        return max(holders, key=lambda n: n.depth)
+        titled = set()  # a headline may stand above the article, in main
+        for node, _, _ in kept:
+            walk = node if node.tag == "h1" else None
+            while walk:
+                titled.add(id(walk))
+                walk = walk.parent
+        return max(holders, key=lambda n: (id(n) in titled, n.depth))
     while common.parent and common.tag not in ("body", "html", "div", "section", "td"):
         common = common.parent  # never a single paragraph: its neighbours belong to the same text
     return common

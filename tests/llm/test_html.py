@@ -60,3 +60,22 @@ def test_marks_do_not_drop_the_page(page):
     want = "Title\nSome long text here, with commas. And more text.\nA second paragraph, long enough too."
     got = html_extract.main_text(page.format(ARTICLE))
     assert got.removesuffix("\nx") == want
+
+
+LONG = "Some long text here, with commas, of a page. And more of it, for a while."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<main><h1>{LONG}</h1><p>{LONG}</p><article><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></article></main>",
+        f"<main><article><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></article><article><p>{LONG}</p><p>{LONG}</p></article></main>",
+        f"<body><article><p>{LONG}</p><p>{LONG}</p></article><article><p>{LONG}</p></article><div><p>{LONG}</p><p>{LONG}</p></div></body>",
+    ],
+)
+def test_all_content_blocks_are_kept(page):
+    assert html_extract.main_text(page) == "\n".join([LONG] * 5)
+
+
+def test_a_headline_above_the_article_is_kept():
+    assert html_extract.main_text(f"<main><h1>headline</h1><p>lead</p><article><p>{LONG}</p><p>{LONG}</p></article></main>") == f"headline\nlead\n{LONG}\n{LONG}"
