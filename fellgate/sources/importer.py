@@ -53,7 +53,7 @@ def locate_relations(relations: DataFrame, catalog: Catalog, depth: int | None =
         level += 1
         if depth is None:
             extent = extent.checkpoint()  # each round reads the one before
-            size = extent.agg(F.count("*"), F.sum(F.size("cells"))).first()
+            size = extent.agg(F.count("*"), F.sum(F.size("cells")), F.sum(F.xxhash64("rel_id", *_BOUND).cast("decimal(38,0)"))).first()
             if size == before:
                 break
             before = size

@@ -85,3 +85,14 @@ def test_pbf_and_command_line(spark, tmp_path):
     assert main(["--index", index, "query", BOX + ".nodes{amenity=bench}", "--output", str(out)]) == 0
     assert '"@osm_id":2' in out.read_text()
     assert main(["--index", index, "query", "bbox(1"]) == 1
+
+
+def test_bounds_reach_the_top_of_a_chain_within_one_cell(spark):
+    from fellgate.sources import importer
+
+    nodes = spark.createDataFrame([(i, 9.91 + i / 100, 53.55, {}) for i in range(1, 6)], "id long, lon double, lat double, tags map<string,string>")
+    relations = spark.createDataFrame([(i, {}) for i in range(1, 6)], "id long, tags map<string,string>")
+    pairs = lambda rows, a, b: spark.createDataFrame(rows, f"{a} long, {b} long")
+    none = spark.createDataFrame([], "id long, tags map<string,string>")
+    made = importer.build(nodes, none, spark.createDataFrame([], "way_id long, pos int, node_id long"), relations, pairs([(i, i) for i in range(1, 6)], "rel_id", "node_id"), pairs([], "rel_id", "way_id"), pairs([(i, i + 1) for i in range(1, 5)], "parent_id", "child_id"))
+    assert {r["id"]: round(r["max_lon"], 6) for r in made.relations.collect()} == {i: 9.96 for i in range(1, 6)}
