@@ -1,12 +1,11 @@
-"""Substring deduplication by relative Lempel-Ziv parsing.
-
-Every document is factored against reference blocks: the 13-word windows of all
-documents before it (smaller doc_id), indexed by content-defined anchors
-(repeats.py), each block kept where it starts first.  The greedy parse takes
-maximal runs of windows found in the index: a factor is such a run, a literal is
-a word outside.  Windows that lie across the end of a factor are looked up like
-all others, so a factor that goes on in another block is not lost.  Factors have
-13 words at least; their words are removed.
+"""Substring deduplication by words, with the window search of suffix_dedup.py in place of relative Lempel-Ziv.
+
+The 13-word windows of all documents are ranked at content-defined anchors
+(repeats.py); a window that stands in a document before (smaller doc_id) is a
+hit, and the words that hits cover are removed.  There is no greedy parse: no
+reference block is indexed, no longest match is extended, and what is called a
+factor here is a merged run of hits, without source or position.  Runs have 13
+words at least.
 
 Defined results: null text has no words; texts under 13 words lose nothing; rows
 that repeat a doc_id are one document (none of them is smaller), and a doc_id
