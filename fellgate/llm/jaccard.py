@@ -261,10 +261,10 @@ def _candidates(members: DataFrame, num: int, den: int, first: bool) -> DataFram
 
 
 def _dealt(rows: DataFrame, scratch: Scratch, num: int, den: int) -> DataFrame:
-    """Members of regions (pivot, fp, n, sketch) dealt into parts of two blocks at most, in order of size."""
+    """Members of regions (pivot, fp, n, sketch) dealt into parts: a block (of one size, by hash) and all blocks of sizes within reach that visit it, up to the whole region."""
     sizes = scratch.keep(rows.groupBy("pivot").agg(F.count("*").alias("g")).where("g > 1"))
     small = rows.join(sizes.where(F.col("g") <= BLOCK).select("pivot"), "pivot").select("pivot", F.lit("").alias("part"), "fp", "n", "sketch", "c", F.lit(0).alias("side"))
-    # large regions: blocks of sizes, cut where the counts of the sizes add up, and by hash within one size
+    # large regions: blocks of one size, by hash within it
     large = rows.join(sizes.where(F.col("g") > BLOCK).select("pivot"), "pivot")
     by_size = large.groupBy("pivot", "n").agg(F.count("*").alias("c"))
     cut = by_size.select("pivot", "n", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
