@@ -42,54 +42,62 @@ SPACE = r"[\\x20\\x09-\\x0D]+"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def _measured(docs: DataFrame, prefix: str = "") -> DataFrame:
-    """docs with the counts; internal columns carry the prefix, so that no name clashes."""
-    p = prefix
-    steps = [
-        {"t": "coalesce(text, '')"},
-        {"w": f"filter(split({p}t, '{SPACE}'), x -> x <> '')", "l": rf"filter(split({p}t, '\\n'), x -> x RLIKE '[^\\x20\\x09-\\x0D]')"},
-        {"n_words": f"cast(size({p}w) AS long)", "h": f"transform({p}w, x -> xxhash64(x))"},
-        {"g": f"CASE WHEN {p}n_words >= 5 THEN transform(sequence(0, size({p}h) - 5), i -> xxhash64({p}h[i], {p}h[i + 1], {p}h[i + 2], {p}h[i + 3], {p}h[i + 4])) ELSE array() END"},
-        {"s": f"CASE WHEN size(array_distinct({p}g)) < size({p}g) THEN sort_array(transform({p}g, (x, i) -> struct(x AS x, i AS i))) ELSE array() END"},
-        {
-            "word_chars": f"cast(length(translate({p}t, ' \\u0009\\u000a\\u000b\\u000c\\u000d', '')) AS long)",
-            "n_symbols": f"cast(length({p}t) - length(translate({p}t, '#*$%&|<>', '')) AS long)",
-            "n_lines": f"cast(size({p}l) AS long)",
-            "n_dup_lines": f"cast(size({p}l) - size(array_distinct({p}l)) AS long)",
-            "n_ellipsis_lines": rf"cast(size(filter({p}l, x -> x RLIKE '(\\.\\.\\.|…)[\\x20\\x09-\\x0D]*$')) AS long)",
-            "n_bullet_lines": rf"cast(size(filter({p}l, x -> x RLIKE '^[\\x20\\x09-\\x0D]*[-*•]')) AS long)",
-            "n_stop_words": f"cast(size(filter({p}w, x -> lower(x) IN ({', '.join(repr(x) for x in sorted(set(STOP_WORDS)))}))) AS long)",
-            "n_repeat_words": f"aggregate(sort_array(transform(filter({p}s, (x, i) -> (i > 0 AND {p}s[i - 1].x = x.x) OR (i < size({p}s) - 1 AND {p}s[i + 1].x = x.x)), x -> x.i)), struct(0L AS e, 0L AS n), (a, i) -> struct(i + 5L AS e, a.n + i + 5L - greatest(cast(i AS long), a.e) AS n), a -> a.n)",
-        },
-    ]
-    for step in steps:
-        docs = docs.withColumns({p + k: F.expr(v) for k, v in step.items()})
-    return docs
-
-
-def _verdicts(prefix: str) -> tuple[str, str]:
+#: Each value is named by a lambda's variable, so that the optimizer, which copies what a projection has named into a
+#: filter above it, computes each once for a row however often the later ones use it.
+STEPS = (
+    ("t", "coalesce(cast(text AS string), '')"),
+    ("w", f"filter(split(t, '{SPACE}'), x -> x <> '')"),
+    ("l", r"filter(split(t, '\\n'), x -> x RLIKE '[^\\x20\\x09-\\x0D]')"),
+    ("h", "transform(w, x -> xxhash64(x))"),
+    ("g", "CASE WHEN size(w) >= 5 THEN transform(sequence(0, size(h) - 5), i -> xxhash64(h[i], h[i + 1], h[i + 2], h[i + 3], h[i + 4])) ELSE array() END"),
+    ("s", "CASE WHEN size(array_distinct(g)) < size(g) THEN sort_array(transform(g, (x, i) -> struct(x AS x, i AS i))) ELSE array() END"),
+)
+COUNTS = {
+    "n_words": "size(w)",
+    "word_chars": "length(translate(t, ' \\u0009\\u000a\\u000b\\u000c\\u000d', ''))",
+    "n_symbols": "length(t) - length(translate(t, '#*$%&|<>', ''))",
+    "n_lines": "size(l)",
+    "n_dup_lines": "size(l) - size(array_distinct(l))",
+    "n_ellipsis_lines": r"size(filter(l, x -> x RLIKE '(\\.\\.\\.|…)[\\x20\\x09-\\x0D]*$'))",
+    "n_bullet_lines": r"size(filter(l, x -> x RLIKE '^[\\x20\\x09-\\x0D]*[-*•]'))",
+    "n_stop_words": f"size(filter(w, x -> lower(x) IN ({', '.join(repr(x) for x in sorted(set(STOP_WORDS)))})))",
+    "n_repeat_words": "aggregate(sort_array(transform(filter(s, (x, i) -> (i > 0 AND s[i - 1].x = x.x) OR (i < size(s) - 1 AND s[i + 1].x = x.x)), x -> x.i)), struct(0L AS e, 0L AS n), (a, i) -> struct(i + 5L AS e, a.n + i + 5L - greatest(cast(i AS long), a.e) AS n), a -> a.n)",
+}
+
+
+def _let(name: str, value: str, body: str) -> str:
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _verdicts(prefix: str = "") -> tuple[str, str]:
     """SQL of (base_failed, kept)."""
-    names = ("n_words", "word_chars", "n_symbols", "n_stop_words", "n_lines", "n_dup_lines", "n_ellipsis_lines", "n_bullet_lines", "n_repeat_words")
-    conditions = []
-    for _, sql in RULES:
-        conditions.append("(" + " ".join(prefix + x if x in names else x for x in sql.split()) + ")")
+    conditions = ["(" + " ".join(prefix + x if x in COUNTS else x for x in sql.split()) + ")" for _, sql in RULES]
     return " OR ".join(conditions[:BASE]), f"NOT ({' OR '.join(conditions)})"
 
 
+def _judged() -> str:
+    """SQL of one struct: the counts, base_failed and kept, from the column text alone."""
+    failed, kept = _verdicts("c.")
+    counts = ", ".join(f"cast({sql} AS long) AS {name}" for name, sql in COUNTS.items())
+    out = _let("c", f"struct({counts})", f"struct({', '.join(f'c.{m} AS {m}' for m in MEASURES)}, {failed} AS base_failed, {kept} AS kept)")
+    for name, value in reversed(STEPS):
+        out = _let(name, value, out)
+    return out
+
+
 def measure(docs: DataFrame) -> DataFrame:
     """doc_id, the five counts, base_failed, kept."""
-    failed, kept = _verdicts("")
-    return _measured(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).select("doc_id", *MEASURES, F.expr(failed).alias("base_failed"), F.expr(kept).alias("kept"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.expr(_judged()).alias("m")).select("doc_id", "m.*")
 
 
 def keep(docs: DataFrame) -> DataFrame:
     """The documents that pass, with the columns they came with."""
-    return _measured(docs, "__q_").where(_verdicts("__q_")[1]).select(*docs.columns)
+    return docs.where(F.expr(_judged() + ".kept"))
 
 
 def oracle(table: str = "documents") -> str:
     """measure() in DuckDB's SQL."""
-    failed, kept = _verdicts("")
+    failed, kept = _verdicts()
     space = r"[\x20\x09-\x0D]"
     stops = ", ".join(repr(x) for x in sorted(set(STOP_WORDS)))
     return rf"""

@@ -83,3 +83,41 @@ def test_quality_oracle(spark, rows):
         db.execute("INSERT INTO documents VALUES (?, ?)", r)
     want = sorted(db.sql(quality.oracle()).fetchall(), key=str)
     assert sorted((tuple(r) for r in quality.measure(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str) == want
+
+
+def test_keep_computes_each_value_once(docs):
+    """A filter on named values must not copy what names them: the plan stays as small as the rules are."""
+    for df in (quality.keep(docs), quality.measure(docs)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("split(") <= 4 and plan.count("xxhash64(") <= 4
+
+
+def test_long_texts_with_repeated_windows(spark):
+    import time
+
+    rng = random.Random(1)
+    rows = [(i, " ".join(f"w{rng.randint(0, 999)} and the" for _ in range(6700))) for i in range(3)]  # 20,100 words each
+    rows += [(9, " ".join(f"w{i} and the" for i in range(6700)))]
+    df = spark.createDataFrame([(*r, "c") for r in rows], "doc_id long, text string, c string")
+    began = time.perf_counter()
+    got = {r["doc_id"]: tuple(r) for r in quality.measure(df).collect()}
+    kept = {r["doc_id"] for r in quality.keep(df).collect()}
+    assert time.perf_counter() - began < 60
+    assert kept == {9} == {i for i, r in got.items() if r[7]}
+    for i, t in rows:
+        w = t.split()
+        seen = {}
+        for k in range(len(w) - 4):
+            seen.setdefault(tuple(w[k : k + 5]), []).append(k)
+        assert got[i][1] == len(w) and got[i][5] == len({k + j for at in seen.values() if len(at) > 1 for k in at for j in range(5)})
+
+
+def test_keep_over_the_sample(spark):
+    import time
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    began = time.perf_counter()
+    kept = {r["doc_id"] for r in quality.keep(docs).select("doc_id").collect()}
+    assert time.perf_counter() - began < 60
+    assert kept == {r["doc_id"] for r in quality.measure(docs).where("kept").collect()}
+    assert quality.keep(docs).columns == docs.columns
