@@ -1,25 +1,32 @@
-"""Exact n-gram Jaccard join and its groups: documents whose shingle sets are 90 % alike.
-
-Method: a metric-space join.  1 - J is a metric; pivots cut the space into
-regions, a document is copied into every region where a partner within the
-radius may lie, and each region is joined on its own, by further pivots where it
-is large.
-
-* Pivots are one-shingle sets.  (With documents as pivots, unrelated texts lie at
-  distance 1 from all of them, so every window would hold everything.)  A
-  document's nearest pivots are its own shingles, ties in one global order: long
-  shingles first, because they are rare; shingles that prove common last.
-* Boundary: a partner within the radius misses at most |x| - ceil(t |x|) of x's
-  shingles, so the nearest pivot that both share is among x's first
-  |x| - ceil(t |x|) + 1.  Copies into these regions lose no pair.
-* Inside a region the documents' parity sketches (512 bits) are a contraction of
-  the symmetric difference, hence of the distance: pairs whose sketches differ in
-  more bits than a pair within the radius may are cut off by the triangle
-  inequality, and so are sizes apart.  Regions of more than BLOCK documents are
-  joined block by block, in order of size, only blocks whose sizes may meet.
-* What is left is decided by the sets themselves: first one partner of each document in
-  each region, which connects dense groups by stars, then all pairs that are not
-  connected by then.  Pairs within a component would not change the result.
+"""Exact n-gram Jaccard join and its groups: documents whose shingle sets are alike to a threshold.
+
+Method: a metric-space join (1 - J is a metric).  Pivots cut the space into Voronoi
+regions, a document is copied into every region where a partner within the radius
+may lie, and large regions are cut again by pivots of their own.
+
+* First pivots: the one-shingle sets.  (With documents as pivots of the whole space,
+  unrelated texts lie at distance 1 from all of them, so every window would hold
+  everything.)  {s} is at distance 1 - 1/|x| from each x that holds s, and at 1 from
+  all others, so x's nearest pivots are its own shingles; ties go by one global
+  order: long shingles first, because they are rare, common ones last.
+* Their windows: a partner within the radius misses at most |x| - ceil(t |x|) of x's
+  shingles, so the nearest pivot of both is among x's first |x| - ceil(t |x|) + 1.
+* Further pivots: regions of more than BLOCK sets take up to CENTRES of their sets as
+  pivots, of different components, the largest first.  Distances are taken between
+  parity sketches (SKETCH bits): their Hamming distance is a metric that never exceeds
+  the number of shingles in which two sets differ, so sets within the radius lie
+  within some bits a of each other.  A set lives with its nearest pivot p, in the ring
+  of its distance from p; by the triangle inequality a partner of another region lies
+  at most 2 a farther from p than from its own pivot, and in rings at most a away, so
+  it visits those.  This recurs up to DEPTH times; what is still large by then (sets
+  that are all about as far from each other as the radius) is dealt into pairs of
+  blocks, so no part ever has more than 2 BLOCK rows or so.
+* Before regions are cut, each set meets the least one of its region.  That joins dense
+  groups by stars; pairs within a component cannot change the result and are left out,
+  and regions whose sets are one component are done.
+* What sketches and sizes do not part is decided by the sets themselves: each text of
+  a candidate pair is cut into shingles once, and sets travel to the partner that
+  most pairs have in common.
 
 Equal sets are one class from the start, and classes are joined, not documents.
 Links make components by alternating stars (large and small), in as many rounds
@@ -40,21 +47,25 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fellgate.llm.hashing import mix
+from fellgate.llm.hashing import mix, ranges
 from fellgate.llm.scratch import Scratch
 from fellgate.llm.words import texts
 
 N, NUMERATOR, DENOMINATOR = 3, 9, 10
 #: A pivot found in more regions' worth of rows than COMMON, and than a share of all rows so that there are at most MOST of them.
 COMMON, MOST = 64, 1 << 20
-BLOCK = 256
+#: Regions of more sets are cut: by so many pivots, so often, into rings of so many bits.
+BLOCK, CENTRES, DEPTH, RING = 512, 16, 3, 32
 #: Regions up to FEW rows are compared together, as many as have ROWS rows.
 FEW, ROWS = 8, 1 << 15
+#: Partners of one set that a task verifies.
+PARTNERS = 256
 SKETCH = 512
 _LOW = np.uint64((1 << 56) - 1)
+BITS = [f"s{k}" for k in range(SKETCH // 64)]
 
 
 class _Codes(dict):
@@ -117,13 +128,24 @@ def _rows(data: pa.Array) -> Iterator[bytes]:
     return (x.as_py() for x in data)
 
 
-def _reach(size: int, num: int, den: int) -> int:
+def _reach(size, num: int, den: int):
     """How many of its nearest pivots a set is copied to."""
     return size + num * size // -den + 1
 
 
+def _widest(size, num: int, den: int):
+    """Most tokens in which a set of this size differs from any partner."""
+    return (den - num) * size // num
+
+
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """Parity of the set's tokens in each of SKETCH cells: sets that differ in d tokens have sketches that differ in d bits at most."""
+    cells = np.bincount((mix(tokens) >> np.uint64(20)).astype(np.int64) % SKETCH, minlength=SKETCH) & 1
+    return np.packbits(cells.astype(np.uint8))
+
+
 def _classes(source: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """doc_id, id, n_shingles, fp, the nearest pivots and the sketch of every document."""
+    """doc_id, id, n_shingles, fp, the sketch and twice as many of the nearest pivots as are needed, of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,15 +153,16 @@ def _classes(source: DataFrame, n: int, num: int, den: int) -> DataFrame:
             for s in shingle_sets(_rows(batch.column("data")), n):
                 sizes.append(len(s))
                 names.append(_name(s))
-                heads.append(s[: _reach(len(s), num, den)].tobytes() if len(s) else b"")
-                sketches.append(sketch(s).tobytes())
-            columns = [batch.column("doc_id"), batch.column("id"), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(heads, pa.binary()), pa.array(sketches, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "id", "n_shingles", "fp", "head", "sketch"])
+                heads.append(s[: 2 * _reach(len(s), num, den)].tobytes() if len(s) else b"")
+                sketches.append(sketch(s).view(np.int64))
+            bits = np.array(sketches, np.int64).reshape(-1, len(BITS))
+            columns = [batch.column("doc_id"), batch.column("id"), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(heads, pa.binary()), *(pa.array(bits[:, k]) for k in range(len(BITS)))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "id", "n_shingles", "fp", "head", *BITS])
 
-    return source.select("doc_id", "id", "data").mapInArrow(run, "doc_id long, id long, n_shingles long, fp long, head binary, sketch binary")
+    return source.select("doc_id", "id", "data").mapInArrow(run, "doc_id long, id long, n_shingles long, fp long, head binary, " + ", ".join(f"{b} long" for b in BITS))
 
 
-def _head_pivots(known: DataFrame) -> DataFrame:
+def _head_pivots(sets: DataFrame) -> DataFrame:
     """pivot, n: how often each pivot stands in the heads, counted within batches first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,54 +170,96 @@ def _head_pivots(known: DataFrame) -> DataFrame:
             pivots, counts = np.unique(np.frombuffer(b"".join(_rows(batch.column("head"))), np.uint64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(pivots.view(np.int64)), pa.array(counts.astype(np.int64))], names=["pivot", "n"])
 
-    return known.select("head").mapInArrow(run, "pivot long, n long")
+    return sets.select("head").mapInArrow(run, "pivot long, n long").groupBy("pivot").agg(F.sum("n").alias("n"))
+
 
+def _is_late(tokens: np.ndarray, late: np.ndarray) -> np.ndarray:
+    return late[np.minimum(np.searchsorted(late, tokens), len(late) - 1)] == tokens if len(late) else np.zeros(len(tokens), bool)
 
-def _regions(source: DataFrame, n: int, num: int, den: int, common) -> DataFrame:
-    """pivot, fp: the regions that each set is copied into; common pivots come last in the order."""
+
+def _head_regions(sets: DataFrame, num: int, den: int, common) -> DataFrame:
+    """pivot, fp: the regions that each set is copied into, from its head; pivot null where the head has too few that are not common."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late = common.value
         for batch in batches:
-            pivots, names, size = [], [], 0
-            for s in shingle_sets(_rows(batch.column("data")), n):
-                if not len(s):
-                    continue
-                name, reach = _name(s), _reach(len(s), num, den)
-                if len(late):
-                    is_late = late[np.minimum(np.searchsorted(late, s), len(late) - 1)] == s
-                    if is_late.any():
-                        s = np.concatenate([s[~is_late], s[is_late]])
-                pivots.append(s[:reach].view(np.int64))
-                names.append(np.full(reach, name, np.int64))
-                size += reach
-                if size > 1 << 16:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (pivots, names)], names=["pivot", "fp"])
-                    pivots, names, size = [], [], 0
-            if pivots:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (pivots, names)], names=["pivot", "fp"])
-
-    return source.select("data").mapInArrow(run, "pivot long, fp long")
+            size, fp = batch.column("n").to_numpy(), batch.column("fp").to_numpy()
+            tokens = np.frombuffer(b"".join(_rows(batch.column("head"))), np.uint64)
+            reach = _reach(size, num, den)
+            held = np.minimum(size, 2 * reach)
+            of = np.repeat(np.arange(len(size)), held)
+            last = np.cumsum(held)
+
+            def nth(flag: np.ndarray) -> np.ndarray:
+                """Number of each flagged token among those of its set, from 1."""
+                total = np.concatenate([[0], np.cumsum(flag)])
+                return total[1:] - total[last - held][of]
+
+            common_ = _is_late(tokens, late)
+            number = nth(~common_)
+            keep = ~common_ & (number <= reach[of])
+            lacking = reach - np.bincount(of[keep], minlength=len(size))
+            short = (lacking > 0) & (held < size)
+            keep |= common_ & (nth(common_) <= lacking[of])
+            keep &= ~short[of]
+            pivots, names = tokens[keep].view(np.int64), fp[of[keep]]
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(pivots), pa.nulls(int(short.sum()), pa.int64())]), pa.array(np.concatenate([names, fp[short]]))], names=["pivot", "fp"])
+
+    return sets.select("fp", "n", "head").mapInArrow(run, "pivot long, fp long")
+
+
+def _text_regions(bodies: DataFrame, num: int, den: int, common) -> DataFrame:
+    """The same from whole sets (fp, tokens)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        late = common.value
+        for batch in batches:
+            for name, data in zip(batch.column("fp").to_pylist(), _rows(batch.column("tokens"))):
+                s = np.frombuffer(data, np.uint64)
+                is_late = _is_late(s, late)
+                s = np.concatenate([s[~is_late], s[is_late]])[: _reach(len(s), num, den)]
+                yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(np.full(len(s), name, np.int64))], names=["pivot", "fp"])
 
-def sketch(tokens: np.ndarray) -> np.ndarray:
-    """Parity of the set's tokens in each of SKETCH cells: sets that differ in d tokens have sketches that differ in d bits at most."""
-    cells = np.bincount((mix(tokens) >> np.uint64(20)).astype(np.int64) % SKETCH, minlength=SKETCH) & 1
-    return np.packbits(cells.astype(np.uint8))
+    return bodies.mapInArrow(run, "pivot long, fp long")
+
+
+def _bodies(source: DataFrame, sets: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """fp and tokens of the sets that are wanted (fp), each cut from a text once."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = [s.tobytes() for s in shingle_sets(_rows(batch.column("data")), n)]
+            yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.array(tokens, pa.binary())], names=["fp", "tokens"])
 
-def _bodies(source: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """fp and text of the sets (fp, id) that are in pairs: a text takes less room than its shingles."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(sets.select("fp", "id"), "fp")
     # repeated rows share an id, so the groups lie where the join has put them
-    return source.select("id", "data").join(wanted, "id").groupBy("id", "fp").agg(F.first("data").alias("data")).select("fp", "data")
+    rows = source.select("id", "data").join(wanted.join(sets.select("fp", "id"), "fp"), "id")
+    return rows.groupBy("id", "fp").agg(F.first("data").alias("data")).select("fp", "data").mapInArrow(run, "fp long, tokens binary")
 
 
-def _apart(na: np.ndarray, nb: np.ndarray, num: int, den: int) -> np.ndarray:
+def _apart(na, nb, num: int, den: int):
     """Most tokens in which sets of these sizes differ if J >= num / den."""
     return (den - num) * (na + nb) // (den + num)
 
 
+def _hamming(a: str, b: str) -> Column:
+    return F.expr(" + ".join(f"bit_count({a}.{x} ^ {b}.{x})" for x in BITS))
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    """Columns of rows sorted by key, handed on in whole groups of a key."""
+    carried: dict[str, np.ndarray] = {}
+    for batch in batches:
+        own = {c: batch.column(c).to_numpy() for c in batch.schema.names}
+        if carried:
+            own = {c: np.concatenate([carried[c], x]) for c, x in own.items()}
+        done = int(np.searchsorted(own["key"], own["key"][-1])) if batch.num_rows else len(own["key"])
+        if done:
+            yield {c: x[:done] for c, x in own.items()}
+        carried = {c: x[done:] for c, x in own.items()}
+    if carried and len(carried["key"]):
+        yield carried
+
+
 def _slices(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
     """Runs of regions that have at most ROWS rows together, or of one region."""
     lo = 0
@@ -204,122 +269,202 @@ def _slices(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
-def near_pairs(offsets: np.ndarray, fp: np.ndarray, size: np.ndarray, side: np.ndarray, group: np.ndarray, bits: np.ndarray, num: int, den: int, first: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Rows (x, y) of one region, x at home, that sizes and sketches do not part; region i has the rows offsets[i] to offsets[i + 1].
+def near_pairs(offsets: np.ndarray, size: np.ndarray, group: np.ndarray, side: np.ndarray, bits: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows (x, y), x < y, of one region that neither sizes nor sketches part, of different components; region i has the rows offsets[i] to offsets[i + 1].
 
-    Regions of as many rows, up to FEW, are compared together; larger ones on their own, 64 rows at a time."""
+    Sides 0 and 1 meet each other only, side 2 meets all.  Regions of as many rows, up to FEW, are compared together;
+    larger ones on their own, 64 rows at a time."""
 
     def near(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ok = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1) <= _apart(size[x], size[y], num, den)
-        x, y = x[ok], y[ok]
-        if first:  # of each x its partner of least name
-            order = np.lexsort((fp[y], x))
-            x, y = x[order], y[order]
-            new = np.flatnonzero(np.diff(x, prepend=-1))
-            x, y = x[new], y[new]
-        return x, y
+        return x[ok], y[ok]
 
     def meet(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        ok = (group[x] != group[y]) & ((side[y] == 1) | (fp[x] < fp[y]) | first)
+        ok = (group[x] != group[y]) & ((side[x] != side[y]) | (side[x] == 2))
         return ok & (den * size[y] >= num * size[x]) & (num * size[y] <= den * size[x])
 
     counts = np.diff(offsets)
     for g in range(2, FEW + 1):
         at = offsets[:-1][counts == g, None]
-        i, j = np.nonzero(~np.eye(g, dtype=bool))
-        x, y = (at + i).ravel(), (at + j).ravel()
-        ok = (side[x] == 0) & meet(x, y)
-        yield near(x[ok], y[ok])
+        if len(at):
+            i, j = np.triu_indices(g, 1)
+            x, y = (at + i).ravel(), (at + j).ravel()
+            ok = meet(x, y)
+            yield near(x[ok], y[ok])
     for k in np.flatnonzero(counts > FEW):
         every = np.arange(offsets[k], offsets[k + 1])
-        home = every[side[every] == 0]
-        for lo in range(0, len(home), 64):
-            some = home[lo : lo + 64]
-            i, j = np.nonzero(meet(some[:, None], every[None, :]))
-            yield near(some[i], every[j])
+        if (group[every] == group[every[0]]).all():
+            continue
+        for lo in range(0, len(every), 64):
+            some, after = every[lo : lo + 64], every[lo:]
+            i, j = np.nonzero(meet(some[:, None], after[None, :]) & (some[:, None] < after[None, :]))
+            yield near(some[i], after[j])
 
 
-def _candidates(members: DataFrame, num: int, den: int, first: bool) -> DataFrame:
-    """Pairs (a, b), a < b, of each (pivot, part): side 0 against sides 0 and 1, both of different components.
+def _candidates(members: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b), a < b, of each part (key) that sizes and sketches do not part; parts have 2 BLOCK rows or so at most."""
 
-    first: for each set only its partner of least name, so that dense groups give a star and not all their pairs."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches):
+            bits = np.stack([rows[b] for b in BITS], axis=1).view(np.uint64)
+            edges = np.flatnonzero(np.concatenate([[True], rows["key"][1:] != rows["key"][:-1], [True]]))
+            for lo, hi in _slices(edges):
+                own = slice(edges[lo], edges[hi])
+                fp = rows["fp"][own]
+                for x, y in near_pairs(edges[lo : hi + 1] - edges[lo], rows["n"][own], rows["c"][own], rows["side"][own], bits[own], num, den):
+                    if len(x):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(fp[x], fp[y])), pa.array(np.maximum(fp[x], fp[y]))], names=["a", "b"])
+
+    parts = members.select("key", "fp", "n", "c", "side", *BITS).repartition("key").sortWithinPartitions("key")
+    return parts.mapInArrow(run, "a long, b long").where("a <> b").distinct()
+
+
+def _cut(large: DataFrame, level: int, num: int, den: int) -> DataFrame:
+    """Rows (key, fp, n, c, bits) of large regions, copied into the Voronoi regions and rings of their own pivots."""
+    groups = large.groupBy("key", "c").agg(F.count("*").alias("g"), F.min(F.struct(F.xxhash64("fp", F.lit(level)).alias("h"), *BITS)).alias("own"))
+    place = Window.partitionBy("key").orderBy(F.col("g").desc(), "own.h")
+    first = groups.withColumn("r", F.row_number().over(place)).where(F.col("r") <= CENTRES)
+    centres = first.groupBy("key").agg(F.collect_list(F.struct(*(F.col(f"own.{b}").alias(b) for b in BITS))).alias("centres"))  # CENTRES at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column("own")
+            lists = batch.column("centres")
             offsets = lists.offsets.to_numpy().astype(np.int64)
-            for lo, hi in _slices(offsets):
-                rows = lists.values.slice(offsets[lo], offsets[hi] - offsets[lo])
-                fp, size, side, group = (rows.field(c).to_numpy(zero_copy_only=False) for c in ("fp", "n", "side", "c"))
-                bits = np.frombuffer(b"".join(rows.field("sketch").to_pylist()), np.uint64).reshape(len(fp), -1)
-                out = [(fp[x], fp[y]) for x, y in near_pairs(offsets[lo : hi + 1] - offsets[lo], fp, size, side, group, bits, num, den, first)]
-                x, y = (np.concatenate(c) for c in zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
-
-    lists = members.groupBy("pivot", "part").agg(F.collect_list(F.struct("fp", "n", "sketch", "side", "c")).alias("own")).where("size(own) > 1")
-    return lists.select("own").mapInArrow(run, "a long, b long").where("a <> b").distinct()
-
-
-def _dealt(rows: DataFrame, scratch: Scratch, num: int, den: int) -> DataFrame:
-    """Members of regions (pivot, fp, n, sketch) dealt into parts: a block (of one size, by hash) and all blocks of sizes within reach that visit it, up to the whole region."""
-    sizes = scratch.keep(rows.groupBy("pivot").agg(F.count("*").alias("g")).where("g > 1"))
-    small = rows.join(sizes.where(F.col("g") <= BLOCK).select("pivot"), "pivot").select("pivot", F.lit("").alias("part"), "fp", "n", "sketch", "c", F.lit(0).alias("side"))
-    # large regions: blocks of one size, by hash within it
-    large = rows.join(sizes.where(F.col("g") > BLOCK).select("pivot"), "pivot")
-    by_size = large.groupBy("pivot", "n").agg(F.count("*").alias("c"))
-    cut = by_size.select("pivot", "n", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
-    blocks = scratch.keep(cut)
-    own = large.join(blocks, ["pivot", "n"]).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-    # a block (n, block) is the home of its rows; rows of sizes n' <= n within reach, and earlier blocks of n, visit it
-    home = own.select("pivot", F.concat_ws(":", "n", "block").alias("part"), "fp", "n", "sketch", "c", F.lit(0).alias("side"))
-    near = blocks.select("pivot", F.col("n").alias("to_n"), F.col("blocks").alias("to_blocks"))
-    visit = own.join(near, "pivot").where((F.col("to_n") >= F.col("n")) & (F.col("to_n") * num <= F.col("n") * den))
-    visit = visit.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("to_blocks") - 1))).where("to_n > n OR to > block")
-    visit = visit.select("pivot", F.concat_ws(":", "to_n", "to").alias("part"), "fp", "n", "sketch", "c", F.lit(1).alias("side"))
-    return small.unionByName(home).unionByName(visit)
-
-
-def links(source: DataFrame, known: DataFrame, scratch: Scratch, n: int, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of names of different sets that are linked, as many as it takes to connect all that are.
-
-    source: id, data; known: what _classes gave.  Links are sought twice: first of each set with one partner in
-    each region, then between sets that are not connected by then, in full."""
-    spark = source.sparkSession
-    counts = scratch.keep(_head_pivots(known).groupBy("pivot").agg(F.sum("n").alias("n")).where(F.col("n") > COMMON))
-    total = known.agg(F.coalesce(F.sum(F.length("head")), F.lit(0))).first()[0] // 8
-    late = counts.where(F.col("n") > total // MOST).toPandas()["pivot"].to_numpy()  # MOST rows at most
-    common = spark.sparkContext.broadcast(np.sort(late.astype(np.int64).view(np.uint64)))
-    regions = scratch.keep(_regions(source, n, num, den, common))
-    shared = scratch.keep(regions.groupBy("pivot").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo < hi").select("pivot"))
-    rows = scratch.keep(regions.join(shared, "pivot").distinct())
-    scratch.drop(counts, shared, regions)
-    sets = scratch.keep(known.groupBy("fp").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
+            count, first_ = np.diff(offsets), offsets[:-1] - offsets[0]
+            there = lists.values.slice(offsets[0], offsets[-1] - offsets[0])
+            of = np.repeat(np.arange(batch.num_rows), count)
+            far = np.zeros(len(of), np.int64)
+            for b in BITS:
+                far += np.bitwise_count(batch.column(b).to_numpy().view(np.uint64)[of] ^ there.field(b).to_numpy().view(np.uint64))
+            if not len(of):
+                continue
+            cell = np.arange(len(of)) - first_[of]
+            nearest = np.minimum.reduceat(far, first_)
+            home = np.minimum.reduceat(np.where(far == nearest[of], cell, CENTRES), first_)[of]
+            widest = _widest(batch.column("n").to_numpy(), num, den)[of]
+            at = np.flatnonzero((cell == home) | ((cell < home) & (far <= nearest[of] + 2 * widest)))
+            low = np.maximum(0, far[at] - widest[at]) // RING
+            high = np.where(cell[at] == home[at], far[at], np.minimum(SKETCH, far[at] + widest[at])) // RING
+            times = high - low + 1
+            row, cells, rings = np.repeat(of[at], times), np.repeat(cell[at], times), ranges(low, times)
+            key = mix(batch.column("key").to_numpy()[row].view(np.uint64) + mix((np.uint64(level + 1) << np.uint64(40)) + (cells.astype(np.uint64) << np.uint64(20)) + rings.astype(np.uint64)))
+            rest = batch.select(["fp", "n", "c", *BITS]).take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *rest.columns], names=["key", *rest.schema.names])
+
+    joined = large.select("key", "fp", "n", "c", *BITS).join(centres, "key")
+    return joined.mapInArrow(run, "key long, fp long, n long, c long, " + ", ".join(f"{b} long" for b in BITS))
+
+
+def _dealt(large: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Rows of regions that no pivot cuts: a part for each pair of blocks, by hash."""
+    blocks = sizes.select("key", F.ceil(F.col("g") / BLOCK).cast("int").alias("blocks"))
+    rows = large.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    part = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+    # rows of a block meet in its part with itself; in a part with another block they meet that block's rows only
+    return rows.select(part.alias("key"), "fp", "n", "c", side.cast("int").alias("side"), *BITS)
+
+
+def _parts(rows: DataFrame, scratch: Scratch, num: int, den: int) -> DataFrame:
+    """Rows (key, g, fp, n, c, bits) of all regions, the large ones cut until each part (key) has 2 BLOCK rows or so at most."""
+    columns = ["key", "fp", "n", "c", *BITS]
+    whole = F.lit(2).alias("side")
+    done = [rows.where(F.col("g") <= BLOCK).select(*columns, whole)]
+    large = rows.where(F.col("g") > BLOCK).select(*columns)
+    for level in range(DEPTH + 1):
+        sizes = scratch.keep(large.groupBy("key").agg(F.count("*").alias("g"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key", "g"))
+        if level:
+            done.append(large.join(sizes.where(F.col("g") <= BLOCK).select("key"), "key").select(*columns, whole))
+        sizes = sizes.where(F.col("g") > BLOCK)
+        if sizes.isEmpty():
+            break
+        large = scratch.keep(large.join(sizes.select("key"), "key"))
+        if level == DEPTH:
+            done.append(_dealt(large, sizes))
+            break
+        large = scratch.keep(_cut(large, level, num, den))
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _linked(pairs: DataFrame, source: DataFrame, sets: DataFrame, scratch: Scratch, n: int, num: int, den: int) -> DataFrame:
+    """The pairs (hub, fp) whose sets are alike: each hub's set goes once to every PARTNERS of its partners."""
+    wanted = pairs.select("fp").unionByName(pairs.select(F.col("hub").alias("fp"))).distinct()
+    bodies = scratch.keep(_bodies(source, sets, wanted, n))
+    salts = pairs.groupBy("hub").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("salts"))
+    place = F.xxhash64("hub", "salt").alias("key")
+    partners = pairs.join(salts, "hub").withColumn("salt", F.pmod(F.xxhash64("fp"), F.col("salts")).cast("int"))
+    partners = partners.select(place, F.lit(1).alias("side"), "hub", "fp").join(bodies, "fp")
+    hubs = salts.select("hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    hubs = hubs.select(place, F.lit(0).alias("side"), "hub", F.col("hub").alias("fp")).join(bodies, "fp")
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, own = None, np.zeros(0, np.uint64)
         for batch in batches:
-            keep = []
-            for x, y in zip(*(shingle_sets(_rows(batch.column(c)), n) for c in ("left", "right"))):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(den * both >= num * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        bodies = scratch.keep(_bodies(source, sets, pairs))
-        left, right = (bodies.select(F.col("fp").alias(c), F.col("data").alias(side)) for c, side in (("a", "left"), ("b", "right")))
-        found = scratch.keep(pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(verify, "a long, b long"))
-        scratch.drop(bodies)
-        return found
-
-    described = rows.join(sets.select("fp", "n", "sketch"), "fp")
-    dealt = scratch.keep(_dealt(described.withColumn("c", F.col("fp")), scratch, num, den))
-    scratch.drop(rows)
-    pairs = scratch.keep(_candidates(dealt, num, den, True))
-    star = linked(pairs)
-    scratch.drop(pairs)
-    group = components(star, scratch).select(F.col("node").alias("fp"), F.col("component").alias("g"))
-    dealt = dealt.join(group, "fp", "left").withColumn("c", F.coalesce("g", "c")).drop("g")
-    pairs = scratch.keep(_candidates(dealt, num, den, False))
-    return star.unionByName(linked(pairs))
+            found = []
+            for side, a, b, tokens in zip(batch.column("side").to_pylist(), batch.column("hub").to_pylist(), batch.column("fp").to_pylist(), batch.column("tokens")):
+                other = np.frombuffer(tokens.as_buffer(), np.uint64)
+                if side == 0:
+                    hub, own = a, other.copy()
+                    continue
+                assert a == hub, "the hub's set comes before those of its partners"
+                at = np.minimum(np.searchsorted(own, other), len(own) - 1)
+                both = int((own[at] == other).sum())
+                if den * both >= num * (len(own) + len(other) - both):
+                    found.append((a, b))
+            a, b = zip(*found) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    columns = ("key", "side", "hub", "fp", "tokens")
+    both = hubs.select(*columns).unionByName(partners.select(*columns)).repartition("key").sortWithinPartitions("key", "hub", "side")
+    found = scratch.keep(both.mapInArrow(run, "a long, b long"))
+    scratch.drop(bodies)
+    return found
+
+
+def clusters(source: DataFrame, known: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """fp, component (the least fp linked with it, over any number of links) of the sets that are linked with another.
+
+    source: id, data; known: what _classes gave."""
+    spark, scratch = source.sparkSession, Scratch(source.sparkSession)
+    sets = known.groupBy("fp").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n"), F.first("head").alias("head"), *(F.first(b).alias(b) for b in BITS))
+    sets = scratch.keep(sets)
+    total = sets.agg(F.coalesce(F.sum(F.length("head")), F.lit(0))).first()[0] // 8
+    late = _head_pivots(sets).where((F.col("n") > COMMON) & (F.col("n") > total // MOST)).select("pivot").toPandas()["pivot"].to_numpy()  # MOST rows at most
+    common = spark.sparkContext.broadcast(np.sort(late.astype(np.int64).view(np.uint64)))
+
+    regions = scratch.keep(_head_regions(sets, num, den, common))
+    more = _text_regions(_bodies(source, sets, regions.where("pivot IS NULL").select("fp"), n), num, den, common)
+    regions = scratch.keep(regions.where("pivot IS NOT NULL").unionByName(more))
+    shared = regions.groupBy("pivot").agg(F.count("*").alias("g"), F.min("fp").alias("hub")).where("g > 1")
+    rows = scratch.keep(regions.join(shared, "pivot"))
+
+    sized = sets.select("fp", "n", *BITS)
+    star = rows.where("fp <> hub").select("hub", "fp").distinct().join(sized.alias("y"), "fp")
+    star = star.join(sized.select(F.col("fp").alias("hub"), F.col("n").alias("m"), *(F.col(b) for b in BITS)).alias("x"), "hub")
+    near = (F.col("m") * den >= F.col("n") * num) & (F.col("m") * num <= F.col("n") * den)
+    near &= _hamming("x", "y") <= F.floor(F.col("m") * (den - num) + F.col("n") * (den - num)) / (den + num)
+    star = scratch.keep(star.where(near).select("hub", "fp"))
+    star = components(_linked(star, source, sets, scratch, n, num, den), scratch)
+    star = scratch.keep(star.select(F.col("node").alias("fp"), F.col("component").alias("label")))
+
+    labelled = sized.join(star, "fp", "left").withColumn("c", F.coalesce("label", "fp")).drop("label")
+    rows = scratch.keep(rows.select(F.col("pivot").alias("key"), "g", "fp").join(labelled, "fp"))
+    pairs = scratch.keep(_candidates(_parts(rows, scratch, num, den), num, den).select(F.col("a").alias("hub"), F.col("b").alias("fp")))
+    found = _linked(pairs, source, sets, scratch, n, num, den)
+    # links between the stars' components, not between their members
+    a, b = (star.select(F.col("fp").alias(c), F.col("label").alias(f"c{c}")) for c in "ab")
+    found = found.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    over = components(found, scratch)
+    over = scratch.keep(over.select(F.col("node").alias("label"), "component"))
+    members = star.join(over, "label", "left").select("fp", F.coalesce("component", "label").alias("component"))
+    alone = over.join(star.select(F.col("fp").alias("label")), "label", "left_anti").select(F.col("label").alias("fp"), "component")
+    out = scratch.keep(members.unionByName(alone))
+    scratch.clear(out)
+    return out
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -329,14 +474,14 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     while True:
         for large in (True, False):
             both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-            least = scratch.keep(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
+            least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
             moved = both.join(least, "u")
             if large:  # neighbours above a node go to its least neighbour
                 moved = moved.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
             else:  # neighbours below a node, and itself
                 moved = moved.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
             new = scratch.keep(moved.where("u <> v").distinct())
-            scratch.drop(edges, least)
+            scratch.drop(edges)
             edges = new
         state = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == before:
@@ -352,14 +497,13 @@ def groups(docs: DataFrame, n: int = N, num: int = NUMERATOR, den: int = DENOMIN
     source = texts(docs).select("doc_id", F.xxhash64("doc_id", "text").alias("id"), F.col("text").cast("binary").alias("data"))
     known = scratch.keep(_classes(source, n, num, den))
     takes_part = known.where("doc_id IS NOT NULL AND n_shingles > 0")
-    pairs = links(source.where("doc_id IS NOT NULL"), takes_part, scratch, n, num, den)
-    least = scratch.keep(takes_part.groupBy("fp").agg(F.min("doc_id").alias("class_id")))
-    a, b = (least.select(F.col("fp").alias(c), F.col("class_id").alias(f"c{c}")) for c in "ab")
-    edges = pairs.join(a, "a").join(b, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    found = components(edges, scratch)
-    least = scratch.keep(least.join(found.select(F.col("node").alias("class_id"), "component"), "class_id", "left"))
-    out = known.drop("head", "sketch").withColumn("fp", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("fp"))).join(least, "fp", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "class_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
+    found = clusters(source.where("doc_id IS NOT NULL"), takes_part, n, num, den)
+    least = takes_part.groupBy("fp").agg(F.min("doc_id").alias("class_id")).join(found, "fp", "left").withColumn("c", F.coalesce("component", "fp"))
+    least = scratch.keep(least)
+    ids = least.groupBy("c").agg(F.min("class_id").alias("component_id"))
+    least = scratch.keep(least.join(ids, "c").select("fp", "class_id", "component_id"))
+    out = known.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("fp")).alias("fp")).join(least, "fp", "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
 def representatives(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
@@ -373,7 +517,7 @@ def representatives(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) ->
     source = texts(docs).select("doc_id", F.xxhash64("doc_id", "text").alias("id"), F.col("text").cast("binary").alias("data"))
     known = scratch.keep(_classes(source, n, num, den))
     takes_part = known.where("n_shingles > 0")
-    found = components(links(source, takes_part, scratch, n, num, den), scratch).select(F.col("node").alias("fp"), "component")
+    found = clusters(source, takes_part, n, num, den)
     rows = known.groupBy("doc_id", "id", "n_shingles", "fp").agg(F.count("*").alias("k"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "id", "k")).alias("row")
     of_set = rows.where("n_shingles > 0").groupBy("fp").agg(first)

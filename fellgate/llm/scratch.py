@@ -10,14 +10,22 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Seconds between two collections of garbage, after which Spark deletes the shuffle files of plans that are no longer referred to.
+COLLECT = 4.0
+_collected = 0.0
+
 
 def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder; one of this machine only where all of Spark runs on it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="fellgate-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -29,20 +37,24 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 class Scratch:
-    """Written tables of one job. ``keep`` writes one; ``drop`` deletes those that nothing reads any more."""
+    """Written tables of one job. ``keep`` writes one, ``drop`` deletes those that nothing reads any more,
+    ``clear`` all; what is left goes when the session's program ends, as a lazy result may read it until then."""
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self._paths = spark, {}
         atexit.register(self._at_exit)
 
     def keep(self, df: DataFrame) -> DataFrame:
+        global _collected
         path = f"{shared_folder(self.spark).rstrip('/')}/fellgate-{uuid.uuid4().hex}"
         df.write.option("compression", "zstd").parquet(path)
         table = self.spark.read.schema(df.schema).parquet(path)
         self._paths[id(table)] = (path, table)
         del df
-        gc.collect()
-        self.spark._jvm.System.gc()  # Spark deletes the shuffle files of plans that are no longer referred to
+        if time.monotonic() - _collected > COLLECT:
+            gc.collect()
+            self.spark._jvm.System.gc()
+            _collected = time.monotonic()
         return table
 
     def drop(self, *tables: DataFrame) -> None:
@@ -50,9 +62,13 @@ class Scratch:
             path, _ = self._paths.pop(id(table))
             _delete(self.spark, path)
 
+    def clear(self, *but: DataFrame) -> None:
+        """Delete all tables except these."""
+        kept = {id(x) for x in but}
+        self.drop(*(table for key, (_, table) in list(self._paths.items()) if key not in kept))
+
     def _at_exit(self) -> None:
         try:
-            for path, _ in self._paths.values():
-                _delete(self.spark, path)
+            self.clear()
         except Exception:  # noqa: BLE001 - the session is gone already
             pass

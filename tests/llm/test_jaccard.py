@@ -70,33 +70,102 @@ def test_chain_components(spark):
     assert found == {i: 1 for i in range(1, 41)} | {100: 100, 200: 100}
 
 
-@pytest.mark.parametrize("first", [False, True])
-def test_near_pairs_against_all_pairs(first):
+def test_near_pairs_against_all_pairs():
     rng = np.random.default_rng(1)
     for trial in range(40):
         counts = rng.integers(2, (3, 9, 14, 200)[trial % 4], size=rng.integers(1, 12))
         offsets = np.concatenate([[0], np.cumsum(counts)])
         n = offsets[-1]
-        fp, size, side, group = rng.choice(10**6, n, replace=False) - 500_000, rng.integers(20, 40, n), rng.integers(0, 2, n), rng.integers(0, n, n)
+        size, side, group = rng.integers(20, 40, n), rng.integers(0, 2, n), rng.integers(0, n, n)
+        if trial % 2:
+            side[:] = 2
         bits = np.zeros((n, 8), np.uint64)
         bits[:, 0] = rng.integers(0, 16, n)
-        want = set()
-        for lo, hi in zip(offsets[:-1], offsets[1:]):
-            for x in (x for x in range(lo, hi) if side[x] == 0):
-                met = [
-                    int(fp[y])
-                    for y in range(lo, hi)
-                    if group[x] != group[y]
-                    and (first or side[y] == 1 or fp[x] < fp[y])
-                    and 9 * max(size[x], size[y]) <= 10 * min(size[x], size[y])
-                    and int(bits[x, 0] ^ bits[y, 0]).bit_count() <= (size[x] + size[y]) // 19
-                ]
-                want |= {frozenset((int(fp[x]), y)) for y in (sorted(met)[:1] if first else met)}
-        found = jaccard.near_pairs(offsets, fp, size, side, group, bits, 9, 10, first)
-        assert {frozenset((int(fp[a]), int(fp[b]))) for x, y in found for a, b in zip(x, y)} == want
+        want = {
+            (x, y)
+            for lo, hi in zip(offsets[:-1], offsets[1:])
+            for x in range(lo, hi)
+            for y in range(x + 1, hi)
+            if group[x] != group[y]
+            and (side[x] == 2 or side[x] != side[y])
+            and 9 * max(size[x], size[y]) <= 10 * min(size[x], size[y])
+            and int(bits[x, 0] ^ bits[y, 0]).bit_count() <= (size[x] + size[y]) // 19
+        }
+        found = [(int(a), int(b)) for x, y in jaccard.near_pairs(offsets, size, group, side, bits, 9, 10) for a, b in zip(x, y)]
+        assert len(found) == len(set(found)) and set(found) == want
         assert [k for lo, hi in jaccard._slices(offsets) for k in range(lo, hi)] == list(range(len(counts)))
 
 
+def crowd(rng, copies, strangers, edits):
+    """Near copies of one text, some beyond the threshold of each other, and texts that share a phrase with them."""
+    base = [f"w{rng.randint(0, 9999)}" for _ in range(120)]
+    rows = []
+    for i in range(copies):
+        w = list(base)
+        for _ in range(rng.randint(0, edits)):
+            w[rng.randrange(len(w))] = f"e{rng.randint(0, 99999)}"
+        rows.append((9_000_000 - i, " ".join(w)))
+    for i in range(strangers):
+        rows.append((i, " ".join([*base[50:60], *(f"q{rng.randint(0, 999999)}" for _ in range(rng.randint(0, 40)))])))
+    return rows
+
+
+def components_of(rows):
+    """brute() for many rows: intersections by one matrix product."""
+    sets = [set(zip(w, w[1:], w[2:])) for w in (t.lower().split() for _, t in rows)]
+    index = {}
+    seen = collections.Counter(x for s in sets for x in s)
+    for s in sets:
+        for x in s:
+            if seen[x] > 1:
+                index.setdefault(x, len(index))
+    m = np.zeros((len(sets), len(index)), np.float32)
+    for i, s in enumerate(sets):
+        m[i, [index[x] for x in s if x in index]] = 1
+    size = np.array([len(s) for s in sets])
+    root = np.arange(len(rows))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for lo in range(0, len(sets), 500):
+        both = (m[lo : lo + 500] @ m.T).astype(np.int64)
+        for i, j in zip(*np.nonzero(10 * both >= 9 * (size[lo : lo + 500, None] + size[None, :] - both))):
+            root[find(lo + i)] = find(j)
+    least = {}
+    for i, (doc, _) in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), doc), doc)
+    return collections.Counter((doc, int(size[i]), least[find(i)]) for i, (doc, _) in enumerate(rows))
+
+
+@pytest.mark.parametrize(("block", "depth", "centres"), [(16, 3, 4), (8, 0, 4), (16, 2, 1), (32, 1, 16)])
+def test_large_regions_are_cut(spark, monkeypatch, block, depth, centres):
+    """Voronoi regions, rings and blocks lose no link, and no part is larger than two blocks or so."""
+    for name, value in (("BLOCK", block), ("DEPTH", depth), ("CENTRES", centres)):
+        monkeypatch.setattr(jaccard, name, value)
+    largest = []
+    candidates = jaccard._candidates
+
+    def watched(members, num, den):
+        largest.append(members.groupBy("key").count().agg({"count": "max"}).first()[0])
+        return candidates(members, num, den)
+
+    monkeypatch.setattr(jaccard, "_candidates", watched)
+    rows = crowd(random.Random(block + depth), 150, 150, 9)
+    assert got(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)) == components_of(rows) == brute(rows)
+    assert max(largest) <= 4 * block
+
+
+def test_five_thousand_near_copies(spark):
+    rows = crowd(random.Random(8), 5000, 500, 7)
+    want = components_of(rows)
+    assert 20 < len({c for _, _, c in want}) < 5000
+    assert got(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)) == want
+
+
 def test_representatives_take_five_words_and_four_fifths(spark):
     rng = random.Random(4)
     rows = []
