@@ -7,29 +7,37 @@ the number of distinct symbols seen there) to the next shorter one, where the
 symbols of the longer context are excluded.  Below order 0 all symbols left are
 alike.  The log10 probabilities of a text's bytes and of its end add up to its score.
 
-The trie needs no pass of its own for lower orders: the counts of five-byte
-grams hold them all.  It is cut into shards by the two bytes before the symbol,
-each with all longer contexts of those, so each shard scores its positions alone.
-A shard has at most SHARD grams (or one two-byte context, 256**3 at most), which
-bounds what is broadcast; a trie of any size is scored shard by shard.
-
-Words that make up 1/HEAVY of the training tokens or more (so HEAVY of them at
-most) have their counts broadcast; all others meet their counts in a join.
+How it is spread out: what a symbol and its context are worth depends on the five
+bytes (a gram) alone, and a block of texts has far fewer distinct grams than bytes.
+
+1. Texts are dealt into blocks of BLOCK bytes or so; each block lists its distinct grams
+   and words, with how often its training texts hold them.
+2. Lists are cut into shards: grams by the two bytes before the symbol (a context and
+   all longer ones of it fall into one shard, so a shard can score its grams alone),
+   words by their hash.  Each shard adds up its lists: that is the model.  Counts of
+   byte pairs (65,536 at most) are what shards share.
+3. Each shard gives every entry of every list its value: log10 p of a gram, log10 (c + 1) of a word.
+4. Lists with values go back to the texts of their block, which add them up.
+
+Two passes over the texts, however large the model is; no task holds more than one
+shard's trie (SHARD grams, or one two-byte context) or one block's list, and the driver
+holds numbers of the 65,536 pairs.  A shard's lists are merged and valued by up to
+LISTS at a time.
 
 Defined results: null text is empty (its end is its one token); a null doc_id is
 neither learned from nor held out; repeated rows are learned from once each and
 scored alike; no training text gives a model that knows nothing (all escapes).
-Other columns are ignored.
+Other columns are ignored.  Words are told apart by 63-bit hashes.
 """
 
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,46 +48,22 @@ from fellgate.llm.words import hash_words, texts
 ORDER = 4
 #: Neither byte occurs in UTF-8: one stands before a text, the other for its end.
 START, END = 0xFE, 0xFF
-SHARD = 1 << 22
-HEAVY = 1 << 18
-CHUNK = 1 << 21
-#: The end of a text among the words (no word hashes to it but by chance of 2**-64).
+BLOCK = 4 << 20
+SHARD = 1 << 19
+LISTS = 256
+#: Symbols, or words, that are looked at together.
+CHUNK = 1 << 20
+#: The end of a text among the words (no word hashes to it but by chance of 2**-63).
 END_WORD = 0
 FOLDS, HELD_OUT = 7, 2
 
+Runs = Iterator[tuple[int, np.ndarray, np.ndarray]]
 
-class _Tally:
-    """Counts of 64-bit keys; handed on when it has grown large, so that its memory is bounded."""
 
-    def __init__(self, most: int = 1 << 21) -> None:
-        self._most, self._parts, self._size = most, [], 0
+def _grams(data: np.ndarray, offsets: np.ndarray) -> Runs:
+    """(first row, grams, row of each) of runs of rows.
 
-    def _merged(self) -> tuple[np.ndarray, np.ndarray]:
-        keys, counts = (np.concatenate(x) for x in zip(*self._parts))
-        order = np.argsort(keys, kind="stable")
-        keys, counts = keys[order], counts[order]
-        at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        return keys[at], np.add.reduceat(counts, at)
-
-    def add(self, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if len(keys):
-            self._parts.append(np.unique(keys, return_counts=True))
-            self._size += len(self._parts[-1][0])
-            if self._size > 2 * self._most:
-                self._parts = [self._merged()]
-                self._size = len(self._parts[0][0])
-                if self._size > self._most:
-                    yield from self.rest()
-
-    def rest(self) -> Iterator[pa.RecordBatch]:
-        if self._parts:
-            keys, counts = self._merged()
-            self._parts, self._size = [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))], names=["key", "n"])
-
-
-def _grams(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, grams, row of each) of runs of rows: ORDER bytes before, then the symbol, in one number."""
+    From the highest byte: the two before the symbol, the two before those, the symbol."""
     i, rows = 0, len(offsets) - 1
     while i < rows:
         j = min(rows, max(i + 1, int(np.searchsorted(offsets, offsets[i] + CHUNK, "right")) - 1))
@@ -88,52 +72,111 @@ def _grams(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndar
         padded = np.full(int(sizes.sum()), START, np.uint8)
         padded[ranges(starts + ORDER, sizes - ORDER - 1)] = data[offsets[i] : offsets[j]]
         padded[starts + sizes - 1] = END
-        at = ranges(starts + ORDER, sizes - ORDER)
         wide = padded.astype(np.uint64)
-        key = wide[at]
-        for k in range(1, ORDER + 1):
-            key |= wide[at - k] << np.uint64(8 * k)
-        yield i, key, np.repeat(np.arange(i, j), sizes - ORDER)
+        key = wide.copy()
+        for back, shift in ((1, 24), (2, 32), (3, 8), (4, 16)):
+            key[back:] |= wide[:-back] << np.uint64(shift)
+        yield i, key[ranges(starts + ORDER, sizes - ORDER)], np.repeat(np.arange(i, j), sizes - ORDER)
         i = j
 
 
+def _in_order(grams: np.ndarray) -> np.ndarray:
+    """Grams with their bytes in the order of the text, the symbol lowest (as Trie takes them)."""
+    return (grams & np.uint64(0xFF)) | ((grams >> np.uint64(24)) & np.uint64(0xFFFF)) << np.uint64(8) | ((grams >> np.uint64(8)) & np.uint64(0xFFFF)) << np.uint64(24)
+
+
+def _words(data: np.ndarray, offsets: np.ndarray) -> Runs:
+    """(first row, hashes of the lower-cased words and of the end, row of each) of runs of rows."""
+    i, rows = 0, len(offsets) - 1
+    while i < rows:
+        first, parts, size = i, [], 0
+        while i < rows and size < CHUNK:
+            parts.append(hash_words(data[offsets[i] : offsets[i + 1]].tobytes().lower().split()) >> np.uint64(1))
+            parts.append(np.full(1, END_WORD, np.uint64))
+            size += len(parts[-2]) + 1
+            i += 1
+        sizes = [len(a) + 1 for a in parts[::2]]
+        yield first, np.concatenate(parts), np.repeat(np.arange(first, i), sizes)
+
+
 def _bytes_of(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
     col = batch.column(name)
     offsets = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
     return np.frombuffer(col.buffers()[2], np.uint8) if col.buffers()[2] is not None else np.zeros(0, np.uint8), offsets
 
 
-def gram_counts(train: DataFrame) -> DataFrame:
-    """key (a gram), n over all of train.data."""
+def _sum_by(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and the sums of their counts."""
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[at], np.add.reduceat(counts, at) if len(at) else counts
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = _Tally()
-        for batch in batches:
-            for _, key, _ in _grams(*_bytes_of(batch, "data")):
-                yield from tally.add(key)
-        yield from tally.rest()
+class _Tally:
+    """Distinct keys with counts, merged whenever as many have come as there are."""
+
+    def __init__(self) -> None:
+        self._parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self._held = self._new = 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self._parts.append((keys, counts))
+        self._new += len(keys)
+        if self._new > max(self._held, CHUNK):
+            self.sums()
+
+    def learn(self, keys: np.ndarray, learned: np.ndarray) -> None:
+        """Keys as they come, some of texts that are not learned from."""
+        flagged = np.sort(keys << np.uint64(1) | learned)
+        keys = flagged >> np.uint64(1)
+        at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        self.add(keys[at], np.add.reduceat((flagged & np.uint64(1)).astype(np.int64), at))
 
-    return train.select("data").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    def sums(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted distinct keys and their counts so far."""
+        if len(self._parts) != 1:
+            keys, counts = (np.concatenate(x) for x in zip(*self._parts)) if self._parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            self._parts = [_sum_by(keys, counts)]
+        self._held, self._new = len(self._parts[0][0]), 0
+        return self._parts[0]
 
 
-def word_counts(train: DataFrame) -> DataFrame:
-    """key (hash of a lower-cased word, or END_WORD), n over all of train.data."""
+LISTED = "block long, doc_id long, held_out boolean, data binary, grams binary, gram_counts binary, words binary, word_counts binary"
+
+
+def _listed(source: DataFrame) -> DataFrame:
+    """The texts, each with its block, and for each block one row of lists."""
+    names = [c.split()[0] for c in LISTED.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), *[pa.binary()] * 5]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = _Tally()
-        for batch in batches:
-            parts, size = [np.full(batch.num_rows, END_WORD, np.uint64)], 0
-            for value in batch.column("data"):
-                parts.append(hash_words(value.as_py().lower().split()))
-                size += len(parts[-1])
-                if size > CHUNK:
-                    yield from tally.add(np.concatenate(parts))
-                    parts, size = [], 0
-            if parts:
-                yield from tally.add(np.concatenate(parts))
-        yield from tally.rest()
+        block, size, grams, words = TaskContext.get().partitionId() << 32, 0, _Tally(), _Tally()
 
-    return train.select("data").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+        def lists() -> pa.RecordBatch:
+            cells = [x for keys, counts in (grams.sums(), words.sums()) for x in (keys.tobytes(), counts.astype(np.int64).tobytes())]
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip([block, None, None, None, *cells], kinds)], names=names)
+
+        for batch in batches:
+            data, offsets = _bytes_of(batch, "data")
+            learned = batch.column("learned").to_numpy(zero_copy_only=False).astype(np.uint64)
+            i = 0
+            while i < batch.num_rows:
+                j = min(batch.num_rows, max(i + 1, int(np.searchsorted(offsets, offsets[i] + BLOCK - size, "right")) - 1))
+                for read, into in ((_grams, grams), (_words, words)):
+                    for _, keys, row in read(data, offsets[i : j + 1]):
+                        into.learn(keys, learned[i:j][row])
+                part = batch.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(j - i, block)), part.column("doc_id"), part.column("held_out"), part.column("data"), *[pa.nulls(j - i, pa.binary())] * 4], names=names)
+                size += int(offsets[j] - offsets[i])
+                if size >= BLOCK:
+                    yield lists()
+                    block, size, grams, words = block + 1, 0, _Tally(), _Tally()
+                i = j
+        if size or len(words.sums()[0]):
+            yield lists()
+
+    return source.select("doc_id", "held_out", "learned", "data").mapInArrow(run, LISTED)
 
 
 class _Index:
@@ -173,14 +216,6 @@ class _Index:
         return out
 
 
-def _sum_by(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys and the sums of their counts."""
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[at], np.add.reduceat(counts, at) if len(at) else counts
-
-
 def _log(x: np.ndarray) -> np.ndarray:
     return np.log10(np.maximum(x, 1))
 
@@ -242,121 +277,187 @@ class Trie:
         return out
 
 
-def _shards(sizes: list[tuple[int, int]]) -> list[list[int]]:
-    """Two-byte contexts in shards of at most SHARD grams, or one context."""
-    out, room = [], 0
+def _shards(sizes: list[tuple[int, int]]) -> list[int]:
+    """First two-byte contexts of shards of at most SHARD entries, or of one context."""
+    out, room = [0], SHARD
     for context, n in sorted(sizes):
-        if not out or n > room:
-            out.append([])
+        if n > room and context > out[-1]:
+            out.append(context)
             room = SHARD
-        out[-1].append(context)
         room -= n
-    return out or [[]]
+    return out
+
+
+def _context_sizes(lists: DataFrame) -> DataFrame:
+    """context (-1: words), n: entries of all lists, added up in each task first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, words = np.zeros(1 << 16, np.int64), 0
+        for batch in batches:
+            for grams, own in zip(batch.column("grams"), batch.column("words")):
+                total += np.bincount((np.frombuffer(grams.as_buffer(), np.uint64) >> np.uint64(24)).astype(np.int64), minlength=1 << 16)
+                words += len(own.as_buffer()) // 8
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], words))], names=["context", "n"])
+
+    return lists.select("grams", "words").mapInArrow(run, "context long, n long").groupBy("context").agg(F.sum("n").alias("n"))
+
+
+def _pieces(lists: DataFrame, grams: list[int], words: int, salts: int) -> DataFrame:
+    """shard, salt, block, keys, counts: lists cut at the shards' borders; word shards come after gram shards."""
+    starts = {"grams": np.array(grams, np.uint64) << np.uint64(24), "words": np.array([k * 2**63 // words for k in range(words)], np.uint64)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                block, number = batch.column("block")[row].as_py(), 0
+                for kind, counts in (("grams", "gram_counts"), ("words", "word_counts")):
+                    keys = np.frombuffer(batch.column(kind)[row].as_buffer(), np.uint64)
+                    n = np.frombuffer(batch.column(counts)[row].as_buffer(), np.int64)
+                    cuts = np.append(np.searchsorted(keys, starts[kind]), len(keys))
+                    some = np.flatnonzero(np.diff(cuts))
+                    cells = [[x[cuts[k] : cuts[k + 1]].tobytes() for k in some] for x in (keys, n)]
+                    yield pa.RecordBatch.from_arrays([pa.array((some + number).astype(np.int32)), pa.array(np.full(len(some), block)), *(pa.array(x, pa.binary()) for x in cells)], names=["shard", "block", "keys", "counts"])
+                    number += len(starts[kind])
+
+    pieces = lists.select("block", "grams", "gram_counts", "words", "word_counts").mapInArrow(run, "shard int, block long, keys binary, counts binary")
+    return pieces.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int"))
+
+
+def _added(pieces: DataFrame) -> DataFrame:
+    """shard, keys, counts (of those learned), total, kinds: one row for each shard and salt."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, tally = None, _Tally()
+
+        def row() -> pa.RecordBatch:
+            keys, counts = tally.sums()
+            seen = counts > 0
+            cells = [here[0], keys[seen].tobytes(), counts[seen].tobytes(), int(counts.sum()), int(seen.sum())]
+            kinds = (pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(cells, kinds)], names=["shard", "keys", "counts", "total", "kinds"])
+
+        for batch in batches:
+            for shard, salt, keys, counts in zip(batch.column("shard").to_pylist(), batch.column("salt").to_pylist(), batch.column("keys"), batch.column("counts")):
+                if here != (shard, salt):
+                    if here:
+                        yield row()
+                    here, tally = (shard, salt), _Tally()
+                tally.add(np.frombuffer(keys.as_py(), np.uint64), np.frombuffer(counts.as_py(), np.int64))
+        if here:
+            yield row()
+
+    rows = pieces.select("shard", "salt", "keys", "counts").repartition("shard", "salt").sortWithinPartitions("shard", "salt")
+    return rows.mapInArrow(run, "shard int, keys binary, counts binary, total long, kinds long")
+
+
+def _pairs(model: DataFrame, grams: int) -> DataFrame:
+    """pair (a byte and the symbol after it), n."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << 16, np.int64)
+        for batch in batches:
+            for keys, counts in zip(batch.column("keys"), batch.column("counts")):
+                pair = _in_order(np.frombuffer(keys.as_buffer(), np.uint64)) & np.uint64(0xFFFF)
+                np.add.at(total, pair.astype(np.int64), np.frombuffer(counts.as_buffer(), np.int64))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["pair", "n"])
+
+    return model.where(F.col("shard") < grams).select("keys", "counts").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+
+
+def _valued(pieces: DataFrame, model: DataFrame, grams: int, salts: int, pairs) -> DataFrame:
+    """block, shard, keys, worth: log10 p of each gram, log10 (c + 1) of each word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worth = None
+
+        def prepared(shard: int, keys: np.ndarray, counts: np.ndarray):
+            if shard < grams:
+                trie = Trie(_in_order(keys), counts.astype(float), pairs.value)
+                return lambda asked: trie.score(_in_order(asked))
+            index, gain = _Index(keys), np.append(np.log10(counts + 1.0), 0.0)
+            return lambda asked: gain[index.of(asked)]
+
+        for batch in batches:
+            for side, shard, block, keys, counts in zip(*(batch.column(c).to_pylist() for c in ("side", "shard", "block")), batch.column("keys"), batch.column("counts")):
+                own = np.frombuffer(keys.as_py(), np.uint64)
+                if side == 0:
+                    worth = prepared(shard, own, np.frombuffer(counts.as_py(), np.int64))
+                    continue
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([shard], pa.int32()), pa.array([own.tobytes()], pa.binary()), pa.array([worth(own).tobytes()], pa.binary())], names=["block", "shard", "keys", "worth"])
+
+    columns = ["shard", "salt", "side", "block", "keys", "counts"]
+    models = model.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumns({"side": F.lit(0), "block": F.lit(-1).cast("long")})
+    both = models.select(*columns).unionByName(pieces.withColumn("side", F.lit(1)).select(*columns))
+    return both.repartition("shard", "salt").sortWithinPartitions("shard", "salt", "side").mapInArrow(run, "block long, shard int, keys binary, worth binary")
+
+
+def _summed(listed: DataFrame, valued: DataFrame, grams: int, missing: float) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, base_score, score: each block's lists first, then its texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, lists, tables = None, {False: [], True: []}, {}
+
+        def table(words: bool) -> tuple[_Index, np.ndarray]:
+            keys, worth = (np.concatenate([np.frombuffer(x, t) for x in own]) if own else np.zeros(0, t) for own, t in zip(zip(*lists[words]) if lists[words] else ((), ()), (np.uint64, np.float64)))
+            return _Index(keys), worth
+
+        for batch in batches:
+            blocks, sides = batch.column("block").to_numpy(), batch.column("side").to_numpy()
+            edges = np.flatnonzero(np.concatenate([[True], (blocks[1:] != blocks[:-1]) | (sides[1:] != sides[:-1]), [True]])) if len(blocks) else []
+            for i, j in zip(edges[:-1], edges[1:]):
+                if blocks[i] != block:
+                    block, lists, tables = blocks[i], {False: [], True: []}, {}
+                part = batch.slice(i, j - i)
+                if sides[i] == 0:
+                    for shard, keys, worth in zip(part.column("shard").to_pylist(), part.column("data"), part.column("worth")):
+                        lists[shard >= grams].append((keys.as_py(), worth.as_py()))
+                    continue
+                tables = tables or {words: table(words) for words in lists}
+                data, offsets = _bytes_of(part, "data")
+                n = j - i
+                score, gain, tokens, known = np.zeros(n), np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
+                index, worth = tables[False]
+                for _, keys, row in _grams(data, offsets):
+                    score += np.bincount(row, worth[index.of(keys)], n)
+                index, worth = tables[True]
+                for _, keys, row in _words(data, offsets):
+                    own = worth[index.of(keys)]
+                    gain += np.bincount(row, own, n)
+                    tokens += np.bincount(row, minlength=n)
+                    known += np.bincount(row[own > 0], minlength=n)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), *map(pa.array, (tokens, known, gain - tokens * missing, score))], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    none = F.lit(None)
+    of_texts = listed.where("data IS NOT NULL").select("block", F.lit(1).alias("side"), none.cast("int").alias("shard"), "doc_id", "held_out", "data", none.cast("binary").alias("worth"))
+    of_lists = valued.select("block", F.lit(0).alias("side"), "shard", none.cast("long").alias("doc_id"), none.cast("boolean").alias("held_out"), F.col("keys").alias("data"), "worth")
+    both = of_lists.unionByName(of_texts).repartition("block").sortWithinPartitions("block", "side", "shard")
+    return both.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
 
 
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    spark, scratch, job = docs.sparkSession, Scratch(docs.sparkSession), uuid.uuid4().hex
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS
-    source = texts(docs).select("doc_id", F.xxhash64("doc_id", "text").alias("id"), (F.coalesce(fold, F.lit(-1)) == HELD_OUT).alias("held_out"), F.col("text").cast("binary").alias("data"), fold.alias("fold"))
-    train = source.where(f"fold IS NOT NULL AND fold <> {HELD_OUT}")
-
-    words = scratch.keep(word_counts(train))
-    totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    tokens, kinds = int(totals[0]), int(totals[1])
-    heavy = words.where(F.col("n") * HEAVY >= tokens).toPandas()  # HEAVY rows at most
-    heavy = heavy.assign(key=heavy["key"].to_numpy().view(np.uint64)).sort_values("key")
-    shared_words = spark.sparkContext.broadcast((heavy["key"].to_numpy(), heavy["n"].to_numpy().astype(float)))
-    missing = math.log10(tokens + kinds + 1)
-
-    grams = scratch.keep(gram_counts(train))
-    pairs = grams.groupBy((F.col("key").bitwiseAND(0xFFFF)).alias("key")).agg(F.sum("n").alias("n")).toPandas().sort_values("key")  # 65,536 rows at most
-    sizes = [(r[0], r[1]) for r in grams.groupBy(F.shiftright("key", 8).bitwiseAND(0xFFFF).alias("c")).count().collect()]  # likewise
-    pair_table = (pairs["key"].to_numpy().astype(np.uint64), pairs["n"].to_numpy().astype(float))
-
-    def heavy_part(data: bytes) -> tuple[int, int, float, np.ndarray]:
-        keys = np.append(hash_words(data.lower().split()), np.uint64(END_WORD))
-        known, counts = shared_words.value
-        at = np.minimum(np.searchsorted(known, keys), max(0, len(known) - 1))
-        hit = known[at] == keys if len(known) else np.zeros(len(keys), bool)
-        return len(keys), int(hit.sum()), float(np.log10(counts[at[hit]] + 1).sum()), keys[~hit]
-
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, keys, counts, size = [], [], [], 0
-            for id_, data in zip(batch.column("id").to_pylist(), batch.column("data")):
-                own, n = np.unique(heavy_part(data.as_py())[3], return_counts=True)
-                ids.append(np.full(len(own), id_, np.int64))
-                keys.append(own.view(np.int64))
-                counts.append(n.astype(np.int32))
-                size += len(own)
-                if size > 1 << 16:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, keys, counts)], names=["id", "key", "tf"])
-                    ids, keys, counts, size = [], [], [], 0
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, keys, counts)], names=["id", "key", "tf"])
-
-    found = source.select("id", "data").mapInArrow(rare, "id long, key long, tf int").join(words.where(F.col("n") * HEAVY < tokens), "key")
-    found = found.groupBy("id").agg(F.sum(F.col("tf") * F.log10(F.col("n") + 1.0)).alias("gain"), F.sum("tf").alias("known"))
-    found = scratch.keep(found)
-
-    def summed(shard: int, part) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            trie = _trie(f"{job}-{shard}", part)
-            for batch in batches:
-                total = np.zeros(batch.num_rows)
-                for _, key, row in _grams(*_bytes_of(batch, "data")):
-                    if trie["mine"] is not None:
-                        own = trie["mine"][((key >> np.uint64(8)) & np.uint64(0xFFFF)).astype(np.int64)] == shard
-                        key, row = key[own], row[own]
-                    total += np.bincount(row, trie["trie"].score(key), batch.num_rows)
-                if shard:
-                    yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(total)], names=["id", "score"])
-                    continue
-                n, known, gain = zip(*(heavy_part(x.as_py())[:3] for x in batch.column("data"))) if batch.num_rows else ([], [], [])
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "id", "held_out")), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(gain, pa.float64()), pa.array(total)], names=["doc_id", "id", "held_out", "n_tokens", "h_known", "h_gain", "score"])
-
-        cols, schema = (["id", "data"], "id long, score double") if shard else (["doc_id", "id", "held_out", "data"], "doc_id long, id long, held_out boolean, n_tokens long, h_known long, h_gain double, score double")
-        return source.select(*cols).mapInArrow(run, schema)
-
-    shards = _shards(sizes)
-    mine = None
-    if len(shards) > 1:
-        mine = np.zeros(65536, np.int32)
-        for k, contexts in enumerate(shards):
-            mine[contexts] = k
-    parts = []
-    for k, contexts in enumerate(shards):
-        own = grams if len(shards) == 1 else grams.where(F.shiftright("key", 8).bitwiseAND(0xFFFF).between(contexts[0], contexts[-1]))
-        table = own.toPandas()
-        parts.append(spark.sparkContext.broadcast((table["key"].to_numpy().view(np.uint64), table["n"].to_numpy().astype(float), pair_table, mine)))
-    out = summed(0, parts[0])
-    if len(parts) > 1:  # a repeated row has one id and equal scores in each shard
-        more = summed(1, parts[1])
-        for k in range(2, len(parts)):
-            more = more.unionByName(summed(k, parts[k]))
-        counted = more.groupBy("id").agg(F.sum("score").alias("more"), (F.count("*") / (len(parts) - 1)).alias("copies"))
-        out = out.join(counted, "id").withColumn("score", F.col("score") + F.col("more") / F.col("copies")).drop("more", "copies")
-    copies = source.groupBy("id").agg(F.count("*").alias("copies")).where("copies > 1")
-    out = out.join(found, "id", "left").join(copies, "id", "left")
-    share = F.coalesce("copies", F.lit(1))
-    return out.select(
-        "doc_id", "held_out", "n_tokens",
-        (F.col("h_known") + F.coalesce("known", F.lit(0)) / share).cast("long").alias("n_known"),
-        F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("h_gain") + F.coalesce("gain", F.lit(0.0)) / share - F.col("n_tokens") * F.lit(missing)).alias("base_score"),
-        "score",
-    )
-
-
-#: The trie that this worker built last, by the job's own name for it.
-_TRIES: dict[str, dict] = {}
-
-
-def _trie(name: str, part) -> dict:
-    """The trie of a broadcast shard, built once per worker; an earlier one makes room."""
-    if name not in _TRIES:
-        keys, counts, pairs, mine = part.value
-        _TRIES.clear()
-        _TRIES[name] = {"trie": Trie(keys, counts, pairs), "mine": mine}
-    return _TRIES[name]
+    held_out = F.coalesce(fold == HELD_OUT, F.lit(False))
+    source = texts(docs).select("doc_id", held_out.alias("held_out"), F.coalesce(fold != HELD_OUT, F.lit(False)).alias("learned"), F.col("text").cast("binary").alias("data"))
+    listed = scratch.keep(_listed(source))
+    lists = listed.where("grams IS NOT NULL")
+
+    sizes = {r["context"]: r["n"] for r in _context_sizes(lists).collect()}  # 65,537 rows at most
+    words = max(1, -(-sizes.pop(-1, 0) // SHARD))
+    shards = _shards(list(sizes.items()))
+    salts = max(1, -(-lists.count() // LISTS))
+    pieces = _pieces(lists, shards, words, salts)
+    model = scratch.keep(_added(pieces))
+    if salts > 1:
+        more = scratch.keep(_added(model.withColumn("salt", F.lit(0))))
+        scratch.drop(model)
+        model = more
+    known = model.where(F.col("shard") >= len(shards)).agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
+    table = _pairs(model, len(shards)).toPandas().sort_values("pair")  # 65,536 rows at most
+    pairs = spark.sparkContext.broadcast((table["pair"].to_numpy().astype(np.uint64), table["n"].to_numpy().astype(float)))
+    valued = scratch.keep(_valued(pieces, model, len(shards), salts, pairs))
+    out = _summed(listed, valued, len(shards), math.log10(int(known[0]) + int(known[1]) + 1))
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(known[0])).cast("long").alias("train_tokens"), "base_score", "score")
