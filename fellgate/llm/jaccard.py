@@ -72,7 +72,7 @@ class _Codes(dict):
     """Word to its length (high byte) and 56-bit hash; forgets all when full."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1 << 20:
+        if len(self) >= 1 << 18:
             self.clear()
         code = self[word] = min(len(word), 255) << 56 | xxhash.xxh3_64_intdigest(word) >> 8
         return code

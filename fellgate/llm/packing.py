@@ -19,14 +19,13 @@ documents make no sequences.
 from __future__ import annotations
 
 import heapq
-import unicodedata
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,48 +36,56 @@ from fellgate.llm.scratch import Scratch
 from fellgate.llm.words import texts
 
 CAPACITY = 2048
-# Fixed value: how the word vocabulary cuts a text; white space falls away.
-PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+# Fixed value: how the word vocabulary cuts lower-cased ASCII without white space.
+PRETOKEN = rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+"
 _ALPHABET = dict(enumerate(byte_alphabet()))
+#: Entries of a cache, and the bytes of the longest text that it holds.
+MOST, LONGEST = 1 << 18, 64
 
 
-class _Ids(dict):
-    """Pretoken to its ids, as little-endian unsigned 32-bit numbers; forgets all when full."""
+class _Cache(dict):
+    """What ``make`` gives for a text; forgets all when full and holds no long ones, so that its memory is bounded."""
 
-    def __init__(self, tokenizer: Tokenizer, most: int = 1 << 20) -> None:
+    def __init__(self, make) -> None:
         super().__init__()
-        self._model, self._most = tokenizer.model, most  # a pretoken needs no more of the tokenizer than its model
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= self._most:
-            self.clear()
-        symbols = piece.encode().decode("latin-1").translate(_ALPHABET)
-        ids = self[piece] = np.array([t.id for t in self._model.tokenize(symbols)], "<u4").tobytes()
+        self._make = make
+
+    def __missing__(self, key: bytes) -> bytes:
+        ids = self._make(key)
+        if len(key) <= LONGEST:
+            if len(self) >= MOST:
+                self.clear()
+            self[key] = ids
         return ids
 
 
 class WordIds:
-    """Ids of a text by the tokenizers library, each distinct pretoken encoded once."""
+    """Ids of a text by the tokenizers library, as little-endian unsigned 32-bit numbers.
+
+    Neither normalizer nor pre-tokenizer looks across white space, so a text is cut at it (ASCII alone) and each
+    distinct stretch is encoded once: what is not ASCII, or may hold a special token, by the library as a whole, the
+    rest pretoken by pretoken by the library's model."""
 
     def __init__(self, path: str) -> None:
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
-        special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
-        self._special = {s: np.array([i], "<u4").tobytes() for s, i in special.items()}
-        self._marks = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")")
-        self._pretokens = regex.compile(PRETOKEN)
-        self._ids = _Ids(tokenizer)
-
-    def _plain(self, text: str) -> bytes:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # a final sigma has no form of its own here
-        return b"".join(map(self._ids.__getitem__, self._pretokens.findall(text.lower())))
-
-    def of(self, text: str) -> bytes:
-        if "<|" not in text:
-            return self._plain(text)
-        return b"".join(self._special[p] if p in self._special else self._plain(p) for p in self._marks.split(text) if p)
+        self._tokenizer = Tokenizer.from_file(path)
+        self._tokenizer.no_truncation()
+        self._tokenizer.no_padding()
+        self._model = self._tokenizer.model
+        self._pretokens = re.compile(PRETOKEN)
+        self._pieces, self._stretches = _Cache(self._piece), _Cache(self._stretch)
+
+    def _piece(self, piece: bytes) -> bytes:
+        symbols = piece.decode("latin-1").translate(_ALPHABET)
+        return np.array([t.id for t in self._model.tokenize(symbols)], "<u4").tobytes()
+
+    def _stretch(self, stretch: bytes) -> bytes:
+        if stretch.isascii() and b"<|" not in stretch:
+            return b"".join(map(self._pieces.__getitem__, self._pretokens.findall(stretch.lower())))
+        return np.array(self._tokenizer.encode(stretch.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def of(self, data: bytes) -> bytes:
+        """Of a text in UTF-8."""
+        return b"".join(map(self._stretches.__getitem__, data.split()))
 
 
 _LOADED: dict[str, WordIds] = {}
@@ -94,7 +101,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool
         for batch in batches:
             out = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                ids = words.of(text.as_py()) + b"\0\0\0\0"
+                ids = words.of(text.as_buffer().to_pybytes()) + b"\0\0\0\0"
                 for i, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     n = len(part) // 4

@@ -15,7 +15,7 @@ class _Hashes(dict):
     """Word to 64-bit hash; forgets all when full, so that its memory is bounded."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1 << 20:
+        if len(self) >= 1 << 18:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h

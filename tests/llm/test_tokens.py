@@ -30,7 +30,7 @@ def test_ids_are_the_librarys(libraries, text):
     text = text.encode("utf-8", "replace").decode()
     ids = by_bytes.encode(text, add_special_tokens=False).ids
     assert mine.encode(text) == ids and mine.decode(ids) == by_bytes.decode(ids, skip_special_tokens=False)
-    assert list(np.frombuffer(words.of(text), "<u4")) == by_words.encode(text, add_special_tokens=False).ids
+    assert list(np.frombuffer(words.of(text.encode()), "<u4")) == by_words.encode(text, add_special_tokens=False).ids
 
 
 def test_round_trip(docs, rows, libraries, empty, odd):
@@ -94,3 +94,21 @@ def test_packing(docs, rows, libraries, empty, odd):
         assert at <= 2048
     assert len(places) <= -(-sum(r["length"] for r in found) // 2048) + 1
     assert packing.pack(empty, WORDS).count() == 0 and packing.pack(odd, WORDS).count() == 6
+
+
+def test_ids_of_every_code_point(libraries):
+    """Each code point alone, between letters, before a combining mark and beside white space has the library's ids."""
+    _, library, _, words = libraries
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for lo in range(0, len(points), 4096):
+        texts = [f"a{chr(c)}B {chr(c)}\u0301 x\n{chr(c)}" for c in points[lo : lo + 4096]]
+        want = library.encode_batch(texts, add_special_tokens=False)
+        for text, ids in zip(texts, want):
+            assert words.of(text.encode()) == np.array(ids.ids, "<u4").tobytes(), ascii(text)
+
+
+def test_one_pretoken_of_megabytes(libraries):
+    _, library, _, words = libraries
+    for text in ("ab" * 500_000, "\u00e9" * 200_000, "!" * 300_000):
+        assert words.of(text.encode()) == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert max(map(len, words._stretches)) <= packing.LONGEST and max(map(len, words._pieces)) <= packing.LONGEST
