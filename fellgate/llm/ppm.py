@@ -16,7 +16,7 @@ bytes (a gram) alone, and a block of texts has far fewer distinct grams than byt
    all longer ones of it fall into one shard, so a shard can score its grams alone),
    words by their hash.  Each shard adds up its lists: that is the model.  Counts of
    byte pairs (65,536 at most) are what shards share.
-3. Each shard gives every entry of every list its value: log10 p of a gram, log10 (c + 1) of a word.
+3. Each shard gives every entry of every list its value: log10 p of a gram, the count of a word.
 4. Lists with values go back to the texts of their block, which add them up.
 
 Two passes over the texts, however large the model is; no task holds more than one
@@ -48,7 +48,7 @@ from fellgate.llm.words import hash_words, texts
 ORDER = 4
 #: Neither byte occurs in UTF-8: one stands before a text, the other for its end.
 START, END = 0xFE, 0xFF
-BLOCK = 4 << 20
+BLOCK = 16 << 20
 SHARD = 1 << 19
 LISTS = 256
 #: Symbols, or words, that are looked at together.
@@ -142,6 +142,21 @@ class _Tally:
         return self._parts[0]
 
 
+def _dense(x: np.ndarray, ordered: bool) -> bytes:
+    """Whole numbers as bytes: differences of ordered ones, all lowest bytes first, then the next ones, so that zeros lie together and compress."""
+    d = np.diff(x, prepend=x.dtype.type(0)) if ordered else x
+    width = max(1, (int(d.max()).bit_length() + 7) // 8) if len(d) else 1
+    return bytes([width]) + d.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _numbers(data: bytes, ordered: bool) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8, offset=1).reshape(data[0], -1)
+    wide = np.zeros((planes.shape[1], 8), np.uint8)
+    wide[:, : len(planes)] = planes.T
+    x = wide.view("<u8").ravel()
+    return np.cumsum(x, dtype=np.uint64) if ordered else x
+
+
 LISTED = "block long, doc_id long, held_out boolean, data binary, grams binary, gram_counts binary, words binary, word_counts binary"
 
 
@@ -154,7 +169,7 @@ def _listed(source: DataFrame) -> DataFrame:
         block, size, grams, words = TaskContext.get().partitionId() << 32, 0, _Tally(), _Tally()
 
         def lists() -> pa.RecordBatch:
-            cells = [x for keys, counts in (grams.sums(), words.sums()) for x in (keys.tobytes(), counts.astype(np.int64).tobytes())]
+            cells = [x for keys, counts in (grams.sums(), words.sums()) for x in (_dense(keys, True), _dense(counts.astype(np.uint64), False))]
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip([block, None, None, None, *cells], kinds)], names=names)
 
         for batch in batches:
@@ -295,8 +310,8 @@ def _context_sizes(lists: DataFrame) -> DataFrame:
         total, words = np.zeros(1 << 16, np.int64), 0
         for batch in batches:
             for grams, own in zip(batch.column("grams"), batch.column("words")):
-                total += np.bincount((np.frombuffer(grams.as_buffer(), np.uint64) >> np.uint64(24)).astype(np.int64), minlength=1 << 16)
-                words += len(own.as_buffer()) // 8
+                total += np.bincount((_numbers(grams.as_py(), True) >> np.uint64(24)).astype(np.int64), minlength=1 << 16)
+                words += len(_numbers(own.as_py(), False))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], words))], names=["context", "n"])
 
@@ -312,11 +327,11 @@ def _pieces(lists: DataFrame, grams: list[int], words: int, salts: int) -> DataF
             for row in range(batch.num_rows):
                 block, number = batch.column("block")[row].as_py(), 0
                 for kind, counts in (("grams", "gram_counts"), ("words", "word_counts")):
-                    keys = np.frombuffer(batch.column(kind)[row].as_buffer(), np.uint64)
-                    n = np.frombuffer(batch.column(counts)[row].as_buffer(), np.int64)
+                    keys = _numbers(batch.column(kind)[row].as_py(), True)
+                    n = _numbers(batch.column(counts)[row].as_py(), False)
                     cuts = np.append(np.searchsorted(keys, starts[kind]), len(keys))
                     some = np.flatnonzero(np.diff(cuts))
-                    cells = [[x[cuts[k] : cuts[k + 1]].tobytes() for k in some] for x in (keys, n)]
+                    cells = [[_dense(x[cuts[k] : cuts[k + 1]], x is keys) for k in some] for x in (keys, n)]
                     yield pa.RecordBatch.from_arrays([pa.array((some + number).astype(np.int32)), pa.array(np.full(len(some), block)), *(pa.array(x, pa.binary()) for x in cells)], names=["shard", "block", "keys", "counts"])
                     number += len(starts[kind])
 
@@ -333,7 +348,7 @@ def _added(pieces: DataFrame) -> DataFrame:
         def row() -> pa.RecordBatch:
             keys, counts = tally.sums()
             seen = counts > 0
-            cells = [here[0], keys[seen].tobytes(), counts[seen].tobytes(), int(counts.sum()), int(seen.sum())]
+            cells = [here[0], _dense(keys[seen], True), _dense(counts[seen].astype(np.uint64), False), int(counts.sum()), int(seen.sum())]
             kinds = (pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(cells, kinds)], names=["shard", "keys", "counts", "total", "kinds"])
 
@@ -343,7 +358,7 @@ def _added(pieces: DataFrame) -> DataFrame:
                     if here:
                         yield row()
                     here, tally = (shard, salt), _Tally()
-                tally.add(np.frombuffer(keys.as_py(), np.uint64), np.frombuffer(counts.as_py(), np.int64))
+                tally.add(_numbers(keys.as_py(), True), _numbers(counts.as_py(), False).astype(np.int64))
         if here:
             yield row()
 
@@ -358,8 +373,8 @@ def _pairs(model: DataFrame, grams: int) -> DataFrame:
         total = np.zeros(1 << 16, np.int64)
         for batch in batches:
             for keys, counts in zip(batch.column("keys"), batch.column("counts")):
-                pair = _in_order(np.frombuffer(keys.as_buffer(), np.uint64)) & np.uint64(0xFFFF)
-                np.add.at(total, pair.astype(np.int64), np.frombuffer(counts.as_buffer(), np.int64))
+                pair = _in_order(_numbers(keys.as_py(), True)) & np.uint64(0xFFFF)
+                np.add.at(total, pair.astype(np.int64), _numbers(counts.as_py(), False).astype(np.int64))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["pair", "n"])
 
@@ -367,7 +382,7 @@ def _pairs(model: DataFrame, grams: int) -> DataFrame:
 
 
 def _valued(pieces: DataFrame, model: DataFrame, grams: int, salts: int, pairs) -> DataFrame:
-    """block, shard, keys, worth: log10 p of each gram, log10 (c + 1) of each word."""
+    """block, shard, keys, worth: log10 p of each gram, the count of each word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worth = None
@@ -375,17 +390,17 @@ def _valued(pieces: DataFrame, model: DataFrame, grams: int, salts: int, pairs)
         def prepared(shard: int, keys: np.ndarray, counts: np.ndarray):
             if shard < grams:
                 trie = Trie(_in_order(keys), counts.astype(float), pairs.value)
-                return lambda asked: trie.score(_in_order(asked))
-            index, gain = _Index(keys), np.append(np.log10(counts + 1.0), 0.0)
-            return lambda asked: gain[index.of(asked)]
+                return lambda asked: trie.score(_in_order(asked)).tobytes()
+            index, found = _Index(keys), np.append(counts, np.uint64(0))
+            return lambda asked: _dense(found[index.of(asked)], False)
 
         for batch in batches:
             for side, shard, block, keys, counts in zip(*(batch.column(c).to_pylist() for c in ("side", "shard", "block")), batch.column("keys"), batch.column("counts")):
-                own = np.frombuffer(keys.as_py(), np.uint64)
+                own = _numbers(keys.as_py(), True)
                 if side == 0:
-                    worth = prepared(shard, own, np.frombuffer(counts.as_py(), np.int64))
+                    worth = prepared(shard, own, _numbers(counts.as_py(), False))
                     continue
-                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([shard], pa.int32()), pa.array([own.tobytes()], pa.binary()), pa.array([worth(own).tobytes()], pa.binary())], names=["block", "shard", "keys", "worth"])
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([shard], pa.int32()), pa.array([keys.as_py()], pa.binary()), pa.array([worth(own)], pa.binary())], names=["block", "shard", "keys", "worth"])
 
     columns = ["shard", "salt", "side", "block", "keys", "counts"]
     models = model.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumns({"side": F.lit(0), "block": F.lit(-1).cast("long")})
@@ -400,8 +415,10 @@ def _summed(listed: DataFrame, valued: DataFrame, grams: int, missing: float) ->
         block, lists, tables = None, {False: [], True: []}, {}
 
         def table(words: bool) -> tuple[_Index, np.ndarray]:
-            keys, worth = (np.concatenate([np.frombuffer(x, t) for x in own]) if own else np.zeros(0, t) for own, t in zip(zip(*lists[words]) if lists[words] else ((), ()), (np.uint64, np.float64)))
-            return _Index(keys), worth
+            keys = [np.zeros(0, np.uint64), *(_numbers(k, True) for k, _ in lists[words])]
+            worth = [np.zeros(0), *(np.log10(_numbers(w, False) + 1.0) if words else np.frombuffer(w) for _, w in lists[words])]
+            lists[words].clear()
+            return _Index(np.concatenate(keys)), np.concatenate(worth)
 
         for batch in batches:
             blocks, sides = batch.column("block").to_numpy(), batch.column("side").to_numpy()
@@ -459,5 +476,7 @@ def score(docs: DataFrame) -> DataFrame:
     table = _pairs(model, len(shards)).toPandas().sort_values("pair")  # 65,536 rows at most
     pairs = spark.sparkContext.broadcast((table["pair"].to_numpy().astype(np.uint64), table["n"].to_numpy().astype(float)))
     valued = scratch.keep(_valued(pieces, model, len(shards), salts, pairs))
+    scratch.drop(model)
+    scratch.collect()
     out = _summed(listed, valued, len(shards), math.log10(int(known[0]) + int(known[1]) + 1))
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(known[0])).cast("long").alias("train_tokens"), "base_score", "score")

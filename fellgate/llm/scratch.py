@@ -45,18 +45,22 @@ class Scratch:
         atexit.register(self._at_exit)
 
     def keep(self, df: DataFrame) -> DataFrame:
-        global _collected
         path = f"{shared_folder(self.spark).rstrip('/')}/fellgate-{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").option("parquet.block.size", 32 << 20).parquet(path)
         table = self.spark.read.schema(df.schema).parquet(path)
         self._paths[id(table)] = (path, table)
         del df
         if time.monotonic() - _collected > COLLECT:
-            gc.collect()
-            self.spark._jvm.System.gc()
-            _collected = time.monotonic()
+            self.collect()
         return table
 
+    def collect(self) -> None:
+        """Let Spark delete the shuffle files of plans that nothing refers to."""
+        global _collected
+        gc.collect()
+        self.spark._jvm.System.gc()
+        _collected = time.monotonic()
+
     def drop(self, *tables: DataFrame) -> None:
         for table in tables:
             path, _ = self._paths.pop(id(table))
