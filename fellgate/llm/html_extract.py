@@ -64,28 +64,38 @@ def _no_article(tag: str, attrs: str, inside: bool) -> int:
     return 0
 
 
-def _may_drop(tag: str, parent: _Node) -> bool:
-    """html, body and main are never dropped, an article only within another one (as comments are)."""
-    node: _Node | None = parent if tag == "article" else None
-    while node and node.tag != "article":
-        node = node.parent
-    return tag not in WHOLE and (tag != "article" or node is not None)
-
-
 class _Node:
-    __slots__ = ("tag", "path", "parent", "mark", "dropped", "inside", "depth")
+    """An element: its place in the page's order, the end of its subtree, its path, and what marks it as no article."""
+
+    __slots__ = ("tag", "path", "parent", "mark", "marked", "hard", "inside", "article", "depth", "scope", "index")
 
-    def __init__(self, tag: str, label: str, parent: _Node | None, mark: int, inside: bool) -> None:
-        self.tag, self.parent, self.mark, self.inside = tag, parent, mark, inside
-        self.dropped = mark or (parent.dropped if parent else 0)  # of the nearest marked element
-        self.path = f"{parent.path}/{label}" if parent else label
+    def __init__(self, tag: str, path: int, parent: _Node | None, mark: int, index: int) -> None:
+        self.tag, self.path, self.parent, self.mark, self.index = tag, path, parent, mark, index
+        self.marked = self if mark else parent.marked if parent else None  # the nearest marked element, itself included
+        self.hard = mark == 1 or bool(parent and parent.hard)  # it or one around it is marked by its tag
+        self.inside = tag in ("article", "main") or bool(parent and parent.inside)
+        self.article = tag == "article" or bool(parent and parent.article)
         self.depth = parent.depth + 1 if parent else 0
+        self.scope = self.depth if tag in STOPS else parent.scope if parent else -1  # depth of the nearest list or table
+
+
+Block = tuple[_Node, str, int]
+
+
+def _may_drop(tag: str, parent: _Node) -> bool:
+    """html, body and main are never dropped, an article only within another one (as comments are)."""
+    return tag not in WHOLE and (tag != "article" or parent.article)
+
 
+def blocks(page: str) -> tuple[list[Block], list[_Node]]:
+    """(element, text, characters within links) of each block in page order, and all elements in page order.
 
-def blocks(page: str) -> list[tuple[_Node, str, int]]:
-    """(element, text, characters within links) of each block in page order."""
-    root = here = _Node("", "", None, 0, False)
-    out: list[tuple[_Node, str, int]] = []
+    Time and memory follow the page, however deep it is nested: a path is a number for its parent's path and its own
+    label, and elements that are open are found by a stack for each tag."""
+    paths: dict[tuple[int, str], int] = {}
+    root = here = _Node("", 0, None, 0, 0)
+    nodes, opened = [root], {"": [root]}
+    out: list[Block] = []
     text: list[str] = []
     linked, in_link = 0, False
 
@@ -106,15 +116,15 @@ def blocks(page: str) -> list[tuple[_Node, str, int]]:
         if in_link:
             linked += len(part)
 
-    def close(names: tuple[str, ...], stops: frozenset[str]) -> None:
+    def close(last: _Node) -> None:
+        """Close elements up to this one; each is closed once, so this adds up to the number of elements."""
         nonlocal here
-        node, found = here, None
-        while node.parent and node.tag not in stops:
-            if node.tag in names:
-                found = node
-            node = node.parent
-        if found:
-            here = found.parent
+        while True:
+            node = here
+            opened[node.tag].pop()
+            here = node.parent
+            if node is last:
+                return
 
     at = 0
     while m := _TAG.search(page, at):
@@ -138,33 +148,40 @@ def blocks(page: str) -> list[tuple[_Node, str, int]]:
             flush()
             in_link = False
             if m[1]:
-                node = here
-                while node.parent and node.tag != tag:
-                    node = node.parent
-                if node.parent:
-                    here = node.parent
+                if opened.get(tag):
+                    close(opened[tag][-1])
                 continue
             if tag in VOID:
                 continue
-            close(("p",), frozenset({"td", "th", "div", "article", "section", "body"}))
-            if tag in CLOSES:
-                close(CLOSES[tag], STOPS)
+            if here.tag == "p":  # a paragraph ends where a block begins, so none lies deeper
+                close(here)
+            if tag in CLOSES:  # of those that it ends, the outermost in its list or table
+                ends = [n for name in CLOSES[tag] for n in _in_scope(opened.get(name, []), here.scope)]
+                if ends:
+                    close(min(ends, key=lambda n: n.depth))
             words = _ATTR.search(m[3]) if m[3] != ">" else None
             label = tag + ("." + words[2].strip("\"'").split(" ")[0] if words else "")
-            inside = here.inside or tag in ("article", "main")
             mark = _no_article(tag, m[3], here.inside) if m[3] != ">" or tag in DROPPED or tag == "header" else 0
-            here = _Node(tag, label, here, mark if mark and _may_drop(tag, here) else 0, inside)
+            path = paths.setdefault((here.path, label), len(paths) + 1)
+            here = _Node(tag, path, here, mark if mark and _may_drop(tag, here) else 0, len(nodes))
+            nodes.append(here)
+            opened.setdefault(tag, []).append(here)
     if at < len(page):
         add(page[at:])
     flush()
-    del root
-    return out
+    return out, nodes
+
+
+def _in_scope(stack: list[_Node], scope: int) -> Iterator[_Node]:
+    for node in reversed(stack):
+        if node.depth <= scope:
+            return
+        yield node
 
 
-def _content(kept: list[tuple[_Node, str, int]]) -> np.ndarray:
+def _content(kept: list[Block]) -> np.ndarray:
     """Which blocks stand on content paths."""
-    index: dict[str, int] = {}
-    path = np.array([index.setdefault(n.path, len(index)) for n, _, _ in kept])
+    _, path = np.unique([n.path for n, _, _ in kept], return_inverse=True)
     length = np.array([len(t) for _, t, _ in kept], float)
     marks = np.array([len(PUNCTUATION.findall(t)) for _, t, _ in kept], float)
     links = np.array([k for _, _, k in kept], float)
@@ -177,75 +194,50 @@ def _content(kept: list[tuple[_Node, str, int]]) -> np.ndarray:
     return (score >= min(score.mean(), 0.5 * score.max()))[path]
 
 
-def _restore(found: list[tuple[_Node, str, int]]) -> list[tuple[_Node, str, int]]:
+def _restore(found: list[Block], nodes: list[_Node]) -> list[Block]:
     """The blocks that are not dropped. Elements marked by role or class, or as a form, stay if they hold most of the
     text on content paths; unless it is a form, no article, main or h1 may stand outside (comments can be longer than what they are about)."""
-
-    def marks(node: _Node) -> list[_Node]:
-        out = []
-        walk: _Node | None = node
-        while walk:
-            if walk.mark:
-                out.append(walk)
-            walk = walk.parent
-        return out
-
-    if not any(n.dropped == 2 for n, _, _ in found):
-        return [b for b in found if not b[0].dropped]
-    rows = [(b, over) for b, over in ((b, marks(b[0])) for b in found) if all(x.mark == 2 for x in over)]
-    if not rows:
-        return []
-    content = _content([b for b, _ in rows])
-    held: dict[_Node, int] = {}
-    total = 0
-    for ((_, text, _), over), good in zip(rows, content):
-        if good:
-            total += len(text)
-            for x in over:
-                held[x] = held.get(x, 0) + len(text)
-    wrong = set()
-    for x, size in held.items():
-        if 2 * size > total and (x.tag == "form" or not any(x not in over and (n.inside or n.tag == "h1") for (n, _, _), over in rows)):
-            wrong.add(x)
-    return [b for b, over in rows if all(x in wrong for x in over)]
-
-
-def _content_root(kept: list[tuple[_Node, str, int]]) -> _Node:
-    """The nearest element around all blocks on content paths."""
-    content = _content(kept)
-    weight: dict[int, int] = {}
-    nodes: dict[int, _Node] = {}
-    common: _Node | None = None
+    rows = [b for b in found if not b[0].hard]
+    if not any(b[0].marked for b in rows):
+        return rows
+    # sums over everything in each marked element, from the innermost outwards
+    held, titles = dict.fromkeys((n.index for n in nodes if n.mark), 0), {}
+    total = every = 0
+    for (node, text, _), good in zip(rows, _content(rows)):
+        size, title = len(text) if good else 0, int(node.inside or node.tag == "h1")
+        total, every = total + size, every + title
+        if node.marked:
+            held[node.marked.index] += size
+            titles[node.marked.index] = titles.get(node.marked.index, 0) + title
+    marked = [n for n in nodes if n.mark]
+    for n in reversed(marked):
+        over = n.parent.marked
+        if over:
+            held[over.index] += held[n.index]
+            titles[over.index] = titles.get(over.index, 0) + titles.get(n.index, 0)
+    stays: dict[int, bool] = {}
+    for n in marked:
+        wrong = held[n.index] > 0 and 2 * held[n.index] > total and (n.tag == "form" or titles.get(n.index, 0) == every)
+        stays[n.index] = wrong and (not n.parent.marked or stays[n.parent.marked.index])
+    return [b for b in rows if not b[0].marked or stays[b[0].marked.index]]
+
+
+def _content_root(kept: list[Block], nodes: list[_Node]) -> _Node:
+    """The nearest element around all blocks on content paths: an article or main element where one is around them."""
+    holds, titled = [0] * len(nodes), [False] * len(nodes)
     total = 0
-    for (node, _, _), good in zip(kept, content):
-        if not good:
-            continue
-        total += 1
-        walk: _Node | None = node
-        while walk:
-            if walk.tag in ("article", "main"):
-                weight[id(walk)] = weight.get(id(walk), 0) + 1
-                nodes[id(walk)] = walk
-            walk = walk.parent
-        if common is None:
-            common = node
-            continue
-        other = node
-        while common.depth > other.depth:
-            common = common.parent
-        while other.depth > common.depth:
-            other = other.parent
-        while common is not other:
-            common, other = common.parent, other.parent
-    holders = [n for i, n in nodes.items() if weight[i] == total]
+    for (node, _, _), good in zip(kept, _content(kept)):
+        holds[node.index] += int(good)
+        titled[node.index] |= node.tag == "h1"  # a headline may stand above the article, in main
+        total += int(good)
+    for node in reversed(nodes[1:]):
+        holds[node.parent.index] += holds[node.index]
+        titled[node.parent.index] |= titled[node.index]
+    around = [n for n in nodes if holds[n.index] == total]
+    holders = [n for n in around if n.tag in ("article", "main")]
     if holders:
-        titled = set()  # a headline may stand above the article, in main
-        for node, _, _ in kept:
-            walk = node if node.tag == "h1" else None
-            while walk:
-                titled.add(id(walk))
-                walk = walk.parent
-        return max(holders, key=lambda n: (id(n) in titled, n.depth))
+        return max(holders, key=lambda n: (titled[n.index], n.depth))
+    common = max(around, key=lambda n: n.depth)
     while common.parent and common.tag not in ("body", "html", "div", "section", "td"):
         common = common.parent  # never a single paragraph: its neighbours belong to the same text
     return common
@@ -253,18 +245,13 @@ def _content_root(kept: list[tuple[_Node, str, int]]) -> _Node:
 
 def main_text(page: str | None) -> str:
     """The article of a page, one line for each block."""
-    kept = _restore(blocks(page or ""))
+    found, nodes = blocks(page or "")
+    kept = _restore(found, nodes)
     if not kept:
         return ""
-    root = _content_root(kept)
-    lines = []
-    for node, text, _ in kept:
-        walk: _Node | None = node
-        while walk is not None and walk is not root:
-            walk = walk.parent
-        if walk is root:
-            lines.append(text)
-    return "\n".join(lines)
+    root = _content_root(kept, nodes)
+    end = next((n.index for n in nodes[root.index + 1 :] if n.depth <= root.depth), len(nodes))
+    return "\n".join(text for node, text, _ in kept if root.index <= node.index < end)
 
 
 def extract(pages: DataFrame) -> DataFrame:
