@@ -47,7 +47,10 @@ def _mod97(m: str) -> str:
 
 
 def _context(words: str) -> str:
-    return rf"(lower(concat(right(b, {NEAR}), ' ', left(a, {NEAR}))) RLIKE '(?<![a-z])({words})(?![a-z])')"
+    """Does one of the words stand within NEAR code points of the match at x.s to x.e of the text {t}?"""
+    before = f"substring({{t}}, cast(greatest(1, x.s + 1 - {NEAR}) AS int), cast(least(x.s, {NEAR}) AS int))"
+    after = f"substring({{t}}, cast(x.e + 1 AS int), {NEAR})"
+    return rf"(lower(concat({before}, ' ', {after})) RLIKE '(?<![a-z])({words})(?![a-z])')"
 
 
 @dataclass(frozen=True)
@@ -55,7 +58,7 @@ class Kind:
     name: str
     pattern: str
     gate: str  # without a match of this no match of the pattern
-    points: str  # SQL score of a match m between the stretches b and a
+    points: str  # SQL score of a match m at x.s to x.e of the text {t}
 
 
 # The patterns, as Java regular expressions.
@@ -64,9 +67,9 @@ KINDS = (
     Kind("ip", r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}", r"[0-9]\.[0-9]", r"CASE WHEN m RLIKE '^(0*(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(\\.|$)){4}$' THEN 100 ELSE 0 END"),
     Kind("card", r"[0-9](?:[\x20-]?+[0-9])++", r"[0-9]", f"CASE WHEN length({_digits('m')}) BETWEEN 16 AND 19 AND {_luhn('m')} THEN 100 ELSE 0 END"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", f"CASE WHEN length({_digits('m')}) BETWEEN 8 AND 15 THEN 100 ELSE 0 END"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?+[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}", f"CASE WHEN {_mod97('m')} THEN 60 ELSE 0 END + CASE WHEN {_context('iban|account|konto|compte|cuenta|bank')} THEN 20 ELSE 0 END"),
-    Kind("shortcard", r"(?<![0-9.-])[3-6][0-9]{3}(?:[\x20-]?[0-9]){9,11}(?![0-9.-])", r"[0-9]", f"CASE WHEN {_luhn('m')} THEN 30 ELSE -100 END + CASE WHEN {_context('card|credit|amex|diners|visa|karte|carte|tarjeta')} THEN 40 ELSE 0 END"),
-    Kind("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", r"-[0-9]{2}-", f"30 + CASE WHEN {_context('ssn|social security|social')} THEN 40 ELSE 0 END"),
+    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?+[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}", f"CASE WHEN NOT {_mod97('m')} THEN 0 WHEN {_context('iban|account|konto|compte|cuenta|bank')} THEN 80 ELSE 60 END"),
+    Kind("shortcard", r"(?<![0-9.-])[3-6][0-9]{3}(?:[\x20-]?[0-9]){9,11}(?![0-9.-])", r"[0-9]", f"CASE WHEN NOT {_luhn('m')} THEN 0 WHEN {_context('card|credit|amex|diners|visa|karte|carte|tarjeta')} THEN 70 ELSE 30 END"),
+    Kind("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", r"-[0-9]{2}-", f"CASE WHEN {_context('ssn|social security|social')} THEN 70 ELSE 30 END"),
 )
 BASE = ("email", "ip", "card", "phone")
 
@@ -79,31 +82,36 @@ def _matches(kind: Kind, text: str) -> str:
     return f"CASE WHEN {text} RLIKE {_sql(kind.gate)} THEN regexp_extract_all({text}, {_sql(kind.pattern)}, 0) ELSE array() END"
 
 
-def _stretches(kind: Kind, text: str, matches: str) -> str:
-    return f"CASE WHEN size({matches}) > 0 THEN split({text}, {_sql(kind.pattern)}, -1) ELSE array('') END"
+def _gaps(kind: Kind, text: str, matches: str) -> str:
+    """Lengths of the stretches before each match."""
+    return f"CASE WHEN size({matches}) > 0 THEN transform(split({text}, {_sql(kind.pattern)}, -1), x -> length(x)) ELSE array(0) END"
 
 
-def _scored(kind: Kind, matches: str, stretches: str) -> str:
-    """Array of (m, points) in order; b and a are the stretches before and after m."""
-    around = f"zip_with(slice({stretches}, 1, size({matches})), slice({stretches}, 2, size({matches})), (b, a) -> struct(b AS b, a AS a))"
-    return f"zip_with({matches}, {around}, (m, x) -> transform(array(struct(x.b AS b, x.a AS a)), y -> struct(m AS m, length(y.b) AS gap, {kind.points.replace('right(b,', 'right(y.b,').replace('left(a,', 'left(y.a,')} AS points))[0])"
+def _placed(matches: str, gaps: str) -> str:
+    """Array of (s, e, m): sums of the lengths of gaps and matches, by doubling."""
+    lengths = f"zip_with({matches}, slice({gaps}, 1, size({matches})), (m, g) -> cast(g + length(m) AS long))"
+    ends = f"aggregate(sequence(0, cast(ceil(log2(greatest(1, size({matches})))) AS int)), {lengths}, (v, d) -> transform(v, (x, i) -> x + CASE WHEN i >= shiftleft(1, d) THEN v[i - shiftleft(1, d)] ELSE 0L END))"
+    return f"zip_with({ends}, {matches}, (e, m) -> struct(e - length(m) AS s, e AS e, m AS m))"
 
 
-def _spans(kind: Kind, scored: str) -> str:
+def _spans(kind: Kind, text: str, placed: str) -> str:
     """Array of (s, e) of the matches that stand."""
-    lengths = f"transform({scored}, x -> cast(x.gap + length(x.m) AS long))"
-    ends = f"aggregate(sequence(0, cast(ceil(log2(greatest(1, size({scored})))) AS int)), {lengths}, (v, d) -> transform(v, (x, i) -> x + CASE WHEN i >= shiftleft(1, d) THEN v[i - shiftleft(1, d)] ELSE 0L END))"
-    placed = f"zip_with({ends}, {scored}, (e, x) -> struct(e - length(x.m) AS s, e AS e, x.points AS points))"
-    return f"transform(filter({placed}, x -> x.points >= {THRESHOLD}), x -> struct(x.s AS s, x.e AS e))"
+    points = kind.points.replace("{t}", text)
+    scored = f"transform({placed}, x -> transform(array(x.m), m -> struct(x.s AS s, x.e AS e, {points} AS points))[0])"
+    return f"transform(filter({scored}, x -> x.points >= {THRESHOLD}), x -> struct(x.s AS s, x.e AS e))"
+
+
+def _found(df: DataFrame, text: str, prefix: str) -> DataFrame:
+    """df with the spans of each kind, by the kind's name behind the prefix."""
+    for column, sql in (("m", lambda k, c: _matches(k, text)), ("g", lambda k, c: _gaps(k, text, c("m"))), ("x", lambda k, c: _placed(c("m"), c("g")))):
+        df = df.withColumns({f"{prefix}{column}_{k.name}": F.expr(sql(k, lambda of, k=k: f"{prefix}{of}_{k.name}")) for k in KINDS})
+    return df.withColumns({prefix + k.name: F.expr(_spans(k, text, f"{prefix}x_{k.name}")) for k in KINDS})
 
 
 def find(docs: DataFrame) -> DataFrame:
     """doc_id and, for each kind, an array of (s, e): code points, end exclusive."""
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    df = df.withColumns({f"m_{k.name}": F.expr(_matches(k, "text")) for k in KINDS})
-    df = df.withColumns({f"p_{k.name}": F.expr(_stretches(k, "text", f"m_{k.name}")) for k in KINDS})
-    df = df.withColumns({f"q_{k.name}": F.expr(_scored(k, f"m_{k.name}", f"p_{k.name}")) for k in KINDS})
-    return df.select("doc_id", *(F.expr(_spans(k, f"q_{k.name}")).alias(k.name) for k in KINDS))
+    return _found(df, "text", "").select("doc_id", *(k.name for k in KINDS))
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -115,12 +123,16 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with each span that stands replaced by its kind in brackets; columns as they came."""
-    df = docs
-    for k in KINDS:
-        df = df.withColumn("__p_m", F.expr(_matches(k, "coalesce(text, '')")))
-        df = df.withColumn("__p_p", F.expr(_stretches(k, "text", "__p_m")))
-        df = df.withColumn("__p_q", F.expr(_scored(k, "__p_m", "__p_p")))
-        new = f"array_join(zip_with(__p_p, __p_q, (b, x) -> concat(b, CASE WHEN x IS NULL THEN '' WHEN x.points >= {THRESHOLD} THEN '[{k.name.upper()}]' ELSE x.m END)), '')"
-        df = df.withColumn("text", F.expr(f"CASE WHEN size(filter(__p_q, x -> x.points >= {THRESHOLD})) > 0 THEN {new} ELSE text END"))
-    return df.select(*docs.columns)
+    """docs with what ``find`` finds replaced by its kind in brackets; columns as they came.
+
+    Spans that overlap go as one, by the kind of the first of them (the longest of those that start together)."""
+    df = _found(docs.withColumn("__p_t", F.expr("coalesce(cast(text AS string), '')")), "__p_t", "__p_")
+    every = "concat(" + ", ".join(f"transform(__p_{k.name}, x -> struct(x.s AS s, -x.e AS e, '[{k.name.upper()}]' AS k))" for k in KINDS) + ")"
+    # the end of all spans before it tells whether a span starts a new one
+    ends = "aggregate(__p_all, struct(cast(array() AS array<bigint>) AS v, 0L AS e), (a, x) -> struct(array_append(a.v, a.e) AS v, greatest(a.e, -x.e) AS e), a -> a.v)"
+    df = df.withColumn("__p_all", F.expr(f"array_sort({every})")).withColumn("__p_ends", F.expr(f"array_append({ends}, 0L)"))
+    heads = "filter(transform(__p_all, (x, i) -> struct(x.s AS s, x.k AS k, __p_ends[i] AS b, i AS i)), x -> x.i = 0 OR x.s >= x.b)"
+    df = df.withColumn("__p_heads", F.expr(heads)).withColumn("__p_last", F.expr("aggregate(__p_all, 0L, (a, x) -> greatest(a, -x.e))"))
+    pieces = "transform(__p_heads, x -> concat(substring(__p_t, cast(x.b + 1 AS int), cast(x.s - x.b AS int)), x.k))"
+    new = f"concat(array_join({pieces}, ''), substring(__p_t, cast(__p_last + 1 AS int)))"
+    return df.withColumn("text", F.expr(f"CASE WHEN size(__p_all) > 0 THEN {new} ELSE text END")).select(*docs.columns)

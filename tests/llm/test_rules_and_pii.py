@@ -46,6 +46,29 @@ def test_pii_added_kinds_and_redaction(spark, empty):
     assert pii.digest(pii.find(empty)).count() == 0 and pii.redact(df).columns == df.columns
 
 
+def test_redaction_follows_the_spans(spark):
+    rng = random.Random(6)
+    pool = ["a@b.c", "+1 (555) 123-4567", "4111 1111 1111 1111", "378282246310005", " card ", "1.2.3.4", "ssn ", "123-45-6789", ", ", " x é ", "\U0001f600", "DE89 3704 0044 0532 0130 00"]
+    rows = [(i, "".join(rng.choice(pool) for _ in range(rng.randint(0, 9)))) for i in range(400)]
+    rows += [(1001, "SSN: 123-45-6789, 987-65-4321 or 321-54-9876"), (1002, "4111111111111111, ref 378282246310005 end"), (1003, "a@b.c " * 900), (1004, None), (1005, "+4111 1111 1111 1111"), (None, "x a@b.c"), (None, "x a@b.c")]
+    df = spark.createDataFrame([(*r, "t", "p") for r in rows], "doc_id long, text string, __t string, email string")
+    spans = {r["doc_id"]: r["spans"] for r in pii.digest(pii.find(df)).collect()}
+    out = pii.redact(df)
+    assert out.columns == df.columns
+    seen = [(r["doc_id"], r["text"]) for r in out.collect()]
+    assert len(seen) == len(rows)
+    texts = dict(rows)
+    for doc, text in seen:
+        found = sorted(((int(s), -int(e), k) for k, s, e in (x.split(":") for x in spans[doc].split(",") if x)), key=lambda x: x[:2])
+        left, at = [], 0
+        for s, e, k in found:
+            if s >= at:
+                left += [texts[doc][at:s], f"[{k.upper()}]"]
+            at = max(at, -e)
+        assert text == (None if texts[doc] is None else "".join(left) + texts[doc][at:])
+    assert spans[1001] == "ssn:5:16,ssn:33:44" and dict(seen)[1002].endswith("ref 378282246310005 end")
+
+
 def test_pii_is_native(docs):
     plan = pii.digest(pii.find(docs))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas|Exchange", plan)
