@@ -138,12 +138,25 @@ def _widest(size, num: int, den: int):
     return (den - num) * size // num
 
 
-def sketch(tokens: np.ndarray) -> np.ndarray:
-    """Parity of the set's tokens in each of SKETCH cells: sets that differ in d tokens have sketches that differ in d bits at most."""
-    cells = np.bincount((mix(tokens) >> np.uint64(20)).astype(np.int64) % SKETCH, minlength=SKETCH) & 1
+def sketch(tokens: np.ndarray, size: int = SKETCH) -> np.ndarray:
+    """Parity of the set's tokens in each of ``size`` cells: sets that differ in d tokens have sketches that differ in d bits at most."""
+    cells = np.bincount((mix(tokens) >> np.uint64(20)).astype(np.int64) % size, minlength=size) & 1
     return np.packbits(cells.astype(np.uint8))
 
 
+def _wide(tokens: np.ndarray) -> np.ndarray:
+    """A sketch that grows with the set. Sizes are powers of two: the halves of one, laid over each other, are the next smaller one."""
+    return sketch(tokens, max(SKETCH, 1 << (2 * len(tokens)).bit_length()))
+
+
+def _wide_apart(x: np.ndarray, y: np.ndarray) -> int:
+    while len(x) != len(y):
+        if len(x) < len(y):
+            x, y = y, x
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _classes(source: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """doc_id, id, n_shingles, fp, the sketch and twice as many of the nearest pivots as are needed, of every document."""
 
@@ -224,16 +237,19 @@ def _text_regions(bodies: DataFrame, num: int, den: int, common) -> DataFrame:
 
 
 def _bodies(source: DataFrame, sets: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """fp and tokens of the sets that are wanted (fp), each cut from a text once."""
+    """fp, tokens and wide sketch of the sets that are wanted (fp), each cut from a text once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens = [s.tobytes() for s in shingle_sets(_rows(batch.column("data")), n)]
-            yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.array(tokens, pa.binary())], names=["fp", "tokens"])
+            tokens, wide = [], []
+            for s in shingle_sets(_rows(batch.column("data")), n):
+                tokens.append(s.tobytes())
+                wide.append(_wide(s).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.array(tokens, pa.binary()), pa.array(wide, pa.binary())], names=["fp", "tokens", "wide"])
 
     # repeated rows share an id, so the groups lie where the join has put them
     rows = source.select("id", "data").join(wanted.join(sets.select("fp", "id"), "fp"), "id")
-    return rows.groupBy("id", "fp").agg(F.first("data").alias("data")).select("fp", "data").mapInArrow(run, "fp long, tokens binary")
+    return rows.groupBy("id", "fp").agg(F.first("data").alias("data")).select("fp", "data").mapInArrow(run, "fp long, tokens binary, wide binary")
 
 
 def _apart(na, nb, num: int, den: int):
@@ -391,15 +407,28 @@ def _parts(rows: DataFrame, scratch: Scratch, num: int, den: int) -> DataFrame:
 
 
 def _linked(pairs: DataFrame, source: DataFrame, sets: DataFrame, scratch: Scratch, n: int, num: int, den: int) -> DataFrame:
-    """The pairs (hub, fp) whose sets are alike: each hub's set goes once to every PARTNERS of its partners."""
+    """The pairs (hub, fp) whose sets are alike. Wide sketches leave little to decide; then each hub's set goes once to
+    every PARTNERS of its partners."""
     wanted = pairs.select("fp").unionByName(pairs.select(F.col("hub").alias("fp"))).distinct()
     bodies = scratch.keep(_bodies(source, sets, wanted, n))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            most = _apart(batch.column("n").to_numpy(), batch.column("m").to_numpy(), num, den)
+            cells = ([np.frombuffer(x.as_buffer(), np.uint8) for x in batch.column(c)] for c in ("wide", "other"))
+            keep = [_wide_apart(x, y) <= d for x, y, d in zip(*cells, most.tolist())]
+            yield batch.select(["hub", "fp"]).filter(pa.array(keep, pa.bool_()))
+
+    wide = bodies.select("fp", "wide", F.expr("length(tokens) div 8").alias("n"))
+    other = wide.select(F.col("fp").alias("hub"), F.col("wide").alias("other"), F.col("n").alias("m"))
+    left = pairs.join(wide, "fp").join(other, "hub").select("hub", "fp", "wide", "other", "n", "m")
+    pairs = scratch.keep(left.mapInArrow(near, "hub long, fp long"))
     salts = pairs.groupBy("hub").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("salts"))
     place = F.xxhash64("hub", "salt").alias("key")
     partners = pairs.join(salts, "hub").withColumn("salt", F.pmod(F.xxhash64("fp"), F.col("salts")).cast("int"))
-    partners = partners.select(place, F.lit(1).alias("side"), "hub", "fp").join(bodies, "fp")
+    partners = partners.select(place, F.lit(1).alias("side"), "hub", "fp").join(bodies.select("fp", "tokens"), "fp")
     hubs = salts.select("hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    hubs = hubs.select(place, F.lit(0).alias("side"), "hub", F.col("hub").alias("fp")).join(bodies, "fp")
+    hubs = hubs.select(place, F.lit(0).alias("side"), "hub", F.col("hub").alias("fp")).join(bodies.select("fp", "tokens"), "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, own = None, np.zeros(0, np.uint64)
@@ -421,39 +450,56 @@ def _linked(pairs: DataFrame, source: DataFrame, sets: DataFrame, scratch: Scrat
     columns = ("key", "side", "hub", "fp", "tokens")
     both = hubs.select(*columns).unionByName(partners.select(*columns)).repartition("key").sortWithinPartitions("key", "hub", "side")
     found = scratch.keep(both.mapInArrow(run, "a long, b long"))
-    scratch.drop(bodies)
+    scratch.drop(bodies, pairs)
     return found
 
 
-def clusters(source: DataFrame, known: DataFrame, n: int, num: int, den: int) -> DataFrame:
+def _sets(source: DataFrame, scratch: Scratch, n: int, num: int, den: int, part: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, id, n_shingles and fp of each document; the distinct sets of those that meet the condition: fp, id, n, head, bits)."""
+    known = scratch.keep(_classes(source, n, num, den))
+    sets = known.where(part).groupBy("fp").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n"), F.first("head").alias("head"), *(F.first(b).alias(b) for b in BITS))
+    sets, slim = scratch.keep(sets), scratch.keep(known.select("doc_id", "id", "n_shingles", "fp"))
+    scratch.drop(known)
+    return slim, sets
+
+
+def clusters(source: DataFrame, sets: DataFrame, scratch: Scratch, n: int, num: int, den: int) -> DataFrame:
     """fp, component (the least fp linked with it, over any number of links) of the sets that are linked with another.
 
-    source: id, data; known: what _classes gave."""
-    spark, scratch = source.sparkSession, Scratch(source.sparkSession)
-    sets = known.groupBy("fp").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n"), F.first("head").alias("head"), *(F.first(b).alias(b) for b in BITS))
-    sets = scratch.keep(sets)
+    source: id, data; sets: what _sets gave, used up."""
+    spark = source.sparkSession
     total = sets.agg(F.coalesce(F.sum(F.length("head")), F.lit(0))).first()[0] // 8
     late = _head_pivots(sets).where((F.col("n") > COMMON) & (F.col("n") > total // MOST)).select("pivot").toPandas()["pivot"].to_numpy()  # MOST rows at most
     common = spark.sparkContext.broadcast(np.sort(late.astype(np.int64).view(np.uint64)))
 
-    regions = scratch.keep(_head_regions(sets, num, den, common))
-    more = _text_regions(_bodies(source, sets, regions.where("pivot IS NULL").select("fp"), n), num, den, common)
-    regions = scratch.keep(regions.where("pivot IS NOT NULL").unionByName(more))
+    of_heads = scratch.keep(_head_regions(sets, num, den, common))
+    of_texts = scratch.keep(_text_regions(_bodies(source, sets, of_heads.where("pivot IS NULL").select("fp"), n).select("fp", "tokens"), num, den, common))
+    with_heads, sets = sets, scratch.keep(sets.drop("head"))
+    scratch.drop(with_heads)
+    regions = of_heads.where("pivot IS NOT NULL").unionByName(of_texts)
     shared = regions.groupBy("pivot").agg(F.count("*").alias("g"), F.min("fp").alias("hub")).where("g > 1")
-    rows = scratch.keep(regions.join(shared, "pivot"))
+    first = scratch.keep(regions.join(shared, "pivot"))
+    scratch.drop(of_heads, of_texts)
 
     sized = sets.select("fp", "n", *BITS)
-    star = rows.where("fp <> hub").select("hub", "fp").distinct().join(sized.alias("y"), "fp")
+    star = first.where("fp <> hub").select("hub", "fp").distinct().join(sized.alias("y"), "fp")
     star = star.join(sized.select(F.col("fp").alias("hub"), F.col("n").alias("m"), *(F.col(b) for b in BITS)).alias("x"), "hub")
     near = (F.col("m") * den >= F.col("n") * num) & (F.col("m") * num <= F.col("n") * den)
     near &= _hamming("x", "y") <= F.floor(F.col("m") * (den - num) + F.col("n") * (den - num)) / (den + num)
-    star = scratch.keep(star.where(near).select("hub", "fp"))
-    star = components(_linked(star, source, sets, scratch, n, num, den), scratch)
+    pairs = scratch.keep(star.where(near).select("hub", "fp"))
+    linked = _linked(pairs, source, sets, scratch, n, num, den)
+    star = components(linked, scratch)
     star = scratch.keep(star.select(F.col("node").alias("fp"), F.col("component").alias("label")))
+    scratch.drop(pairs, linked)
 
     labelled = sized.join(star, "fp", "left").withColumn("c", F.coalesce("label", "fp")).drop("label")
-    rows = scratch.keep(rows.select(F.col("pivot").alias("key"), "g", "fp").join(labelled, "fp"))
-    pairs = scratch.keep(_candidates(_parts(rows, scratch, num, den), num, den).select(F.col("a").alias("hub"), F.col("b").alias("fp")))
+    rows = scratch.keep(first.select(F.col("pivot").alias("key"), "g", "fp").join(labelled, "fp"))
+    scratch.drop(first)
+    own = Scratch(spark)
+    pairs = scratch.keep(_candidates(_parts(rows, own, num, den), num, den).select(F.col("a").alias("hub"), F.col("b").alias("fp")))
+    own.clear()
+    scratch.drop(rows)
+    scratch.collect()
     found = _linked(pairs, source, sets, scratch, n, num, den)
     # links between the stars' components, not between their members
     a, b = (star.select(F.col("fp").alias(c), F.col("label").alias(f"c{c}")) for c in "ab")
@@ -462,9 +508,7 @@ def clusters(source: DataFrame, known: DataFrame, n: int, num: int, den: int) ->
     over = scratch.keep(over.select(F.col("node").alias("label"), "component"))
     members = star.join(over, "label", "left").select("fp", F.coalesce("component", "label").alias("component"))
     alone = over.join(star.select(F.col("fp").alias("label")), "label", "left_anti").select(F.col("label").alias("fp"), "component")
-    out = scratch.keep(members.unionByName(alone))
-    scratch.clear(out)
-    return out
+    return members.unionByName(alone)
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -495,10 +539,11 @@ def groups(docs: DataFrame, n: int = N, num: int = NUMERATOR, den: int = DENOMIN
     """doc_id, n_shingles, component_id, class_id (least doc_id with an equal set)."""
     scratch = Scratch(docs.sparkSession)
     source = texts(docs).select("doc_id", F.xxhash64("doc_id", "text").alias("id"), F.col("text").cast("binary").alias("data"))
-    known = scratch.keep(_classes(source, n, num, den))
-    takes_part = known.where("doc_id IS NOT NULL AND n_shingles > 0")
-    found = clusters(source.where("doc_id IS NOT NULL"), takes_part, n, num, den)
-    least = takes_part.groupBy("fp").agg(F.min("doc_id").alias("class_id")).join(found, "fp", "left").withColumn("c", F.coalesce("component", "fp"))
+    part = "doc_id IS NOT NULL AND n_shingles > 0"
+    known, sets = _sets(source, scratch, n, num, den, part)
+    found = scratch.keep(clusters(source.where("doc_id IS NOT NULL"), sets, scratch, n, num, den))
+    scratch.clear(known, found)
+    least = known.where(part).groupBy("fp").agg(F.min("doc_id").alias("class_id")).join(found, "fp", "left").withColumn("c", F.coalesce("component", "fp"))
     least = scratch.keep(least)
     ids = least.groupBy("c").agg(F.min("class_id").alias("component_id"))
     least = scratch.keep(least.join(ids, "c").select("fp", "class_id", "component_id"))
@@ -515,9 +560,9 @@ def representatives(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) ->
     scratch = Scratch(docs.sparkSession)
     key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")))
     source = texts(docs).select("doc_id", F.xxhash64("doc_id", "text").alias("id"), F.col("text").cast("binary").alias("data"))
-    known = scratch.keep(_classes(source, n, num, den))
-    takes_part = known.where("n_shingles > 0")
-    found = clusters(source, takes_part, n, num, den)
+    known, sets = _sets(source, scratch, n, num, den, "n_shingles > 0")
+    found = scratch.keep(clusters(source, sets, scratch, n, num, den))
+    scratch.clear(known, found)
     rows = known.groupBy("doc_id", "id", "n_shingles", "fp").agg(F.count("*").alias("k"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "id", "k")).alias("row")
     of_set = rows.where("n_shingles > 0").groupBy("fp").agg(first)
