@@ -20,6 +20,8 @@ def main(args: list[str] | None = None) -> int:
     one = commands.add_parser("import")
     one.add_argument("input")
     one.add_argument("--cell", type=float, default=CELL)
+    one.add_argument("--precision", choices=("float64", "float32"), default="float64", help="float32 rounds coordinates")
+    one.add_argument("--depth", type=int, help="levels of child relations whose places count for their parents (default: all)")
     one = commands.add_parser("query")
     one.add_argument("query")
     one.add_argument("--output", default="output.geojson")
@@ -30,7 +32,7 @@ def main(args: list[str] | None = None) -> int:
     if given.command == "import":
         from fellgate.sources.osm import import_osm
 
-        import_osm(spark, given.input, given.index, given.cell)
+        import_osm(spark, given.input, given.index, given.cell, given.precision, given.depth)
     elif given.command == "query":
         try:
             found = Engine.load(spark, given.index).query(given.query)

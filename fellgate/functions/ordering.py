@@ -68,7 +68,7 @@ def compare(value: Column, op: str, literal: str) -> Column:
         return value == literal
     if op == "!=":
         return value != literal
-    trimmed = F.trim(value)
+    trimmed = F.regexp_replace(value, r"(?U)^\s+|\s+$", "")  # F.trim cuts blanks alone
     same, after = trimmed == literal, _comes_before(literal, trimmed)
     match op:
         case ">":

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from fellgate.engine import Engine
 from fellgate.operators import geojson, inspect
 from fellgate.plans import oracle
+from fellgate.plans.compiler import common
 from fellgate.sources import star
+from fellgate.sources.shared import fresh_path
 
 BOX = "bbox(9.1, 53.0, 9.75, 53.15)"
 WIDE = "bbox(9, 53, 10, 54)"
@@ -76,6 +78,29 @@ def substituted_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _columns(Engine(star.catalog(spark, sf_dir)).query("bbox({{bbox}}).nodes{ type=PROMO }", bbox=(9.1, 53.0, 9.75, 53.15)))
 
 
+def _saved(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    """A statement over the tables written as Parquet, edges with places, and loaded again."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, sf_dir)
+        if key not in _saves:
+            path = fresh_path(spark)
+            star.catalog(spark, sf_dir).save(path)
+            _saves[key] = path
+        return _columns(Engine.load(spark, _saves[key]).query(TEXTS[name]))
+
+    return run
+
+
+#: Where this session has saved the tables of a folder.
+_saves: dict[tuple[str, str], str] = {}
+
+
+def relations_open_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of relations over all levels of children, gone through until nothing changes."""
+    return _columns(common(star.catalog(spark, sf_dir, depth=None).relations, "relations"))
+
+
 def density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inspect.density(star.catalog(spark, sf_dir))
 
@@ -107,11 +132,40 @@ def geojson_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(read.alias("f")).select(F.col("f.geometry.type").alias("shape"), F.element_at("f.geometry.coordinates", 1).alias("lon"), F.element_at("f.geometry.coordinates", 2).alias("lat"), F.col("f.properties")["@osm_id"].cast("long").alias("id"), F.col("f.properties")["@osm_type"].alias("type"), F.col("f.properties")["width"].alias("width"))
 
 
-_OTHERS = (per_cell_multiplicity, substituted_bbox, density, cell_extent, tag_dictionary, inverse_ways, nodes_of_ways, validate, geojson_points)
-QUERIES = {name: _statement(text) for name, text in TEXTS.items()} | {f.__name__: f for f in _OTHERS}
+def geojson_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = geojson.features(Engine(star.catalog(spark, sf_dir)).query(TEXTS["way_bbox"]))
+    read = F.from_json("feature", "geometry struct<type:string, coordinates:array<array<double>>>, properties map<string,string>")
+    point = lambda i: F.element_at("f.geometry.coordinates", i)
+    return found.select(read.alias("f")).select(
+        F.col("f.properties")["@osm_id"].cast("long").alias("id"), F.col("f.geometry.type").alias("shape"), F.size("f.geometry.coordinates").cast("long").alias("n"),
+        point(1)[0].alias("first_lon"), point(1)[1].alias("first_lat"), point(-1)[0].alias("last_lon"), point(-1)[1].alias("last_lat"), F.col("f.properties")["status"].alias("status"),
+    )
+
+
+def geojson_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A relation is drawn as its bound, a closed ring."""
+    found = geojson.features(Engine(star.catalog(spark, sf_dir)).query(TEXTS["relation_bbox"]))
+    read = F.from_json("feature", "geometry struct<type:string, coordinates:array<array<array<double>>>>, properties map<string,string>")
+    ring = F.col("f.geometry.coordinates")[0]
+    coordinate = lambda i: lambda p: p[i]
+    return found.select(read.alias("f")).select(
+        F.col("f.properties")["@osm_id"].cast("long").alias("id"), F.col("f.geometry.type").alias("shape"), F.size("f.geometry.coordinates").cast("long").alias("rings"), F.size(ring).cast("long").alias("n"),
+        *(f(F.transform(ring, coordinate(i))).alias(c) for c, f, i in (("min_lon", F.array_min, 0), ("min_lat", F.array_min, 1), ("max_lon", F.array_max, 0), ("max_lat", F.array_max, 1))), (ring[0] == ring[4]).alias("closed"),
+    )
+
+
+_OTHERS = (geojson_lines, geojson_polygons, relations_open_depth, per_cell_multiplicity, substituted_bbox, density, cell_extent, tag_dictionary, inverse_ways, nodes_of_ways, validate, geojson_points)
+SAVED = ("way_bbox", "node_ways", "node_relations", "way_relations", "relation_children", "not_sub", "or_sub", "nested_sub")
+QUERIES = {name: _statement(text) for name, text in TEXTS.items()} | {f.__name__: f for f in _OTHERS} | {f"saved_{name}": _saved(name) for name in SAVED}
 
 _TAGS = " UNION ALL ".join(f"SELECT '{k}' AS key, t_{k} AS value FROM {t}" for t, keys in oracle.KEYS.items() for k in keys)
-ORACLE_SQL = {name: oracle.query(text) for name, text in TEXTS.items()} | {
+ORACLE_SQL = {name: oracle.query(text) for name, text in TEXTS.items()} | oracle.BY_HAND | {
+    "geojson_lines": oracle.PRELUDE + f"""SELECT f.id, 'LineString' AS shape, count(*) AS n, first(lon ORDER BY pos, node_id) AS first_lon, first(lat ORDER BY pos, node_id) AS first_lat,
+      last(lon ORDER BY pos, node_id) AS last_lon, last(lat ORDER BY pos, node_id) AS last_lat, any_value(o_orderstatus) AS status
+      FROM ({oracle.statement(oracle.parse(TEXTS['way_bbox']).statements[0])}) f JOIN orders ON o_orderkey = f.id JOIN way_nodes e ON e.way_id = f.id JOIN placed p ON p.id = e.node_id GROUP BY f.id""",
+    "geojson_polygons": oracle.PRELUDE + f"""SELECT id, 'Polygon' AS shape, 1::BIGINT AS rings, 5::BIGINT AS n, min_lon, min_lat, max_lon, max_lat, true AS closed
+      FROM ({oracle.statement(oracle.parse(TEXTS['relation_bbox']).statements[0])})""",
+    "relations_open_depth": oracle.PRELUDE + "SELECT 'relation' AS type, id, min_lon, min_lat, max_lon, max_lat FROM relations",
     "per_cell_multiplicity": oracle.query(PER_CELL, per_cell=True),
     "substituted_bbox": oracle.query(TEXTS["tag_eq"]),
     "density": oracle.PRELUDE + "SELECT cx AS cell_x, cy AS cell_y, count(*) AS n FROM placed GROUP BY cx, cy",
@@ -132,3 +186,4 @@ ORACLE_SQL = {name: oracle.query(text) for name, text in TEXTS.items()} | {
       ('relation parent without relation', (SELECT count(*) FROM rel_rels WHERE parent_id NOT IN (SELECT id FROM relations)))) v(fault, n)""",
     "geojson_points": oracle.PRELUDE + f"SELECT 'Point' AS shape, o.lon, o.lat, o.id, 'node' AS type, o.t_width AS width FROM placed o JOIN ({oracle.statement(oracle.parse(TEXTS['tag_eq']).statements[0])}) f ON o.id = f.id",
 }
+ORACLE_SQL |= {f"saved_{name}": ORACLE_SQL[name] for name in SAVED}

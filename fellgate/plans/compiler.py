@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from fellgate.functions.geometry import CELL, Extent, intersects
 from fellgate.functions.ordering import compare
-from fellgate.lang.syntax import And, Bbox, Compare, Filter, HasKey, Not, Or, Query, Related, Statement
-from fellgate.sources.catalog import Catalog
+from fellgate.lang.syntax import And, Bbox, Compare, Filter, HasKey, Not, Or, Related, Statement
+from fellgate.sources.catalog import UPWARD, Catalog
 
 
 def _two_valued(test: Column) -> Column:
@@ -44,8 +44,8 @@ class Compiler:
     def __init__(self, catalog: Catalog, width: float = CELL) -> None:
         self._catalog, self._width, self._names = catalog, width, count()
 
-    def test(self, f: Filter, table: str, name: str) -> Column:
-        """The filter as a column over rows of the aliased table."""
+    def test(self, f: Filter, table: str, name: str, box: Bbox | None = None) -> Column:
+        """The filter as a column over rows of the aliased table; box: what the rows are known to meet."""
         tags = F.col(f"{name}.tags")
         match f:
             case HasKey(key, present):
@@ -54,42 +54,49 @@ class Compiler:
             case Compare(key, op, value):
                 return _two_valued(compare(tags[key], op, value))
             case And(a, b):
-                return self.test(a, table, name) & self.test(b, table, name)
+                return self.test(a, table, name, box) & self.test(b, table, name, box)
             case Or(a, b):
-                return self.test(a, table, name) | self.test(b, table, name)
+                return self.test(a, table, name, box) | self.test(b, table, name, box)
             case Not(a):
-                return ~self.test(a, table, name)
+                return ~self.test(a, table, name, box)
             case Related(statement):
-                found = self._related(statement, table)
+                found = self._related(statement, table, box)
                 return found.where(F.col("ctx_id") == F.col(f"{name}.id").outer()).exists()
         raise TypeError(f)
 
-    def _related(self, statement: Statement, table: str) -> DataFrame:
-        """ctx_id of the table's objects around which the statement finds something; may repeat."""
-        targets = self.where(self._catalog.table(statement.type.table), statement.filter, statement.type.table).select(F.col("id").alias("target_id"))
-        return self._catalog.edges(table, statement.type.value).join(targets, "target_id", "left_semi").select("ctx_id")
+    def _related(self, statement: Statement, table: str, box: Bbox | None) -> DataFrame:
+        """ctx_id of the table's objects around which the statement finds something; may repeat.
 
-    def where(self, df: DataFrame, f: Filter, table: str) -> DataFrame:
-        """Rows of df, objects of the table, that pass."""
+        box: what those objects meet. It cuts the edges, and going up also the targets, as their bounds hold the contexts';
+        members of an object may lie anywhere."""
+        word, target = statement.type.value, statement.type.table
+        targets, further = self._catalog.table(target), box if (table, word) in UPWARD else None
+        if further:
+            targets = targets.where(intersects(further))
+        targets = self.where(targets, statement.filter, target, further).select(F.col("id").alias("target_id"))
+        return self._catalog.edges(table, word, box).join(targets, "target_id", "left_semi").select("ctx_id")
+
+    def where(self, df: DataFrame, f: Filter, table: str, box: Bbox | None = None) -> DataFrame:
+        """Rows of df, objects of the table, that pass; box: what they are known to meet."""
         name = f"o{next(self._names)}"
         df = df.alias(name)
         parts = _conjuncts(f)
-        if plain := [self.test(p, table, name) for p in parts if _plain(p)]:
+        if plain := [self.test(p, table, name, box) for p in parts if _plain(p)]:
             df = df.where(reduce(lambda a, b: a & b, plain))
         for p in parts:
             if _plain(p):
                 continue
             match p:
                 case Related(statement):
-                    df = self._joined(df, statement, table, "left_semi")
+                    df = self._joined(df, statement, table, "left_semi", box)
                 case Not(Related(statement)):
-                    df = self._joined(df, statement, table, "left_anti")
+                    df = self._joined(df, statement, table, "left_anti", box)
                 case _:
-                    df = df.where(self.test(p, table, name))
+                    df = df.where(self.test(p, table, name, box))
         return df
 
-    def _joined(self, df: DataFrame, statement: Statement, table: str, how: str) -> DataFrame:
-        found = self._related(statement, table)
+    def _joined(self, df: DataFrame, statement: Statement, table: str, how: str, box: Bbox | None) -> DataFrame:
+        found = self._related(statement, table, box)
         return df.join(found, df["id"] == found["ctx_id"], how)
 
     def located(self, statement: Statement) -> DataFrame:
@@ -106,16 +113,12 @@ class Compiler:
 
     def statement(self, statement: Statement, multiplicity: str = "object") -> DataFrame:
         """multiplicity: 'object' gives each object once, 'per_cell' once for each of its cells in the box."""
-        df = self.where(self.located(statement), statement.filter, statement.type.table)
+        df = self.where(self.located(statement), statement.filter, statement.type.table, statement.location)
         if multiplicity == "per_cell" and statement.type.table != "nodes":
             extent = Extent.around(statement.location, self._width)
             df = df.withColumn("cell", F.explode(F.filter("cells", lambda c: extent.contains(c["x"], c["y"])))).drop("cell")
         return df
 
-    def query(self, query: Query) -> DataFrame:
-        """All statements' objects, one after the other, repeats kept: type, id, tags, lon, lat, nodes, bound."""
-        return reduce(DataFrame.unionByName, (common(self.statement(s), s.type.table) for s in query.statements))
-
 
 def common(df: DataFrame, table: str) -> DataFrame:
     """Objects of any table in one shape."""

@@ -103,3 +103,26 @@ def statement(s: Statement, per_cell: bool = False) -> str:
 
 def query(text: str, per_cell: bool = False) -> str:
     return PRELUDE + "\nUNION ALL\n".join(statement(s, per_cell) for s in parse(text).statements)
+
+
+#: Written without this package's parser, order or cells, so that a mistake there does not stand on both sides.
+_BY_HAND_NODES = """SELECT 'node' AS type, id, lon AS min_lon, lat AS min_lat, lon AS max_lon, lat AS max_lat FROM placed JOIN part ON id = p_partkey
+  WHERE cx BETWEEN trunc(9.1::DOUBLE / 0.1::DOUBLE) AND trunc(9.75::DOUBLE / 0.1::DOUBLE) AND cy BETWEEN trunc(53.0::DOUBLE / 0.1::DOUBLE) AND trunc(53.15::DOUBLE / 0.1::DOUBLE)
+  AND lon >= 9.1::DOUBLE AND lon <= 9.75::DOUBLE AND lat >= 53.0::DOUBLE AND lat <= 53.15::DOUBLE AND """
+_BY_HAND_WIDE = """SELECT 'way' AS type, w.id, min_lon, min_lat, max_lon, max_lat FROM ways w JOIN orders ON w.id = o_orderkey
+  WHERE max_lon >= 9 AND min_lon <= 10 AND max_lat >= 53 AND min_lat <= 54
+  AND EXISTS (SELECT 1 FROM way_cells c WHERE c.id = w.id AND cx BETWEEN trunc(9::DOUBLE / 0.1::DOUBLE) AND trunc(10::DOUBLE / 0.1::DOUBLE) AND cy BETWEEN trunc(53::DOUBLE / 0.1::DOUBLE) AND trunc(54::DOUBLE / 0.1::DOUBLE)) AND """
+BY_HAND = {
+    "node_bbox": PRELUDE + _BY_HAND_NODES + "p_type IS NOT NULL",
+    "precedence": PRELUDE + _BY_HAND_NODES + "(p_type = 'PROMO' OR (p_type = 'SMALL' AND p_size > 25) OR (p_size < 3 AND p_type = 'LARGE'))",
+    "parens": PRELUDE + _BY_HAND_NODES + "p_type IN ('PROMO', 'SMALL') AND p_size > 25",
+    "not_group": PRELUDE + _BY_HAND_NODES + "p_type <> 'PROMO'",
+    "cmp_ge": PRELUDE + _BY_HAND_NODES + "p_size >= 20",
+    "cmp_lt": PRELUDE + _BY_HAND_NODES + "p_size < 20",
+    "cmp_missing_literal": PRELUDE + _BY_HAND_NODES + "p_size > 20",
+    "cmp_mixed_units": PRELUDE + _BY_HAND_NODES + "(p_size > 20 OR (p_size = 20 AND p_partkey % 2 = 1)) AND (p_size < 30 OR (p_size = 30 AND p_partkey % 2 = 0))",
+    "cmp_string_order": PRELUDE + _BY_HAND_WIDE + "left(o_orderpriority, 1) IN ('3', '4', '5')",
+    "nested_or_not": PRELUDE + _BY_HAND_WIDE + """o_orderstatus = 'P' AND (floor(o_totalprice) > 450000 OR w.id NOT IN (
+      SELECT l_orderkey FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size < 25 OR p_partkey IN (
+        SELECT l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE floor(o_totalprice) < 20000)))""",
+}

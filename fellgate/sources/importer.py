@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fellgate.functions.geometry import CELL, bounds, cell
 from fellgate.sources.catalog import Catalog
+from fellgate.sources.shared import shared_folder
 
 _BOUND = ("min_lon", "min_lat", "max_lon", "max_lat")
 
@@ -46,6 +49,8 @@ def locate_relations(relations: DataFrame, catalog: Catalog, depth: int | None =
     own = nodes.unionByName(ways)
     extent = _extent(own)
     level, before = 0, None
+    if depth is None:
+        _checkpoints(relations.sparkSession)
     while depth is None or level < depth:
         inner = catalog.rel_rels.join(extent.withColumnRenamed("rel_id", "child_id"), "child_id")
         inner = inner.select(F.col("parent_id").alias("rel_id"), *_BOUND, F.explode("cells").alias("c")).select("rel_id", *_BOUND, "c.x", "c.y")
@@ -60,21 +65,18 @@ def locate_relations(relations: DataFrame, catalog: Catalog, depth: int | None =
     return relations.join(extent.withColumnRenamed("rel_id", "id"), "id").select("id", "tags", *_BOUND, "cells")
 
 
-def build(nodes: DataFrame, ways: DataFrame, way_nodes: DataFrame, relations: DataFrame, rel_nodes: DataFrame, rel_ways: DataFrame, rel_rels: DataFrame, width: float = CELL, precision: str = "float64", depth: int | None = None) -> Catalog:
-    """Catalog of raw objects (id, tags; nodes with lon, lat) and edges; edges to relations are made distinct."""
-    spark = nodes.sparkSession
-    if depth is None:
-        _checkpoints(spark)
-    nodes = locate_nodes(nodes, width, precision)
-    ways = locate_ways(ways, way_nodes, nodes, width)
-    edges = [e.distinct() for e in (rel_nodes, rel_ways, rel_rels)]
+def build(nodes: DataFrame, ways: DataFrame, way_nodes: DataFrame, relations: DataFrame, rel_nodes: DataFrame, rel_ways: DataFrame, rel_rels: DataFrame, width: float = CELL, precision: str = "float64", depth: int | None = None, keep: Callable[[str, DataFrame], DataFrame] = lambda name, df: df) -> Catalog:
+    """Catalog of raw objects (id, tags; nodes with lon, lat) and edges; edges to relations are made distinct.
+
+    keep: what to do with each table before others are built on it (an import writes it and reads it again)."""
+    nodes = keep("nodes", locate_nodes(nodes, width, precision))
+    way_nodes = keep("way_nodes", way_nodes)
+    ways = keep("ways", locate_ways(ways, way_nodes, nodes, width))
+    edges = [keep(name, e.distinct()) for name, e in (("rel_nodes", rel_nodes), ("rel_ways", rel_ways), ("rel_rels", rel_rels))]
     part = Catalog(nodes, ways, relations, way_nodes, *edges)
-    return Catalog(nodes, ways, locate_relations(relations, part, depth), way_nodes, *edges)
+    return Catalog(nodes, ways, keep("relations", locate_relations(relations, part, depth)), way_nodes, *edges)
 
 
 def _checkpoints(spark: SparkSession) -> None:
-    """The folder that the cluster names; a local one only where none is set."""
     if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fellgate-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))

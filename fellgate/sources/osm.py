@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from fellgate.functions.geometry import CELL
 from fellgate.sources import importer
 from fellgate.sources.catalog import Catalog
+from fellgate.sources.shared import delete
 
 _TAG = T.ArrayType(T.StructType([T.StructField("_k", T.StringType()), T.StructField("_v", T.StringType())]))
 _ND = T.ArrayType(T.StructType([T.StructField("_ref", T.LongType())]))
@@ -89,6 +90,11 @@ def _signed(value: int) -> int:
     return (value >> 1) ^ -(value & 1)
 
 
+def _int64(value: int) -> int:
+    """A number that is not zigzag: negative ones are written modulo 2**64."""
+    return value - (1 << 64) if value >> 63 else value
+
+
 def _running(values: list[int]) -> list[int]:
     """Sums of zigzag differences."""
     out, total = [], 0
@@ -119,9 +125,9 @@ def decode_block(data: bytes) -> Iterator[tuple]:
         elif number == 17:
             granularity = value
         elif number == 19:
-            lat0 = value
+            lat0 = _int64(value)
         elif number == 20:
-            lon0 = value
+            lon0 = _int64(value)
 
     def degrees(v: int, origin: int) -> float:
         return (origin + granularity * v) / 1e9
@@ -146,11 +152,11 @@ def decode_block(data: bytes) -> Iterator[tuple]:
                 if number == 1:
                     yield ("node", _signed(parts[1]), degrees(_signed(parts[9]), lon0), degrees(_signed(parts[8]), lat0), own, None, None)
                 elif number == 3:
-                    yield ("way", parts[1], None, None, own, _running(_numbers(parts.get(8, b""))), None)
+                    yield ("way", _int64(parts[1]), None, None, own, _running(_numbers(parts.get(8, b""))), None)
                 else:
                     kinds = ("node", "way", "relation")
                     members = [(kinds[t], ref) for ref, t in zip(_running(_numbers(parts.get(9, b""))), _numbers(parts.get(10, b"")))]
-                    yield ("relation", parts[1], None, None, own, None, members)
+                    yield ("relation", _int64(parts[1]), None, None, own, None, members)
 
 
 def blobs(content: bytes) -> Iterator[bytes]:
@@ -189,8 +195,8 @@ def read_pbf(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(split, "blob binary").repartition(spark.sparkContext.defaultParallelism).mapInPandas(decode, _OBJECT)
 
 
-def catalog_of(objects: DataFrame, width: float = CELL, precision: str = "float64") -> Catalog:
-    """Canonical tables of raw objects."""
+def catalog_of(objects: DataFrame, width: float = CELL, precision: str = "float64", depth: int | None = None, keep: Callable[[str, DataFrame], DataFrame] = lambda name, df: df) -> Catalog:
+    """Canonical tables of raw objects; depth and keep as in importer.build."""
     of = {k: objects.where(F.col("kind") == k) for k in ("node", "way", "relation")}
     member = of["relation"].select(F.col("id").alias("rel_id"), F.explode("members").alias("m"))
 
@@ -199,13 +205,23 @@ def catalog_of(objects: DataFrame, width: float = CELL, precision: str = "float6
 
     way_nodes = of["way"].select(F.col("id").alias("way_id"), F.posexplode("refs").alias("pos", "node_id"))
     rel_rels = members("relation", "child_id").withColumnRenamed("rel_id", "parent_id")
-    return importer.build(of["node"].select("id", "lon", "lat", "tags"), of["way"].select("id", "tags"), way_nodes, of["relation"].select("id", "tags"), members("node", "node_id"), members("way", "way_id"), rel_rels, width, precision)
+    return importer.build(of["node"].select("id", "lon", "lat", "tags"), of["way"].select("id", "tags"), way_nodes, of["relation"].select("id", "tags"), members("node", "node_id"), members("way", "way_id"), rel_rels, width, precision, depth, keep)
+
 
+def import_osm(spark: SparkSession, source: str, target: str, width: float = CELL, precision: str = "float64", depth: int | None = None) -> Catalog:
+    """Read an .osm or .pbf file, write the canonical tables to target and load them from there.
 
-def import_osm(spark: SparkSession, source: str, target: str, width: float = CELL) -> Catalog:
-    """Read an .osm or .pbf file, write the canonical tables to target and load them from there."""
+    The file is decoded once, into raw objects by kind; each table is then built from written ones."""
     if not source.endswith((".osm", ".pbf")):
         raise ValueError(f"neither .osm nor .pbf: {source}")
     objects = read_xml(spark, source) if source.endswith(".osm") else read_pbf(spark, source)
-    catalog_of(objects, width).save(target)
+    raw = f"{target}/raw"
+    objects.write.mode("overwrite").partitionBy("kind").parquet(raw)
+
+    def keep(name: str, df: DataFrame) -> DataFrame:
+        Catalog.write(df, name, target)
+        return Catalog.read(spark, name, target)
+
+    catalog_of(spark.read.schema(objects.schema).parquet(raw), width, precision, depth, keep).save_edges(target)
+    delete(spark, raw)
     return Catalog.load(spark, target)

@@ -32,6 +32,7 @@ class _OnDemand(Catalog):
 
     def __init__(self, makers: dict[str, Callable[[Catalog], DataFrame]]) -> None:
         object.__setattr__(self, "_makers", makers)
+        object.__setattr__(self, "placed", {})
 
     def __getattr__(self, name: str) -> DataFrame:
         makers = object.__getattribute__(self, "_makers")
@@ -41,14 +42,16 @@ class _OnDemand(Catalog):
         return object.__getattribute__(self, name)
 
 
-def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
+def catalog(spark: SparkSession, sf_dir: str, depth: int | None = 2) -> Catalog:
+    """depth: levels of child relations; these tables have two, so None (as many as there are) gives the same."""
+
     def read(name: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
     makers = {
         "nodes": lambda c: _nodes(read("part")),
         "ways": lambda c: _ways(read("orders"), read("lineitem")),
-        "relations": lambda c: importer.locate_relations(_relations(read("region"), read("nation"), read("supplier"), read("customer")), c, depth=2),
+        "relations": lambda c: importer.locate_relations(_relations(read("region"), read("nation"), read("supplier"), read("customer")), c, depth=depth),
         "way_nodes": lambda c: read("lineitem").select(F.col("l_orderkey").alias("way_id"), F.col("l_linenumber").alias("pos"), F.col("l_partkey").alias("node_id")),
         "rel_nodes": lambda c: read("lineitem").select((F.col("l_suppkey") + SUPPLIER).alias("rel_id"), F.col("l_partkey").alias("node_id")).distinct(),
         "rel_ways": lambda c: read("orders").select((F.col("o_custkey") + CUSTOMER).alias("rel_id"), F.col("o_orderkey").alias("way_id")),

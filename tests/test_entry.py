@@ -8,7 +8,7 @@ DATA = Path("/root/testdata/sf0.001")
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="no test tables here")
-@pytest.mark.parametrize("name", ["node_bbox", "cmp_mixed_units", "relation_bbox", "two_subs", "or_sub", "per_cell_multiplicity", "tag_dictionary", "geojson_points"])
+@pytest.mark.parametrize("name", ["node_bbox", "cmp_mixed_units", "relation_bbox", "two_subs", "or_sub", "per_cell_multiplicity", "tag_dictionary", "geojson_points", "geojson_lines", "geojson_polygons", "relations_open_depth", "saved_or_sub", "saved_nested_sub", "precedence", "nested_or_not"])
 def test_against_duckdb(spark, name):
     import duckdb
 

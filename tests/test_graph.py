@@ -36,6 +36,13 @@ def catalog(spark):
     )
 
 
+@pytest.fixture(scope="module")
+def saved(spark, catalog, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("saved"))
+    catalog.save(path, 2)
+    return Catalog.load(spark, path)
+
+
 def ids(df):
     return sorted(r["id"] for r in df.select("id").collect())
 
@@ -189,3 +196,33 @@ def test_web(catalog):
         urllib.request.urlopen(url, b"bbox(1,2")
     assert e.value.code == 400 and "position" in json.loads(e.value.read())["details"]
     server.shutdown()
+
+
+SUBS = [
+    "bbox(0,0,0.2,0.2).nodes{this.ways{w=closed}}",
+    "bbox(0.4,0.4,0.5,0.5).nodes{this.ways{this.nodes{a=*}}}",
+    "bbox(0,0,0.1,0.1).nodes{!this.relations{r=nodes}}",
+    "bbox(0,0,0.1,0.1).ways{this.nodes{b=no} OR this.relations{r=ways}}",
+    "bbox(0.4,0.4,0.5,0.5).relations{this.child_relations{r=nodes} OR this.ways{w=cross}}",
+    "bbox(0,0,0.3,0.3).relations{this.relations{r=parent}}",
+    "bbox(0,0,0.1,0.1).nodes{this.ways{this.relations{this.relations{this.nodes{b=no} OR r=parent}}}}",
+]
+
+
+@pytest.mark.parametrize("text", SUBS)
+def test_a_box_leaves_out_nothing_that_a_sub_statement_needs(catalog, saved, text):
+    assert ids(Engine(saved).query(text)) == ids(Engine(catalog).query(text))
+
+
+def test_a_box_reaches_the_scans_of_edges_and_targets(spark, saved):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    plan = Engine(saved).query("bbox(0,0,0.2,0.2).nodes{this.ways{w=closed AND this.relations{r=ways}}}")._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "FileScan" in line]
+    assert len(scans) == 5  # nodes, two tables of edges, ways, relations
+    bounded = [line for line in scans if "LessThanOrEqual(min_lon,0.2)" in line and "GreaterThanOrEqual(max_lon,0.0)" in line]
+    assert len(bounded) == 4 and any("nodes_to_ways" in x for x in bounded) and any("ways_to_relations" in x for x in bounded)
+    assert any("PartitionFilters" in x and "cell_x" in x for x in scans)
+    # members may lie anywhere: going down, the box cuts the edges alone
+    plan = Engine(saved).query("bbox(0,0,0.2,0.2).ways{this.nodes{a=*}}")._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "FileScan" in line]
+    assert sum("LessThanOrEqual(min_lon,0.2)" in x for x in scans) == 2 and not any("lon,0.2" in x for x in scans if "/nodes]" in x)

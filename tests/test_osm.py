@@ -96,3 +96,40 @@ def test_bounds_reach_the_top_of_a_chain_within_one_cell(spark):
     none = spark.createDataFrame([], "id long, tags map<string,string>")
     made = importer.build(nodes, none, spark.createDataFrame([], "way_id long, pos int, node_id long"), relations, pairs([(i, i) for i in range(1, 6)], "rel_id", "node_id"), pairs([], "rel_id", "way_id"), pairs([(i, i + 1) for i in range(1, 5)], "parent_id", "child_id"))
     assert {r["id"]: round(r["max_lon"], 6) for r in made.relations.collect()} == {i: 9.96 for i in range(1, 6)}
+
+
+def test_negative_offsets_and_ids():
+    from fellgate.sources.osm import decode_block
+
+    wrap = lambda v: varint(v % 2**64)
+    dense = field(1, deltas([-7])) + field(8, deltas([-100])) + field(9, deltas([200])) + field(10, bytes([0]))
+    block = field(1, field(1, b"")) + field(2, field(2, dense)) + field(2, field(3, varint(1 << 3) + wrap(-4) + field(8, deltas([-7])))) + field(2, field(4, varint(1 << 3) + wrap(-5)))
+    block += varint(19 << 3) + wrap(-1_000_000_000) + varint(20 << 3) + wrap(-2_000_000_000)
+    node, way, relation = decode_block(block)
+    assert node[:4] == ("node", -7, -2 + 2e-5, -1 - 1e-5) and way[:2] == ("way", -4) and way[5] == [-7] and relation[:2] == ("relation", -5)
+
+
+def test_a_file_is_decoded_once(spark, tmp_path, monkeypatch):
+    from fellgate.sources import osm
+
+    (tmp_path / "x.osm.pbf").write_bytes(pbf())
+    counter = tmp_path / "decoded"
+    counter.mkdir()
+    read = osm.read_pbf
+
+    def slow(spark_, path):
+        from pyspark.sql import functions as F
+
+        def seen(batches, folder=str(counter)):
+            import uuid
+
+            open(f"{folder}/{uuid.uuid4().hex}", "w").close()
+            yield from batches
+
+        objects = read(spark_, path).coalesce(1)
+        return objects.mapInPandas(seen, objects.schema).select(*map(F.col, objects.columns))
+
+    monkeypatch.setattr(osm, "read_pbf", slow)
+    osm.import_osm(spark, str(tmp_path / "x.osm.pbf"), str(tmp_path / "index"))
+    assert len(list(counter.iterdir())) == 1
+    held(Engine.load(spark, str(tmp_path / "index")))
