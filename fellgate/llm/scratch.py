@@ -7,45 +7,32 @@ lost executor then costs no more than its tasks of the running stage.
 
 from __future__ import annotations
 
-import atexit
 import gc
-import tempfile
 import time
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fellgate.sources.shared import delete, fresh_path
+
+#: Batches that go to Python workers hold so much at most, where the session has no setting of its own; the default of 64 MB
+#: takes several times that for each worker and task.
+BATCH, _BATCH_KEY, _BATCH_DEFAULT = "16m", "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 #: Seconds between two collections of garbage, after which Spark deletes the shuffle files of plans that are no longer referred to.
 COLLECT = 4.0
 _collected = 0.0
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of this machine only where all of Spark runs on it."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="fellgate-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 class Scratch:
     """Written tables of one job. ``keep`` writes one, ``drop`` deletes those that nothing reads any more,
-    ``clear`` all; what is left goes when the session's program ends, as a lazy result may read it until then."""
+    ``clear`` all; what is left goes when the program ends, as a lazy result may read it until then."""
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self._paths = spark, {}
-        atexit.register(self._at_exit)
+        if spark.conf.get(_BATCH_KEY, _BATCH_DEFAULT) == _BATCH_DEFAULT:
+            spark.conf.set(_BATCH_KEY, BATCH)
 
     def keep(self, df: DataFrame) -> DataFrame:
-        path = f"{shared_folder(self.spark).rstrip('/')}/fellgate-{uuid.uuid4().hex}"
+        path = fresh_path(self.spark)
         df.write.option("compression", "zstd").option("parquet.block.size", 32 << 20).parquet(path)
         table = self.spark.read.schema(df.schema).parquet(path)
         self._paths[id(table)] = (path, table)
@@ -64,15 +51,9 @@ class Scratch:
     def drop(self, *tables: DataFrame) -> None:
         for table in tables:
             path, _ = self._paths.pop(id(table))
-            _delete(self.spark, path)
+            delete(self.spark, path)
 
     def clear(self, *but: DataFrame) -> None:
         """Delete all tables except these."""
         kept = {id(x) for x in but}
         self.drop(*(table for key, (_, table) in list(self._paths.items()) if key not in kept))
-
-    def _at_exit(self) -> None:
-        try:
-            self.clear()
-        except Exception:  # noqa: BLE001 - the session is gone already
-            pass
