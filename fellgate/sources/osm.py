@@ -1,7 +1,8 @@
 """OSM files as raw objects: XML by Spark's own source, PBF blocks decoded on the executors.
 
-A PBF file is a row of blobs; their headers give the offsets without unpacking
-anything, so blobs are dealt to tasks, which read, unpack and decode only theirs.
+A PBF file is a row of blobs behind headers that give their sizes.  Tasks take
+ranges of its bytes, find the first header in theirs, and read, unpack and decode
+the blobs that begin there.
 """
 
 from __future__ import annotations
@@ -159,30 +160,101 @@ def decode_block(data: bytes) -> Iterator[tuple]:
                     yield ("relation", _int64(parts[1]), None, None, own, None, members)
 
 
+MARK = b"\x0a\x07OSMData"  # how the header of a data blob begins, after its length
+RANGE = 64 << 20
+
+
+def _header(content: bytes) -> tuple[int, dict] | None:
+    """(length, fields) of the blob header at the start of the bytes, if one stands there."""
+    if len(content) < 4:
+        return None
+    (size,) = struct.unpack(">i", content[:4])
+    if not 0 < size <= 1 << 16 or len(content) < 4 + size:
+        return None
+    try:
+        header = dict(_fields(content[4 : 4 + size]))
+    except (IndexError, ValueError):
+        return None
+    return (4 + size, header) if isinstance(header.get(1), bytes) and isinstance(header.get(3), int) else None
+
+
 def blobs(content: bytes) -> Iterator[bytes]:
     """Data blobs of a PBF file's bytes."""
     at = 0
     while at < len(content):
-        (size,) = struct.unpack(">i", content[at : at + 4])
-        header = dict(_fields(content[at + 4 : at + 4 + size]))
-        at += 4 + size
+        size, header = _header(content[at : at + 4 + (1 << 16)])
+        at += size
         if header[1] == b"OSMData":
             yield content[at : at + header[3]]
         at += header[3]
 
 
-def read_pbf(spark: SparkSession, path: str) -> DataFrame:
-    """Raw objects of .pbf files. Each file is read by one task, its blobs are then dealt to all."""
-    files = spark.read.format("binaryFile").load(path).select("content")
-
-    def split(batches):
-        import pyarrow as pa
-
+def blobs_in(file, start: int, stop: int, length: int) -> Iterator[bytes]:
+    """Data blobs whose headers begin in [start, stop) of an open file of this length."""
+
+    def header(at: int) -> tuple[int, dict] | None:
+        file.seek(at)
+        return _header(file.read(min(length - at, 4 + (1 << 16)))) if at < length else None
+
+    def first() -> int:
+        """The first header at or after start: one behind which the next one, or the end, stands where it says."""
+        at = start
+        while start and at < min(stop, length):
+            file.seek(at)
+            window = file.read(min(length, stop + len(MARK) + 4) - at)[: 1 << 20]
+            found = window.find(MARK, 4)
+            if found < 0:
+                at += max(1, len(window) - len(MARK) - 3)
+                continue
+            at += found - 4
+            own = header(at)
+            if own and ((end := at + own[0] + own[1][3]) == length or (end < length and header(end))):
+                return at
+            at += 1
+        return at if start else 0
+
+    at = first()
+    while at < min(stop, length):
+        size, fields = header(at)
+        if fields[1] == b"OSMData":
+            file.seek(at + size)
+            yield file.read(fields[3])
+        at += size + fields[3]
+
+
+def _opened(path: str):
+    """(file system, path there) by Arrow, which reads parts of files; None if it does not know this kind of path."""
+    from pyarrow import ArrowInvalid, fs
+
+    uri = path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path
+    try:
+        found, name = fs.FileSystem.from_uri(uri)
+        return (found, name) if found.get_file_info(name).is_file else None
+    except (ArrowInvalid, OSError, NotImplementedError):
+        return None
+
+
+def read_pbf(spark: SparkSession, path: str, span: int = RANGE) -> DataFrame:
+    """Raw objects of .pbf files, of any size where Arrow can open the path on the executors: each task then reads and
+    decodes a range of bytes. Where only Spark's readers open it, a file (of 2 GB at most) is read by one task and its blobs are dealt out."""
+    import pyarrow as pa
+
+    files = [(r["path"], r["length"]) for r in spark.read.format("binaryFile").load(path).select("path", "length").collect()]  # names alone
+
+    def whole(batches):
         for batch in batches:
             for content in batch.column("content"):
                 for blob in blobs(content.as_py()):
                     yield pa.RecordBatch.from_arrays([pa.array([blob], pa.binary())], names=["blob"])
 
+    def ranges(batches):
+        for batch in batches:
+            for name, start, length in zip(*(batch.column(c).to_pylist() for c in ("path", "start", "length"))):
+                system, inner = _opened(name)
+                with system.open_input_file(inner) as file:
+                    for blob in blobs_in(file, start, start + span, length):
+                        yield pa.RecordBatch.from_arrays([pa.array([blob], pa.binary())], names=["blob"])
+
     def decode(batches):
         import pandas as pd
 
@@ -192,7 +264,12 @@ def read_pbf(spark: SparkSession, path: str) -> DataFrame:
                 rows = [(*r[:6], None if r[6] is None else [{"type": t, "ref": x} for t, x in r[6]]) for r in decode_block(_unpacked(blob))]
                 yield pd.DataFrame(rows, columns=names).astype({"refs": object, "members": object, "tags": object})
 
-    return files.mapInArrow(split, "blob binary").repartition(spark.sparkContext.defaultParallelism).mapInPandas(decode, _OBJECT)
+    if all(_opened(name) for name, _ in files):
+        parts = [(name, start, length) for name, length in files for start in range(0, length, span)]
+        found = spark.createDataFrame(parts, "path string, start long, length long").repartition(max(1, len(parts))).mapInArrow(ranges, "blob binary")
+    else:
+        found = spark.read.format("binaryFile").load(path).select("content").mapInArrow(whole, "blob binary")
+    return found.repartition(spark.sparkContext.defaultParallelism).mapInPandas(decode, _OBJECT)
 
 
 def catalog_of(objects: DataFrame, width: float = CELL, precision: str = "float64", depth: int | None = None, keep: Callable[[str, DataFrame], DataFrame] = lambda name, df: df) -> Catalog:

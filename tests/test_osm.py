@@ -133,3 +133,30 @@ def test_a_file_is_decoded_once(spark, tmp_path, monkeypatch):
     osm.import_osm(spark, str(tmp_path / "x.osm.pbf"), str(tmp_path / "index"))
     assert len(list(counter.iterdir())) == 1
     held(Engine.load(spark, str(tmp_path / "index")))
+
+
+def test_ranges_of_a_file_give_each_blob_once(spark, tmp_path):
+    import io
+    import random
+
+    from fellgate.sources.osm import MARK, blobs, blobs_in
+
+    rng = random.Random(2)
+    out = pbf()
+    for _ in range(40):  # blobs that hold what looks like headers
+        blob = field(1, rng.randbytes(rng.randint(0, 300)) + MARK + rng.choice([b"", b"\x18\x05", b"\0\0\0\x0d" + MARK + b"\x18\x05"]) + rng.randbytes(rng.randint(0, 40)))
+        header = field(1, b"OSMData") + field(3, len(blob))
+        out += struct.pack(">i", len(header)) + header + blob
+    want = list(blobs(out))
+    for span in (1, 7, 50, 333, 5000, 10**6):
+        got = [b for start in range(0, len(out), span) for b in blobs_in(io.BytesIO(out), start, start + span, len(out))]
+        assert got == want, span
+
+
+def test_pbf_by_ranges(spark, tmp_path):
+    from fellgate.sources import osm
+
+    (tmp_path / "x.osm.pbf").write_bytes(pbf())
+    path = str(tmp_path / "x.osm.pbf")
+    rows = [sorted(map(str, osm.read_pbf(spark, path, span).collect())) for span in (16, 1 << 20)]
+    assert rows[0] == rows[1] and len(rows[0]) == 6
