@@ -104,3 +104,44 @@ def test_neighbours(spark):
     assert ann.search(df.limit(0), df.limit(0)).count() == 0
     few = df.where("vec_id IN (0, 1, 2)")
     assert ann.search(few, few.where("vec_id = 0")).count() == 2
+
+
+def recall(spark, x, step):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(6).cache()
+    asked = df.where(F.col("vec_id") % step == 0)
+    found = collections.defaultdict(list)
+    for r in ann.search(df, asked).collect():
+        found[r["query_id"]].append(r["vec_id"])
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    hit = 0
+    for q in range(0, len(x), step):
+        near = unit @ unit[q]
+        near[q] = -9
+        hit += len(set(np.argpartition(-near, 5)[:5].tolist()) & set(found[q]))
+    scratch = ann.Scratch(spark)
+    index, questions, rows, n = ann.prepared(df, asked, 5, "vec_id", "embedding", scratch)
+    offered = ann.candidates(index, questions, rows, n, scratch).agg(F.sum(F.size("keys"))).first()[0]
+    df.unpersist()
+    return hit / (5 * n), offered / (n * rows)
+
+
+def test_few_candidates_and_recall_over_fifty_thousand_vectors(spark):
+    x = np.random.default_rng(5).standard_normal((50_000, 64))  # the hardest case: nothing is near
+    found, share = recall(spark, x, 500)
+    assert found >= 0.9 and share < 0.1
+
+
+def test_buckets_and_chunks(spark, monkeypatch):
+    for name, value in (("BUCKET", 200), ("CHUNK", 300), ("TOGETHER", 7)):
+        monkeypatch.setattr(ann, name, value)
+    found, share = recall(spark, np.random.default_rng(6).standard_normal((2500, 16)), 50)
+    assert found >= 0.9 and share < 0.9
+
+
+def test_a_repeated_id_and_other_dimensions(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [0.1, 1.0]), (4, [1.0, 0.0, 0.0]), (5, [2.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r["query_id"], r["rank"], r["vec_id"]) for r in ann.search(df, df.where("vec_id = 2")).orderBy("rank").collect()]
+    assert got == [(2, 1, 1), (2, 2, 5), (2, 3, 3)]  # an id with two vectors is as near as its nearer one; ties go to the smaller id
