@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fellgate.llm.hashing import mix, ranges
+from fellgate.llm.memory import releasing
 from fellgate.llm.scratch import Scratch
 
 K = 5
@@ -81,6 +82,7 @@ def _entries(rows: DataFrame, side: int, coarse: int) -> DataFrame:
     """Sorted strings and keys of (key, v, length) by tree and bucket; side 0: the index, 1: queries."""
     names = [c.split()[0] for c in ENTRIES.split(", ")]
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             all_keys, all_lengths = batch.column("key").to_numpy(), batch.column("length").to_numpy().astype(np.uint8)
@@ -104,6 +106,7 @@ def _entries(rows: DataFrame, side: int, coarse: int) -> DataFrame:
 def _visits(index: DataFrame, asked: DataFrame, coarse: int, visit, schema: str) -> DataFrame:
     """What ``visit`` makes of each bucket's (codes, keys) and the (codes, keys, lengths) of queries that come to it."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, parts, own = None, [], None
         for batch in batches:
@@ -163,6 +166,7 @@ def _lengths(index: DataFrame, asked: DataFrame, coarse: int, parts: int) -> Dat
         rows = [(part, k.tobytes(), own.tobytes()) for part, k, own in _split(_part(keys, parts), keys, n)]
         yield _batch(rows, ("part", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()))
 
+    @releasing
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, keys, counts = None, [], []
 
@@ -198,6 +202,7 @@ def _lengths(index: DataFrame, asked: DataFrame, coarse: int, parts: int) -> Dat
 def _classes(vectors: DataFrame, keep: int) -> DataFrame:
     """Distinct vectors (v) with their smallest ids: first within each task, then over all."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: dict[bytes, list[int]] = {}
 
@@ -236,6 +241,7 @@ def candidates(index: DataFrame, asked: DataFrame, rows: int, n_asked: int, scra
         rows_ = [(part, q.tobytes(), k.tobytes()) for part, q, k in _split(_part(of, parts), of, given)]
         yield _batch(rows_, ("part", pa.int32()), ("asked", pa.binary()), ("keys", pa.binary()))
 
+    @releasing
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, vectors, pairs = None, {}, []
 
@@ -265,6 +271,7 @@ def candidates(index: DataFrame, asked: DataFrame, rows: int, n_asked: int, scra
         if pairs:
             yield from out()
 
+    @releasing
     def part_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(_part(batch.column("key").to_numpy(), parts)), *batch.columns], names=["part", "key", "id", "v"])
@@ -282,6 +289,7 @@ def _compared(index: DataFrame, found: DataFrame, rows: int, k: int) -> DataFram
     """query_id, id, score: the nearest of each chunk for each query."""
     chunks = max(1, -(-rows // CHUNK))
 
+    @releasing
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, parts, tables = None, [], {}
 
@@ -324,6 +332,7 @@ def _compared(index: DataFrame, found: DataFrame, rows: int, k: int) -> DataFram
                     out += [(query, j, -s) for s, j in sorted((-s, j) for s, some in zip(near.tolist(), ids) for j in some if j != query)[:k]]
                 yield _batch(out, ("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64()))
 
+    @releasing
     def chunk_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(_part(batch.column("key").to_numpy(), chunks)), *batch.columns], names=["chunk", "key", "v", "keys"])

@@ -90,13 +90,14 @@ class Anchors(NamedTuple):
     count: np.ndarray  # number of its windows
 
 
-def anchors(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: int, length: int) -> Anchors:
+def anchors(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: int, length: int, whole: bool = True) -> Anchors:
     """Cut the windows of ``length`` values into runs that share an anchor.
 
     A window's anchor is its leftmost k-gram of least hash, so it depends on the
     window's content alone: equal windows have equal anchors at equal offsets,
     wherever they stand.  Consecutive windows of one anchor make one run.
     Sequences are values[starts[i]:ends[i]]; no window crosses their borders.
+    Without ``whole``, ``full`` is left out.
     """
     counts = np.maximum(0, ends - starts - length + 1)
     at = ranges(starts, counts)
@@ -113,7 +114,9 @@ def anchors(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: int, le
     count = np.diff(np.append(new, len(at)))
     first = at[new]
     place = (low[new] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    whole = PrefixHash(values, BASE_B).of(first, first + count - 1 + length)
-    shape = mix(((place - first).astype(np.uint64) << np.uint64(32)) | count.astype(np.uint64))
     row = np.repeat(np.arange(len(starts)), counts)[new]
-    return Anchors(grams[place], mix(whole ^ shape), row, first - starts[row], count)
+    if not whole:
+        return Anchors(grams[place], np.zeros(0, np.uint64), row, first - starts[row], count)
+    covered = PrefixHash(values, BASE_B).of(first, first + count - 1 + length)
+    shape = mix(((place - first).astype(np.uint64) << np.uint64(32)) | count.astype(np.uint64))
+    return Anchors(grams[place], mix(covered ^ shape), row, first - starts[row], count)

@@ -51,6 +51,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fellgate.llm.hashing import mix, ranges
+from fellgate.llm.memory import releasing
 from fellgate.llm.scratch import Scratch
 from fellgate.llm.words import texts
 
@@ -160,6 +161,7 @@ def _wide_apart(x: np.ndarray, y: np.ndarray) -> int:
 def _classes(source: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """doc_id, id, n_shingles, fp, the sketch and twice as many of the nearest pivots as are needed, of every document."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, names, heads, sketches = [], [], [], []
@@ -178,6 +180,7 @@ def _classes(source: DataFrame, n: int, num: int, den: int) -> DataFrame:
 def _head_pivots(sets: DataFrame) -> DataFrame:
     """pivot, n: how often each pivot stands in the heads, counted within batches first."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pivots, counts = np.unique(np.frombuffer(b"".join(_rows(batch.column("head"))), np.uint64), return_counts=True)
@@ -193,6 +196,7 @@ def _is_late(tokens: np.ndarray, late: np.ndarray) -> np.ndarray:
 def _head_regions(sets: DataFrame, num: int, den: int, common) -> DataFrame:
     """pivot, fp: the regions that each set is copied into, from its head; pivot null where the head has too few that are not common."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late = common.value
         for batch in batches:
@@ -224,6 +228,7 @@ def _head_regions(sets: DataFrame, num: int, den: int, common) -> DataFrame:
 def _text_regions(bodies: DataFrame, num: int, den: int, common) -> DataFrame:
     """The same from whole sets (fp, tokens)."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late = common.value
         for batch in batches:
@@ -239,6 +244,7 @@ def _text_regions(bodies: DataFrame, num: int, den: int, common) -> DataFrame:
 def _bodies(source: DataFrame, sets: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """fp, tokens and wide sketch of the sets that are wanted (fp), each cut from a text once."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tokens, wide = [], []
@@ -320,6 +326,7 @@ def near_pairs(offsets: np.ndarray, size: np.ndarray, group: np.ndarray, side: n
 def _candidates(members: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b), a < b, of each part (key) that sizes and sketches do not part; parts have 2 BLOCK rows or so at most."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _runs(batches):
             bits = np.stack([rows[b] for b in BITS], axis=1).view(np.uint64)
@@ -342,6 +349,7 @@ def _cut(large: DataFrame, level: int, num: int, den: int) -> DataFrame:
     first = groups.withColumn("r", F.row_number().over(place)).where(F.col("r") <= CENTRES)
     centres = first.groupBy("key").agg(F.collect_list(F.struct(*(F.col(f"own.{b}").alias(b) for b in BITS))).alias("centres"))  # CENTRES at most
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("centres")
@@ -412,6 +420,7 @@ def _linked(pairs: DataFrame, source: DataFrame, sets: DataFrame, scratch: Scrat
     wanted = pairs.select("fp").unionByName(pairs.select(F.col("hub").alias("fp"))).distinct()
     bodies = scratch.keep(_bodies(source, sets, wanted, n))
 
+    @releasing
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             most = _apart(batch.column("n").to_numpy(), batch.column("m").to_numpy(), num, den)
@@ -430,6 +439,7 @@ def _linked(pairs: DataFrame, source: DataFrame, sets: DataFrame, scratch: Scrat
     hubs = salts.select("hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     hubs = hubs.select(place, F.lit(0).alias("side"), "hub", F.col("hub").alias("fp")).join(bodies.select("fp", "tokens"), "fp")
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, own = None, np.zeros(0, np.uint64)
         for batch in batches:
@@ -473,13 +483,14 @@ def clusters(source: DataFrame, sets: DataFrame, scratch: Scratch, n: int, num:
     common = spark.sparkContext.broadcast(np.sort(late.astype(np.int64).view(np.uint64)))
 
     of_heads = scratch.keep(_head_regions(sets, num, den, common))
-    of_texts = scratch.keep(_text_regions(_bodies(source, sets, of_heads.where("pivot IS NULL").select("fp"), n).select("fp", "tokens"), num, den, common))
+    whole = scratch.keep(_bodies(source, sets, of_heads.where("pivot IS NULL").select("fp"), n))  # kept, as two functions in one stage take two workers for each task
+    of_texts = scratch.keep(_text_regions(whole.select("fp", "tokens"), num, den, common))
     with_heads, sets = sets, scratch.keep(sets.drop("head"))
     scratch.drop(with_heads)
     regions = of_heads.where("pivot IS NOT NULL").unionByName(of_texts)
     shared = regions.groupBy("pivot").agg(F.count("*").alias("g"), F.min("fp").alias("hub")).where("g > 1")
     first = scratch.keep(regions.join(shared, "pivot"))
-    scratch.drop(of_heads, of_texts)
+    scratch.drop(of_heads, of_texts, whole)
 
     sized = sets.select("fp", "n", *BITS)
     star = first.where("fp <> hub").select("hub", "fp").distinct().join(sized.alias("y"), "fp")

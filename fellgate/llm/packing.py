@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from fellgate.llm.bpe import byte_alphabet
+from fellgate.llm.memory import releasing
 from fellgate.llm.scratch import Scratch
 from fellgate.llm.words import texts
 
@@ -95,6 +96,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool
     """doc_id, piece, start, length, ids_crc32, task and nth (number within its length and task); with_ids: ids binary."""
     fields = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long" + ", ids binary" * with_ids
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _LOADED.get(path) or _LOADED.setdefault(path, WordIds(path))
         task, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
@@ -192,9 +194,10 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool =
     rows = sorted(plan(counts, capacity))
     table = {size: [np.array(x, np.int64) for x in zip(*((r[1], r[3], r[4], r[5]) for r in own))] for size, own in groupby(rows, key=lambda r: r[0])}
     shared = spark.sparkContext.broadcast(table)  # in the order of the capacity, not of the corpus
-    numbered = cut.join(begin.select("task", "length", "begin"), ["task", "length"])
+    numbered = cut.join(begin.select("task", "length", "begin").hint("merge"), ["task", "length"])  # it grows with the tasks
     out = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long" + ", ids binary" * with_ids
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size = batch.column("length").to_numpy()

@@ -42,6 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fellgate.llm.hashing import mix, ranges
+from fellgate.llm.memory import releasing
 from fellgate.llm.scratch import Scratch
 from fellgate.llm.words import hash_words, texts
 
@@ -165,6 +166,7 @@ def _listed(source: DataFrame) -> DataFrame:
     names = [c.split()[0] for c in LISTED.split(", ")]
     kinds = [pa.int64(), pa.int64(), pa.bool_(), *[pa.binary()] * 5]
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, size, grams, words = TaskContext.get().partitionId() << 32, 0, _Tally(), _Tally()
 
@@ -306,6 +308,7 @@ def _shards(sizes: list[tuple[int, int]]) -> list[int]:
 def _context_sizes(lists: DataFrame) -> DataFrame:
     """context (-1: words), n: entries of all lists, added up in each task first."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, words = np.zeros(1 << 16, np.int64), 0
         for batch in batches:
@@ -322,6 +325,7 @@ def _pieces(lists: DataFrame, grams: list[int], words: int, salts: int) -> DataF
     """shard, salt, block, keys, counts: lists cut at the shards' borders; word shards come after gram shards."""
     starts = {"grams": np.array(grams, np.uint64) << np.uint64(24), "words": np.array([k * 2**63 // words for k in range(words)], np.uint64)}
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
@@ -342,6 +346,7 @@ def _pieces(lists: DataFrame, grams: list[int], words: int, salts: int) -> DataF
 def _added(pieces: DataFrame) -> DataFrame:
     """shard, keys, counts (of those learned), total, kinds: one row for each shard and salt."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, tally = None, _Tally()
 
@@ -369,6 +374,7 @@ def _added(pieces: DataFrame) -> DataFrame:
 def _pairs(model: DataFrame, grams: int) -> DataFrame:
     """pair (a byte and the symbol after it), n."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 16, np.int64)
         for batch in batches:
@@ -384,6 +390,7 @@ def _pairs(model: DataFrame, grams: int) -> DataFrame:
 def _valued(pieces: DataFrame, model: DataFrame, grams: int, salts: int, pairs) -> DataFrame:
     """block, shard, keys, worth: log10 p of each gram, the count of each word."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worth = None
 
@@ -411,6 +418,7 @@ def _valued(pieces: DataFrame, model: DataFrame, grams: int, salts: int, pairs)
 def _summed(listed: DataFrame, valued: DataFrame, grams: int, missing: float) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, base_score, score: each block's lists first, then its texts."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, lists, tables = None, {False: [], True: []}, {}
 

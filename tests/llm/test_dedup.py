@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import random
 
 from fellgate.llm import rlz_dedup, suffix_dedup
 
@@ -59,6 +60,45 @@ def test_relative_lempel_ziv_short_window(docs, rows):
     assert got == brute_words(rows, 4)
 
 
+def test_factors_name_their_sources(docs, rows):
+    words = {i: (t or "").encode().split() for i, t in rows}
+    found = 0
+    for r in rlz_dedup.dedup(docs).collect():
+        covered, before = set(), -1
+        for f in r["factors"]:
+            own = words[r["doc_id"]][f["start"] : f["start"] + f["length"]]
+            assert f["source"] < r["doc_id"] and len(own) == f["length"] >= 13
+            assert own == words[f["source"]][f["at"] : f["at"] + f["length"]]
+            assert f["start"] > before
+            before = f["start"]
+            covered |= set(range(f["start"], f["start"] + f["length"]))
+            found += f["length"] > 40
+        assert len(covered) == r["n_removed"]
+    assert found > 10
+
+
+def test_rows_that_share_a_doc_id(spark):
+    rng = random.Random(3)
+    line = lambda n: " ".join(f"v{rng.randint(0, 9999)}" for _ in range(n))
+    first, other, alone = line(40), line(40), line(25)
+    rows = [(1, first), (1, other), (5, alone), (5, first[: len(first) // 2]), (5, alone), (6, other + " " + alone)]
+    got = sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in rlz_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    half = len(first[: len(first) // 2].split())
+    # the last word of the half may be cut short, which leaves it and no window with it
+    assert [g for g in got if g[0] != 5] == [(1, 40, 0), (1, 40, 0), (6, 65, 65)]
+    assert [g for g in got if g[0] == 5 and g[1] == 25] == [(5, 25, 0)] * 2
+    assert [g[2] for g in got if g[0] == 5 and g[1] == half][0] >= half - 1
+
+
+def test_a_passage_that_most_documents_share(spark):
+    rng = random.Random(4)
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(20)) + " " + passage * (i % 3 > 0) + " " + " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(20))) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert {r[0]: tuple(r)[1:] for r in rlz_dedup.digest(rlz_dedup.dedup(df)).collect()} == brute_words(rows, 13)
+    assert {r[0]: tuple(r)[1:] for r in suffix_dedup.digest(suffix_dedup.dedup(df)).collect()} == brute_bytes(rows, 200)
+
+
 def test_edges(empty, odd):
     assert suffix_dedup.dedup(empty).count() == rlz_dedup.dedup(empty).count() == 0
     got = [(r["doc_id"], r["n_bytes"], r["n_removed"]) for r in suffix_dedup.dedup(odd).collect()]

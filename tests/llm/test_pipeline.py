@@ -64,3 +64,100 @@ def test_stages_keep_columns(spark, docs):
 
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, "").columns == docs.columns
+
+
+def near_components(rows, n=5, num=8, den=10):
+    """Least doc_id of each document's component, by an inverted index over shared shingles."""
+    sets = {}
+    for i, t in rows:
+        w = (t or "").encode().lower().split()
+        sets[i] = set(zip(*(w[k:] for k in range(n)))) if len(w) >= n else {tuple(w)} if w else set()
+    places = collections.defaultdict(list)
+    for i, own in sets.items():
+        for x in own:
+            places[x].append(i)
+    both = collections.Counter()
+    for own in places.values():
+        if len(own) > 1:
+            both.update((a, b) for a in own for b in own if a < b)
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for (a, b), k in both.items():
+        if den * k >= num * (len(sets[a]) + len(sets[b]) - k):
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+    return {i: find(i) for i in sets}
+
+
+def without_repeats(rows, size=200):
+    seen = collections.Counter(hash(b[k : k + size]) for b in ((t or "").encode() for _, t in rows) for k in range(len(b) - size + 1))
+    out = {}
+    for i, t in rows:
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for k in range(len(b) - size + 1):
+            if seen[hash(b[k : k + size])] > 1:
+                gone[k : k + size] = b"\1" * size
+        out[i] = bytes(x for x, g in zip(b, gone) if not g).decode("utf-8", "ignore")
+    return out
+
+
+def test_each_stage_over_the_sample(spark):
+    """Whole tables of sf0.01, each stage on all that the one before kept, within a time limit."""
+    import time
+
+    import corpus_pipeline
+    from fellgate.llm import pii
+
+    sf_dir = "/root/testdata/sf0.01"
+    began = time.perf_counter()
+    docs, tables = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
+    scratch = corpus_pipeline.Scratch(spark)
+    for _, stage in corpus_pipeline.STAGES:
+        tables.append(docs)
+        docs = scratch.keep(stage(spark, docs, sf_dir))
+    assert time.perf_counter() - began < 240
+    packed = docs.collect()
+    raw, kept, alone, cut, clean = ([(r["doc_id"], r["text"]) for r in t.select("doc_id", "text").collect()] for t in tables)
+    verdict = {r["doc_id"]: r["kept"] for r in corpus_pipeline.quality.measure(tables[0]).collect()}
+    assert {i for i, _ in kept} == {i for i, v in verdict.items() if v} and len(kept) < len(raw)
+    component = near_components(kept)
+    assert {i for i, _ in alone} == set(component.values()) and len(alone) < len(kept)
+    want = without_repeats(alone)
+    assert dict(cut) == want and any(len(want[i]) < len(t) for i, t in alone)
+    spans = {r["doc_id"]: [(int(s), int(e), k) for k, s, e in (x.split(":") for x in r["spans"].split(",") if x)] for r in pii.digest(pii.find(tables[3])).collect()}
+    for i, text in clean:
+        if not spans[i]:
+            assert text == want[i]
+        for s, e, _ in spans[i]:
+            assert e - s < 6 or want[i][s:e] not in text or want[i].count(want[i][s:e]) > 1
+    lib = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    lengths, fill = collections.Counter(), collections.Counter()
+    for r in packed:
+        lengths[r["doc_id"]] += r["length"]
+        fill[r["sequence_id"]] += r["length"]
+    assert lengths == {i: len(lib.encode(t, add_special_tokens=False).ids) + 1 for i, t in clean}
+    assert max(fill.values()) <= 2048
+
+
+def test_awkward_documents(spark, tmp_path):
+    """No documents; repeated rows, null ids and texts; columns that the stages use inside."""
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, id string, runs int, fp string, key int, kept string, __q_t int, m string"
+    good = " ".join(f"{w} the of and" for w in (f"w{i}" for i in range(40)))
+    other = " ".join(f"{w} und der die" for w in (f"v{i}" for i in range(40)))
+    row = lambda i, t: (i, t, "en", "s", len(t or ""), "x", 1, "f", 2, "k", 3, "m")
+    cases = {"empty": [], "odd": [row(1, good), row(1, good), row(None, good), row(None, None), row(2, None), row(3, ""), row(None, other), row(None, other), row(4, "short")]}
+    for name, rows in cases.items():
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / name / "documents.parquet"))
+        docs = spark.read.parquet(str(tmp_path / name / "documents.parquet"))
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            assert stage(spark, docs, "").schema.names == docs.schema.names
+        got = corpus_pipeline.run(spark, str(tmp_path / name)).collect()
+        assert sorted((r["doc_id"] for r in got), key=str) == ([] if name == "empty" else [1, None])

@@ -112,3 +112,25 @@ def test_one_pretoken_of_megabytes(libraries):
     for text in ("ab" * 500_000, "\u00e9" * 200_000, "!" * 300_000):
         assert words.of(text.encode()) == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
     assert max(map(len, words._stretches)) <= packing.LONGEST and max(map(len, words._pieces)) <= packing.LONGEST
+
+
+def best_fit_decreasing(sizes, capacity):
+    import bisect
+
+    gaps, n = [], 0
+    for size in sorted(sizes, reverse=True):
+        i = bisect.bisect_left(gaps, size)
+        new = i == len(gaps)
+        gap = capacity if new else gaps.pop(i)
+        n += new
+        bisect.insort(gaps, gap - size)
+    return n
+
+
+def test_no_more_sequences_than_best_fit_decreasing():
+    rng = random.Random(1)
+    for trial in range(200):
+        capacity = rng.choice([64, 300, 2048])
+        draw = (lambda: rng.randint(1, capacity), lambda: min(capacity, 1 + int(rng.expovariate(4 / capacity))), lambda: rng.randint(capacity // 3, capacity // 2 + 5), lambda: rng.choice([capacity // 2, capacity // 3 + 1, capacity // 4, capacity // 7, capacity - 1, 1]))[trial % 4]
+        sizes = [draw() for _ in range(rng.randint(1, 1500))]
+        assert len(filled(packing.plan(dict(collections.Counter(sizes)), capacity))) <= best_fit_decreasing(sizes, capacity) + 1
