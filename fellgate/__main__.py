@@ -27,6 +27,8 @@ def main(args: list[str] | None = None) -> int:
     one.add_argument("--output", default="output.geojson")
     one = commands.add_parser("server")
     one.add_argument("--port", type=int, default=8080)
+    one.add_argument("--ssl-cert-file", help="certificate for TLS")
+    one.add_argument("--ssl-key-file", help="its key")
     given = parser.parse_args(args)
     spark = SparkSession.builder.appName("fellgate").getOrCreate()
     if given.command == "import":
@@ -44,7 +46,7 @@ def main(args: list[str] | None = None) -> int:
     else:
         from fellgate.web import serve
 
-        serve(Engine.load(spark, given.index), given.port)
+        serve(Engine.load(spark, given.index), given.port, given.ssl_cert_file, given.ssl_key_file)
     return 0
 
 

@@ -226,3 +226,20 @@ def test_a_box_reaches_the_scans_of_edges_and_targets(spark, saved):
     plan = Engine(saved).query("bbox(0,0,0.2,0.2).ways{this.nodes{a=*}}")._jdf.queryExecution().executedPlan().toString()
     scans = [line for line in plan.splitlines() if "FileScan" in line]
     assert sum("LessThanOrEqual(min_lon,0.2)" in x for x in scans) == 2 and not any("lon,0.2" in x for x in scans if "/nodes]" in x)
+
+
+def test_web_sends_pieces_and_a_page(catalog, monkeypatch):
+    from fellgate import web
+
+    monkeypatch.setattr(web, "PIECE", 40)
+    server = ThreadingHTTPServer(("127.0.0.1", 0), web.handler(Engine(catalog)))
+    Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    with urllib.request.urlopen(urllib.request.Request(f"{base}/query", data=(ALL + ".nodes{a=*}").encode())) as answer:
+        assert answer.headers["Transfer-Encoding"] == "chunked" and len(json.load(answer)["features"]) == 4
+    with urllib.request.urlopen(f"{base}/app") as answer:
+        assert "text/html" in answer.headers["Content-Type"] and "{{bbox}}" in answer.read().decode()
+    with pytest.raises(urllib.error.HTTPError) as missing:
+        urllib.request.urlopen(f"{base}/other")
+    assert missing.value.code == 404
+    server.shutdown()
