@@ -10,6 +10,7 @@ def first(text):
     return parse(f"bbox(1,2,3,4).nodes{{{text}}}").statements[0].filter
 
 
+# Tokens and their positions.
 @pytest.mark.parametrize(
     ("text", "found"),
     [

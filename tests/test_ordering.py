@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from fellgate.functions.ordering import compare, is_number, less, number, sorted_values
 
 
+# Orders that must come out as they do elsewhere.
 @pytest.mark.parametrize(
     ("given", "found"),
     [
@@ -26,6 +27,13 @@ def test_numbers():
     assert is_number("2.5") and not is_number("2.5 m") and not is_number("-1")
 
 
+def test_white_space_around_values(spark):
+    rows = [(" 3",), ("3\t",), ("\u00a03\n",), ("\u20035",), ("3 x",), (" 2 ",)]
+    df = spark.createDataFrame(rows, "v string")
+    got = df.select(compare(F.col("v"), ">=", "3").alias("a"), compare(F.col("v"), "<=", "3").alias("b")).collect()
+    assert [(r["a"], r["b"]) for r in got] == [(True, True), (True, True), (True, True), (True, False), (True, False), (False, True)]
+
+
 def test_columns_against_python(spark):
     rng = random.Random(3)
     values = ["", " ", "yes", "-1", "5-LOW", ".", "2.", "1.2.3", "é", "12 ft 3"] + [rng.choice(["{}", "{} m", "{}.5", "x{}", " {} "]).format(rng.randint(0, 60)) for _ in range(150)]
