@@ -271,10 +271,12 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
     """Columns of rows sorted by key, handed on in whole groups of a key."""
     carried: dict[str, np.ndarray] = {}
     for batch in batches:
+        if not batch.num_rows:
+            continue
         own = {c: batch.column(c).to_numpy() for c in batch.schema.names}
         if carried:
             own = {c: np.concatenate([carried[c], x]) for c, x in own.items()}
-        done = int(np.searchsorted(own["key"], own["key"][-1])) if batch.num_rows else len(own["key"])
+        done = int(np.searchsorted(own["key"], own["key"][-1]))
         if done:
             yield {c: x[:done] for c, x in own.items()}
         carried = {c: x[done:] for c, x in own.items()}

@@ -45,16 +45,20 @@ MOST, LONGEST = 1 << 18, 64
 
 
 class _Cache(dict):
-    """What ``make`` gives for a text; forgets all when full and holds no long ones, so that its memory is bounded."""
+    """What ``make`` gives for a text. It holds no long ones, and when it is full its entries become the old ones, which
+    stay if they are asked for again until it is full once more: frequent texts stay, and its memory is bounded."""
 
     def __init__(self, make) -> None:
         super().__init__()
-        self._make = make
+        self._make, self._old = make, {}
 
     def __missing__(self, key: bytes) -> bytes:
-        ids = self._make(key)
+        ids = self._old.get(key)
+        if ids is None:
+            ids = self._make(key)
         if len(key) <= LONGEST:
             if len(self) >= MOST:
+                self._old = dict(self)
                 self.clear()
             self[key] = ids
         return ids
