@@ -66,8 +66,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in a row over documents, each written and read again."""
     scratch = Scratch(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = scratch.keep(docs)
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        written = scratch.keep(stage(spark, docs, sf_dir))
+        if k:
+            scratch.drop(docs)
+        docs = written
+    return STAGES[-1][1](spark, docs, sf_dir)
