@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import heapq
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from itertools import groupby
@@ -37,11 +38,19 @@ from fellgate.llm.scratch import Scratch
 from fellgate.llm.words import texts
 
 CAPACITY = 2048
-# Fixed value: how the word vocabulary cuts lower-cased ASCII without white space.
-PRETOKEN = rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+"
-_ALPHABET = dict(enumerate(byte_alphabet()))
+# Letters that stand for themselves whatever stands beside them, with stable lower case (no I with a dot, no
+# n after an apostrophe), and how the word vocabulary cuts a lower-cased text of these and ASCII that has no white space.
+LATIN = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e"
+PRETOKEN = f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{LATIN}]+|[0-9]|[^a-z{LATIN}0-9]+"
+_ALPHABET = byte_alphabet()
+_SYMBOLS = {c: "".join(_ALPHABET[x] for x in chr(c).encode()) for c in (*range(0x80), *range(0xC0, 0x180))}
 #: Entries of a cache, and the bytes of the longest text that it holds.
-MOST, LONGEST = 1 << 18, 64
+MOST, LONGEST = 1 << 19, 64
+
+
+def _packed(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit numbers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class _Cache(dict):
@@ -52,7 +61,7 @@ class _Cache(dict):
         super().__init__()
         self._make, self._old = make, {}
 
-    def __missing__(self, key: bytes) -> bytes:
+    def __missing__(self, key: str | bytes) -> bytes:
         ids = self._old.get(key)
         if ids is None:
             ids = self._make(key)
@@ -68,25 +77,26 @@ class WordIds:
     """Ids of a text by the tokenizers library, as little-endian unsigned 32-bit numbers.
 
     Neither normalizer nor pre-tokenizer looks across white space, so a text is cut at it (ASCII alone) and each
-    distinct stretch is encoded once: what is not ASCII, or may hold a special token, by the library as a whole, the
-    rest pretoken by pretoken by the library's model."""
+    distinct stretch is encoded once: of ASCII and LATIN pretoken by pretoken by the library's model, all others, and
+    what may hold a special token, by the library as a whole."""
 
     def __init__(self, path: str) -> None:
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.no_truncation()
         self._tokenizer.no_padding()
         self._model = self._tokenizer.model
-        self._pretokens = re.compile(PRETOKEN)
+        self._plain, self._pretokens = re.compile(f"[\\x00-\\x7f{LATIN}]+"), re.compile(PRETOKEN)
         self._pieces, self._stretches = _Cache(self._piece), _Cache(self._stretch)
 
-    def _piece(self, piece: bytes) -> bytes:
-        symbols = piece.decode("latin-1").translate(_ALPHABET)
-        return np.array([t.id for t in self._model.tokenize(symbols)], "<u4").tobytes()
+    def _piece(self, piece: str) -> bytes:
+        return _packed([t.id for t in self._model.tokenize(piece.translate(_SYMBOLS))])
 
     def _stretch(self, stretch: bytes) -> bytes:
-        if stretch.isascii() and b"<|" not in stretch:
-            return b"".join(map(self._pieces.__getitem__, self._pretokens.findall(stretch.lower())))
-        return np.array(self._tokenizer.encode(stretch.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        text = stretch.decode()
+        if b"<|" in stretch or not self._plain.fullmatch(text):
+            return _packed(self._tokenizer.encode(text, add_special_tokens=False).ids)
+        text = text.lower()
+        return self._pieces[text] if text.isalpha() else b"".join(map(self._pieces.__getitem__, self._pretokens.findall(text)))
 
     def of(self, data: bytes) -> bytes:
         """Of a text in UTF-8."""
