@@ -35,7 +35,7 @@ def dedup(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary)."""
     scratch = Scratch(docs.sparkSession)
     source = texts(docs).select("doc_id", F.xxhash64("doc_id", "text").alias("id"), F.col("text").cast("binary").alias("data"))
-    runs = repeated_windows(source.withColumn("doc", F.col("id")), lengths(min_bytes), False, False, scratch)
+    runs = repeated_windows(source.withColumn("doc", F.lit(0).cast("long")), lengths(min_bytes), False, False, scratch)
 
     @releasing
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,7 +66,7 @@ def cut_texts(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")))
     source = texts(docs).select(F.xxhash64("doc_id", "text").alias("id"), F.col("text").cast("binary").alias("data"))
-    runs = repeated_windows(source.withColumn("doc", F.col("id")), lengths(min_bytes), False, False, scratch)
+    runs = repeated_windows(source.withColumn("doc", F.lit(0).cast("long")), lengths(min_bytes), False, False, scratch)
     lists = runs.groupBy("id").agg(F.collect_set(F.struct("first", "n")).alias("__s_runs")).withColumnRenamed("id", "__s_id")
     joined = docs.withColumn("__s_key", key).join(lists, F.col("__s_key") == F.col("__s_id"), "left")
     names = docs.columns
