@@ -11,19 +11,24 @@ may lie, and large regions are cut again by pivots of their own.
   order: long shingles first, because they are rare, common ones last.
 * Their windows: a partner within the radius misses at most |x| - ceil(t |x|) of x's
   shingles, so the nearest pivot of both is among x's first |x| - ceil(t |x|) + 1.
-* Further pivots: regions of more than BLOCK sets take up to CENTRES of their sets as
-  pivots, of different components, the largest first.  Distances are taken between
+* Further pivots: where dealing a region into blocks (below) takes more than COPIES rows
+  for each set, up to CENTRES of its sets become pivots,
+  of different components, the largest first.  Distances are taken between
   parity sketches (SKETCH bits): their Hamming distance is a metric that never exceeds
   the number of shingles in which two sets differ, so sets within the radius lie
   within some bits a of each other.  A set lives with its nearest pivot p, in the ring
   of its distance from p; by the triangle inequality a partner of another region lies
   at most 2 a farther from p than from its own pivot, and in rings at most a away, so
-  it visits those.  This recurs up to DEPTH times; what is still large by then (sets
-  that are all about as far from each other as the radius) is dealt into pairs of
-  blocks, so no part ever has more than 2 BLOCK rows or so.
-* Before regions are cut, each set meets the least one of its region.  That joins dense
+  it visits those.  This recurs up to DEPTH times, where it takes fewer rows than dealing
+  does (among sets that are all about as far from each other as the radius it takes more).
+  What is still larger than BLOCK is dealt into pairs of blocks; sets of the region's largest
+  component meet only those of other components.  So no part has more than 2 BLOCK rows or so.
+* Before regions are cut, each set meets the least one of its region, and, while large
+  regions need more than ENOUGH rows, CENTRES more.  That joins dense
   groups by stars; pairs within a component cannot change the result and are left out,
   and regions whose sets are one component are done.
+* Parts, and the sets that decide links, are taken in turns that each take no more disk
+  than a share of the input, however dense its groups are.
 * What sketches and sizes do not part is decided by the sets themselves: each text of
   a candidate pair is cut into shingles once, and sets travel to the partner that
   most pairs have in common.
@@ -42,6 +47,7 @@ hash and byte length, sets by a 64-bit hash.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import chain
 
 import numpy as np
@@ -60,6 +66,12 @@ N, NUMERATOR, DENOMINATOR = 3, 9, 10
 COMMON, MOST = 64, 1 << 20
 #: Regions of more sets are cut: by so many pivots, so often, into rings of so many bits.
 BLOCK, CENTRES, DEPTH, RING = 512, 16, 3, 32
+#: Regions are cut where dealing them takes more rows for each set; while large regions take more rows than ENOUGH in all, up to ROUNDS times more of their sets become hubs.
+COPIES, ENOUGH, ROUNDS = 4, 1 << 17, 2
+#: Rows of parts that are written at once, and shingles of sets that decide links: so many, or that share of all shingles of the input.
+TURN_ROWS, ROWS_SHARE, TURN_SHINGLES, SHINGLES_SHARE = 1 << 20, 0.05, 1 << 22, 0.4
+#: Texts wanted by so many ids at most are picked before they are moved.
+PICKED = 1 << 20
 #: Regions up to FEW rows are compared together, as many as have ROWS rows.
 FEW, ROWS = 8, 1 << 15
 #: Partners of one set that a task verifies.
@@ -241,21 +253,28 @@ def _text_regions(bodies: DataFrame, num: int, den: int, common) -> DataFrame:
     return bodies.mapInArrow(run, "pivot long, fp long")
 
 
-def _bodies(source: DataFrame, sets: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """fp, tokens and wide sketch of the sets that are wanted (fp), each cut from a text once."""
+def _bodies(source: DataFrame, sets: DataFrame, wanted: DataFrame, scratch: Scratch, n: int, wide: bool = False) -> DataFrame:
+    """fp and tokens, or (wide) size n and wide sketch, of the sets that are wanted (fp), each cut from a text once."""
 
     @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens, wide = [], []
+            sizes, data = [], []
             for s in shingle_sets(_rows(batch.column("data")), n):
-                tokens.append(s.tobytes())
-                wide.append(_wide(s).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.array(tokens, pa.binary()), pa.array(wide, pa.binary())], names=["fp", "tokens", "wide"])
+                sizes.append(len(s))
+                data.append((_wide(s) if wide else s).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.array(sizes, pa.int64()), pa.array(data, pa.binary())], names=["fp", "n", "tokens"])
 
+    ids = scratch.keep(wanted.join(sets.select("fp", "id"), "fp"))
+    found = source.select("id", "data")
+    if ids.count() <= PICKED:  # else the join moves all texts
+        found = found.join(F.broadcast(ids.select("id")), "id", "left_semi")
     # repeated rows share an id, so the groups lie where the join has put them
-    rows = source.select("id", "data").join(wanted.join(sets.select("fp", "id"), "fp"), "id")
-    return rows.groupBy("id", "fp").agg(F.first("data").alias("data")).select("fp", "data").mapInArrow(run, "fp long, tokens binary, wide binary")
+    found = found.join(ids, "id").groupBy("id", "fp").agg(F.first("data").alias("data"))
+    bodies = found.select("fp", "data").mapInArrow(run, "fp long, n long, tokens binary")
+    bodies = scratch.keep(bodies.withColumnRenamed("tokens", "wide") if wide else bodies.drop("n"))
+    scratch.drop(ids)
+    return bodies
 
 
 def _apart(na, nb, num: int, den: int):
@@ -263,8 +282,11 @@ def _apart(na, nb, num: int, den: int):
     return (den - num) * (na + nb) // (den + num)
 
 
-def _hamming(a: str, b: str) -> Column:
-    return F.expr(" + ".join(f"bit_count({a}.{x} ^ {b}.{x})" for x in BITS))
+def _near(num: int, den: int) -> Column:
+    """Neither sizes (m, n) nor sketches part the sets x and y."""
+    hamming = F.expr(" + ".join(f"bit_count(x.{b} ^ y.{b})" for b in BITS))
+    near = (F.col("m") * den >= F.col("n") * num) & (F.col("m") * num <= F.col("n") * den)
+    return near & (hamming <= F.floor(F.col("m") * (den - num) + F.col("n") * (den - num)) / (den + num))
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
@@ -345,7 +367,7 @@ def _candidates(members: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _cut(large: DataFrame, level: int, num: int, den: int) -> DataFrame:
-    """Rows (key, fp, n, c, bits) of large regions, copied into the Voronoi regions and rings of their own pivots."""
+    """Rows (key, parent, fp, n, c, bits) of large regions (parent), copied into the Voronoi regions and rings of their own pivots."""
     groups = large.groupBy("key", "c").agg(F.count("*").alias("g"), F.min(F.struct(F.xxhash64("fp", F.lit(level)).alias("h"), *BITS)).alias("own"))
     place = Window.partitionBy("key").orderBy(F.col("g").desc(), "own.h")
     first = groups.withColumn("r", F.row_number().over(place)).where(F.col("r") <= CENTRES)
@@ -374,53 +396,111 @@ def _cut(large: DataFrame, level: int, num: int, den: int) -> DataFrame:
             times = high - low + 1
             row, cells, rings = np.repeat(of[at], times), np.repeat(cell[at], times), ranges(low, times)
             key = mix(batch.column("key").to_numpy()[row].view(np.uint64) + mix((np.uint64(level + 1) << np.uint64(40)) + (cells.astype(np.uint64) << np.uint64(20)) + rings.astype(np.uint64)))
-            rest = batch.select(["fp", "n", "c", *BITS]).take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *rest.columns], names=["key", *rest.schema.names])
+            rest = batch.select(["key", "fp", "n", "c", *BITS]).take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *rest.columns], names=["key", "parent", *rest.schema.names[1:]])
 
     joined = large.select("key", "fp", "n", "c", *BITS).join(centres, "key")
-    return joined.mapInArrow(run, "key long, fp long, n long, c long, " + ", ".join(f"{b} long" for b in BITS))
+    return joined.mapInArrow(run, "key long, parent long, fp long, n long, c long, " + ", ".join(f"{b} long" for b in BITS))
+
+
+def _sizes(rows: DataFrame, *more: str) -> DataFrame:
+    """key, g, main, m, s, cost of each region that has sets of several components: its rows, its largest component, the
+    blocks of that one's rows and of the others, and the rows that its parts have."""
+    of_component = rows.groupBy("key", *more, "c").agg(F.count("*").alias("k"))
+    sizes = of_component.groupBy("key", *more).agg(F.sum("k").alias("g"), F.max(F.struct("k", "c")).alias("top"), F.count("*").alias("cs")).where("cs > 1")
+    most, rest = F.col("top.k"), F.col("g") - F.col("top.k")
+    sizes = sizes.withColumn("m", F.ceil(most / BLOCK).cast("int")).withColumn("s", F.ceil(rest / BLOCK).cast("int"))
+    cost = F.when(F.col("g") <= BLOCK, F.col("g")).otherwise(most * F.col("s") + rest * (F.col("m") + F.col("s")))
+    return sizes.select("key", *more, "g", F.col("top.c").alias("main"), "m", "s", cost.alias("cost"))
+
+
+def _sum(rows: DataFrame, column: str) -> int:
+    return rows.agg(F.coalesce(F.sum(column), F.lit(0))).first()[0]
 
 
 def _dealt(large: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Rows of regions that no pivot cuts: a part for each pair of blocks, by hash."""
-    blocks = sizes.select("key", F.ceil(F.col("g") / BLOCK).cast("int").alias("blocks"))
-    rows = large.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    part = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
-    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+    """Rows of regions in parts, by hash: one for each block of the largest component and block of the others, one for each pair of blocks of the others."""
+    rows = large.join(sizes.select("key", "main", "m", "s"), "key").withColumn("of_main", F.col("c") == F.col("main"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("fp"), F.when(F.col("of_main"), F.col("m")).otherwise(F.col("s"))).cast("int"))
+    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.when(F.col("of_main"), F.col("s")).otherwise(F.col("m") + F.col("s")) - 1)))
+    to_main = ~F.col("of_main") & (F.col("k") < F.col("m"))
+    other = F.col("k") - F.col("m")
+    a = F.when(F.col("of_main"), F.col("own")).when(to_main, F.col("k")).otherwise(F.least("own", other))
+    b = F.when(F.col("of_main"), F.col("k")).when(to_main, F.col("own")).otherwise(F.greatest("own", other))
+    part = F.xxhash64("key", F.col("of_main") | to_main, a, b)
     # rows of a block meet in its part with itself; in a part with another block they meet that block's rows only
+    side = F.when(F.col("of_main"), 0).when(to_main, 1).when(F.col("own") == other, 2).when(F.col("own") < other, 0).otherwise(1)
     return rows.select(part.alias("key"), "fp", "n", "c", side.cast("int").alias("side"), *BITS)
 
 
-def _parts(rows: DataFrame, scratch: Scratch, num: int, den: int) -> DataFrame:
-    """Rows (key, g, fp, n, c, bits) of all regions, the large ones cut until each part (key) has 2 BLOCK rows or so at most."""
+def _parts(rows: DataFrame, scratch: Scratch, num: int, den: int) -> tuple[DataFrame, int]:
+    """Rows (key, g, fp, n, c, bits) of all regions, the large ones cut or dealt until each part (key) has 2 BLOCK rows or so at most; how many."""
     columns = ["key", "fp", "n", "c", *BITS]
     whole = F.lit(2).alias("side")
     done = [rows.where(F.col("g") <= BLOCK).select(*columns, whole)]
+    amount = done[0].count()
     large = rows.where(F.col("g") > BLOCK).select(*columns)
+    sizes = scratch.keep(_sizes(large))
     for level in range(DEPTH + 1):
-        sizes = scratch.keep(large.groupBy("key").agg(F.count("*").alias("g"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key", "g"))
         if level:
-            done.append(large.join(sizes.where(F.col("g") <= BLOCK).select("key"), "key").select(*columns, whole))
+            small = sizes.where(F.col("g") <= BLOCK)
+            done.append(large.join(small.select("key"), "key").select(*columns, whole))
+            amount += _sum(small, "g")
         sizes = sizes.where(F.col("g") > BLOCK)
         if sizes.isEmpty():
             break
         large = scratch.keep(large.join(sizes.select("key"), "key"))
-        if level == DEPTH:
-            done.append(_dealt(large, sizes))
+        dear = sizes.where(F.col("cost") > COPIES * F.col("g"))
+        cut = None
+        if level < DEPTH and not dear.isEmpty():
+            below = scratch.keep(_sizes(_cut(large.join(dear.select("key"), "key"), level, num, den), "parent"))
+            after = below.groupBy(F.col("parent").alias("key")).agg(F.sum("cost").alias("after"))
+            cut = scratch.keep(dear.join(after, "key", "left").where(F.coalesce("after", F.lit(0)) < F.col("cost")).select("key"))
+        dealt = sizes if cut is None else sizes.join(cut, "key", "left_anti")
+        done.append(_dealt(large, dealt))
+        amount += _sum(dealt, "cost")
+        if cut is None or cut.isEmpty():
             break
-        large = scratch.keep(_cut(large, level, num, den))
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    return out
+        large = scratch.keep(_cut(large.join(cut, "key"), level, num, den).select(*columns))
+        sizes = scratch.keep(below.join(cut.select(F.col("key").alias("parent")), "parent").drop("parent"))
+    return reduce(DataFrame.unionByName, done), amount
+
+
+def _hub_pairs(large: DataFrame, turn: int, num: int, den: int) -> DataFrame:
+    """Pairs (hub, fp) of each region's sets and CENTRES of them, of different components, that sizes and sketches do not part."""
+    h = F.xxhash64("fp", F.lit(turn))  # regions of the same sets have the same hubs
+    hubs = large.groupBy("key", F.pmod(h, F.lit(CENTRES)).alias("cell")).agg(F.min(F.struct(h.alias("h"), "fp", "n", "c", *BITS)).alias("hub"))
+    hubs = hubs.select("key", F.col("hub.fp").alias("hub"), F.col("hub.n").alias("m"), F.col("hub.c").alias("d"), *(F.col(f"hub.{b}").alias(b) for b in BITS))
+    met = large.alias("y").join(hubs.alias("x"), "key").where(F.col("c") != F.col("d"))
+    return met.where(_near(num, den)).select("hub", "fp").distinct()
+
+
+def _merged(star: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
+    """fp, label of the sets that star (fp, label) or the links found (a, b) join: the least of those they are linked with."""
+    # links between the stars' components, not between their members
+    a, b = (star.select(F.col("fp").alias(c), F.col("label").alias(f"c{c}")) for c in "ab")
+    found = found.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    over = components(found, scratch)
+    over = scratch.keep(over.select(F.col("node").alias("label"), "component"))
+    members = star.join(over, "label", "left").select("fp", F.coalesce("component", "label").alias("label"))
+    alone = over.join(star.select(F.col("fp").alias("label")), "label", "left_anti").select(F.col("label").alias("fp"), F.col("component").alias("label"))
+    return members.unionByName(alone)
 
 
-def _linked(pairs: DataFrame, source: DataFrame, sets: DataFrame, scratch: Scratch, n: int, num: int, den: int) -> DataFrame:
+def _linked(pairs: DataFrame, source: DataFrame, sets: DataFrame, scratch: Scratch, n: int, num: int, den: int, turn: float) -> DataFrame:
     """The pairs (hub, fp) whose sets are alike. Wide sketches leave little to decide; then each hub's set goes once to
-    every PARTNERS of its partners."""
-    wanted = pairs.select("fp").unionByName(pairs.select(F.col("hub").alias("fp"))).distinct()
-    bodies = scratch.keep(_bodies(source, sets, wanted, n))
+    every PARTNERS of its partners. Both in turns that take so many shingles or so, a wide sketch as much as an eighth of its set."""
+    sized = sets.select("fp", "n")
+
+    def ends(some: DataFrame) -> DataFrame:
+        return some.select("fp").unionByName(some.select(F.col("hub").alias("fp"))).distinct()
+
+    def turns(some: DataFrame, shingles: int) -> list[DataFrame]:
+        count = max(1, -int(-shingles // turn))
+        return [some.where(F.pmod(F.xxhash64("fp"), F.lit(count)) == k) for k in range(count)]
+
+    def union(tables: list[DataFrame]) -> DataFrame:
+        return reduce(DataFrame.unionByName, tables)
 
     @releasing
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -430,10 +510,22 @@ def _linked(pairs: DataFrame, source: DataFrame, sets: DataFrame, scratch: Scrat
             keep = [_wide_apart(x, y) <= d for x, y, d in zip(*cells, most.tolist())]
             yield batch.select(["hub", "fp"]).filter(pa.array(keep, pa.bool_()))
 
-    wide = bodies.select("fp", "wide", F.expr("length(tokens) div 8").alias("n"))
+    wide = _bodies(source, sets, ends(pairs), scratch, n, wide=True)
     other = wide.select(F.col("fp").alias("hub"), F.col("wide").alias("other"), F.col("n").alias("m"))
-    left = pairs.join(wide, "fp").join(other, "hub").select("hub", "fp", "wide", "other", "n", "m")
-    pairs = scratch.keep(left.mapInArrow(near, "hub long, fp long"))
+    left = (x.join(wide, "fp").join(other, "hub").select("hub", "fp", "wide", "other", "n", "m") for x in turns(pairs, _sum(pairs.join(sized, "fp"), "n") // 8))
+    close = [scratch.keep(x.mapInArrow(near, "hub long, fp long")) for x in left]
+    scratch.drop(wide)
+    pairs = union(close)
+    most = max(_sum(some.join(sized, "fp"), "n") for some in (ends(pairs), pairs))
+    found = union([_alike(x, source, sets, scratch, n, num, den) for x in turns(pairs, most)])
+    scratch.drop(*close)
+    return found
+
+
+def _alike(pairs: DataFrame, source: DataFrame, sets: DataFrame, scratch: Scratch, n: int, num: int, den: int) -> DataFrame:
+    """The pairs (hub, fp) whose sets are alike, as (a, b)."""
+    ends = pairs.select("fp").unionByName(pairs.select(F.col("hub").alias("fp"))).distinct()
+    bodies = _bodies(source, sets, ends, scratch, n)
     salts = pairs.groupBy("hub").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("salts"))
     place = F.xxhash64("hub", "salt").alias("key")
     partners = pairs.join(salts, "hub").withColumn("salt", F.pmod(F.xxhash64("fp"), F.col("salts")).cast("int"))
@@ -462,7 +554,7 @@ def _linked(pairs: DataFrame, source: DataFrame, sets: DataFrame, scratch: Scrat
     columns = ("key", "side", "hub", "fp", "tokens")
     both = hubs.select(*columns).unionByName(partners.select(*columns)).repartition("key").sortWithinPartitions("key", "hub", "side")
     found = scratch.keep(both.mapInArrow(run, "a long, b long"))
-    scratch.drop(bodies, pairs)
+    scratch.drop(bodies)
     return found
 
 
@@ -480,12 +572,14 @@ def clusters(source: DataFrame, sets: DataFrame, scratch: Scratch, n: int, num:
 
     source: id, data; sets: what _sets gave, used up."""
     spark = source.sparkSession
-    total = sets.agg(F.coalesce(F.sum(F.length("head")), F.lit(0))).first()[0] // 8
+    total, shingles = sets.agg(F.coalesce(F.sum(F.length("head")) / 8, F.lit(0)).cast("long"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    turn = max(TURN_SHINGLES, SHINGLES_SHARE * shingles)
     late = _head_pivots(sets).where((F.col("n") > COMMON) & (F.col("n") > total // MOST)).select("pivot").toPandas()["pivot"].to_numpy()  # MOST rows at most
     common = spark.sparkContext.broadcast(np.sort(late.astype(np.int64).view(np.uint64)))
+    scratch.collect()
 
     of_heads = scratch.keep(_head_regions(sets, num, den, common))
-    whole = scratch.keep(_bodies(source, sets, of_heads.where("pivot IS NULL").select("fp"), n))  # kept, as two functions in one stage take two workers for each task
+    whole = _bodies(source, sets, of_heads.where("pivot IS NULL").select("fp"), scratch, n)  # kept, as two functions in one stage take two workers for each task
     of_texts = scratch.keep(_text_regions(whole.select("fp", "tokens"), num, den, common))
     with_heads, sets = sets, scratch.keep(sets.drop("head"))
     scratch.drop(with_heads)
@@ -493,35 +587,47 @@ def clusters(source: DataFrame, sets: DataFrame, scratch: Scratch, n: int, num:
     shared = regions.groupBy("pivot").agg(F.count("*").alias("g"), F.min("fp").alias("hub")).where("g > 1")
     first = scratch.keep(regions.join(shared, "pivot"))
     scratch.drop(of_heads, of_texts, whole)
+    scratch.collect()
 
     sized = sets.select("fp", "n", *BITS)
     star = first.where("fp <> hub").select("hub", "fp").distinct().join(sized.alias("y"), "fp")
     star = star.join(sized.select(F.col("fp").alias("hub"), F.col("n").alias("m"), *(F.col(b) for b in BITS)).alias("x"), "hub")
-    near = (F.col("m") * den >= F.col("n") * num) & (F.col("m") * num <= F.col("n") * den)
-    near &= _hamming("x", "y") <= F.floor(F.col("m") * (den - num) + F.col("n") * (den - num)) / (den + num)
-    pairs = scratch.keep(star.where(near).select("hub", "fp"))
-    linked = _linked(pairs, source, sets, scratch, n, num, den)
+    pairs = scratch.keep(star.where(_near(num, den)).select("hub", "fp"))
+    scratch.collect()
+    linked = _linked(pairs, source, sets, scratch, n, num, den, turn)
     star = components(linked, scratch)
     star = scratch.keep(star.select(F.col("node").alias("fp"), F.col("component").alias("label")))
-    scratch.drop(pairs, linked)
+    scratch.drop(pairs)
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        of_set = sized.join(star, "fp", "left").withColumn("c", F.coalesce("label", "fp")).drop("label")
+        return rows.select(F.col("pivot").alias("key"), "g", "fp").join(of_set, "fp")
 
-    labelled = sized.join(star, "fp", "left").withColumn("c", F.coalesce("label", "fp")).drop("label")
-    rows = scratch.keep(first.select(F.col("pivot").alias("key"), "g", "fp").join(labelled, "fp"))
-    scratch.drop(first)
     own = Scratch(spark)
-    pairs = scratch.keep(_candidates(_parts(rows, own, num, den), num, den).select(F.col("a").alias("hub"), F.col("b").alias("fp")))
+    for k in range(ROUNDS):
+        large = own.keep(labelled(first.where(F.col("g") > BLOCK)))
+        mixed = own.keep(_sizes(large))
+        if _sum(mixed, "cost") <= ENOUGH:
+            break
+        pairs = own.keep(_hub_pairs(large.join(mixed.select("key"), "key"), k, num, den))
+        linked = _linked(pairs, source, sets, own, n, num, den, turn)
+        star = scratch.keep(_merged(star, linked, own))
+        own.clear()
+    rows = scratch.keep(labelled(first))
+    scratch.drop(first)
+    parts, amount = _parts(rows, own, num, den)
+    turns = max(1, -int(-amount // max(TURN_ROWS, ROWS_SHARE * shingles)))
+    some = (parts.where(F.pmod(F.xxhash64("key"), F.lit(turns)) == k) for k in range(turns))
+    some = [scratch.keep(_candidates(x, num, den).select(F.col("a").alias("hub"), F.col("b").alias("fp"))) for x in some]
+    pairs = reduce(DataFrame.unionByName, some)
     own.clear()
     scratch.drop(rows)
+    if turns > 1:
+        pairs = scratch.keep(pairs.distinct())
+        scratch.drop(*some)
     scratch.collect()
-    found = _linked(pairs, source, sets, scratch, n, num, den)
-    # links between the stars' components, not between their members
-    a, b = (star.select(F.col("fp").alias(c), F.col("label").alias(f"c{c}")) for c in "ab")
-    found = found.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    over = components(found, scratch)
-    over = scratch.keep(over.select(F.col("node").alias("label"), "component"))
-    members = star.join(over, "label", "left").select("fp", F.coalesce("component", "label").alias("component"))
-    alone = over.join(star.select(F.col("fp").alias("label")), "label", "left_anti").select(F.col("label").alias("fp"), "component")
-    return members.unionByName(alone)
+    found = _linked(pairs, source, sets, scratch, n, num, den, turn)
+    return _merged(star, found, scratch).withColumnRenamed("label", "component")
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:

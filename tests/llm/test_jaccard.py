@@ -193,3 +193,41 @@ def test_representatives_leave_one_row_of_each_component(spark):
     kept = jaccard.representatives(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
     assert collections.Counter(map(tuple, kept.collect())) == collections.Counter([(1, long), (3, other), (3, third), (None, "p q r"), (5, None), (6, " "), (None, None)])
     assert {tuple(r) for r in suffix_dedup.cut_texts(kept).collect()} >= {(1, long), (3, other), (3, third)}
+
+
+def test_dense_groups_take_few_rows(spark, monkeypatch):
+    """Sets that are all about as far from each other as the radius: parts have no more rows than dealing strangers to the largest component takes."""
+    monkeypatch.setattr(jaccard, "BLOCK", 32)
+    taken = []
+    candidates = jaccard._candidates
+
+    def watched(members, num, den):
+        taken.append(members.count())
+        return candidates(members, num, den)
+
+    monkeypatch.setattr(jaccard, "_candidates", watched)
+    rows = crowd(random.Random(11), 700, 20, 7)
+    assert got(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)) == components_of(rows)
+    assert sum(taken) < 60 * len(rows)
+
+
+def test_texts_that_share_nothing_stay_where_they_are(spark):
+    rng = random.Random(12)
+    rows = [(i, " ".join(f"{rng.getrandbits(60):x}" for _ in range(400))) for i in range(1500)]
+    rows += [(2000 + i, t + " end") for i, t in rows[:3]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).localCheckpoint()
+
+    def shuffled():
+        return spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+    before = shuffled()
+    assert sorted((d, c) for d, _, c in got(docs)) == [(i, i) for i in range(1500)] + [(2000 + i, i) for i in range(3)]
+    assert shuffled() - before < sum(len(t) for _, t in rows)
+
+
+def test_turns_lose_nothing(spark, monkeypatch):
+    """Many turns, more hubs, and texts that a join moves give the same."""
+    for name, value in (("BLOCK", 16), ("ENOUGH", 0), ("TURN_ROWS", 500), ("ROWS_SHARE", 0), ("TURN_SHINGLES", 4000), ("SHINGLES_SHARE", 0), ("PICKED", 10)):
+        monkeypatch.setattr(jaccard, name, value)
+    rows = crowd(random.Random(13), 150, 50, 9)
+    assert got(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)) == components_of(rows)
