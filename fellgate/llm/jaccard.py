@@ -29,9 +29,12 @@ may lie, and large regions are cut again by pivots of their own.
   and regions whose sets are one component are done.
 * Parts, and the sets that decide links, are taken in turns that each take no more disk
   than a share of the input, however dense its groups are.
-* What sketches and sizes do not part is decided by the sets themselves: each text of
-  a candidate pair is cut into shingles once, and sets travel to the partner that
-  most pairs have in common.
+* Two sets that share several regions are compared in the first of them, as far as the FIRST
+  regions of each tell.  A part hands on those of its rows that have a partner which sizes and
+  sketches do not part from them, not the pairs, whose number grows with the square of a group.
+* What is left is decided by the sets themselves, each text cut into shingles once.  With hubs,
+  sets travel to the partner that most pairs have in common; else they travel to their
+  parts, which join components as they find links and give one link for each join.
 
 Equal sets are one class from the start, and classes are joined, not documents.
 Links make components by alternating stars (large and small), in as many rounds
@@ -74,11 +77,17 @@ TURN_ROWS, ROWS_SHARE, TURN_SHINGLES, SHINGLES_SHARE = 1 << 20, 0.05, 1 << 22, 0
 PICKED = 1 << 20
 #: Regions up to FEW rows are compared together, as many as have ROWS rows.
 FEW, ROWS = 8, 1 << 15
-#: Partners of one set that a task verifies.
-PARTNERS = 256
+#: Partners of one set that a task verifies, and shingles of the sets of a part that a task holds (of a pair of blocks: twice as many or so).
+PARTNERS, HELD = 256, 1 << 21
 SKETCH = 512
 _LOW = np.uint64((1 << 56) - 1)
 BITS = [f"s{k}" for k in range(SKETCH // 64)]
+#: The least regions that a set shares with others; a row of a part has them beside its own region p.
+FIRST = [f"q{k}" for k in range(4)]
+#: Columns of a set's row in a region, and in a part.
+MEMBER = ["fp", "n", "c", "p", *FIRST, *BITS]
+PART = ["key", "side", *MEMBER]
+PART_TYPES = ", ".join(f"{c} {'int' if c == 'side' else 'long'}" for c in PART)
 
 
 class _Codes(dict):
@@ -295,7 +304,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        own = {c: batch.column(c).to_numpy() for c in batch.schema.names}
+        own = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names}
         if carried:
             own = {c: np.concatenate([carried[c], x]) for c, x in own.items()}
         done = int(np.searchsorted(own["key"], own["key"][-1]))
@@ -347,27 +356,59 @@ def near_pairs(offsets: np.ndarray, size: np.ndarray, group: np.ndarray, side: n
             yield near(some[i], after[j])
 
 
+def _unmet(rows: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which rows x and y are not known to meet in a region before their own."""
+    met = np.zeros(len(x), bool)
+    for a in FIRST:
+        q = rows[a][x]
+        early = q < rows["p"][x]
+        for b in FIRST:
+            met |= early & (q == rows[b][y])
+    return ~met
+
+
+def _met(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[tuple[dict[str, np.ndarray], Iterator[tuple[np.ndarray, np.ndarray]]]]:
+    """Rows of some whole parts, and those pairs of them that sizes and sketches do not part."""
+    for rows in _runs(batches):
+        edges = np.flatnonzero(np.concatenate([[True], rows["key"][1:] != rows["key"][:-1], [True]]))
+        for lo, hi in _slices(edges):
+            own = {c: x[edges[lo] : edges[hi]] for c, x in rows.items()}
+            bits = np.stack([own[b] for b in BITS], axis=1).view(np.uint64)
+            pairs = near_pairs(edges[lo : hi + 1] - edges[lo], own["n"], own["c"], own["side"], bits, num, den)
+            yield own, ((x[new], y[new]) for x, y in pairs for new in [_unmet(own, x, y)])
+
+
+def _some(rows: dict[str, np.ndarray], keep: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(rows[c][keep]) for c in PART], names=PART)
+
+
 def _candidates(members: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b), a < b, of each part (key) that sizes and sketches do not part; parts have 2 BLOCK rows or so at most."""
+    """The rows of each part (key) that sizes and sketches do not part from all others of other components; parts have 2 BLOCK rows or so at most."""
 
     @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _runs(batches):
-            bits = np.stack([rows[b] for b in BITS], axis=1).view(np.uint64)
-            edges = np.flatnonzero(np.concatenate([[True], rows["key"][1:] != rows["key"][:-1], [True]]))
-            for lo, hi in _slices(edges):
-                own = slice(edges[lo], edges[hi])
-                fp = rows["fp"][own]
-                for x, y in near_pairs(edges[lo : hi + 1] - edges[lo], rows["n"][own], rows["c"][own], rows["side"][own], bits[own], num, den):
-                    if len(x):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(fp[x], fp[y])), pa.array(np.maximum(fp[x], fp[y]))], names=["a", "b"])
+        for rows, pairs in _met(batches, num, den):
+            keep = np.zeros(len(rows["key"]), bool)
+            for x, y in pairs:
+                keep[x] = keep[y] = True
+            if keep.any():
+                yield _some(rows, keep)
+
+    return members.select(*PART).repartition("key").sortWithinPartitions("key").mapInArrow(run, PART_TYPES)
 
-    parts = members.select("key", "fp", "n", "c", "side", *BITS).repartition("key").sortWithinPartitions("key")
-    return parts.mapInArrow(run, "a long, b long").where("a <> b").distinct()
+
+def _in_blocks(rows: DataFrame) -> DataFrame:
+    """Rows of parts whose sets have more than HELD shingles dealt into pairs of blocks that have so many."""
+    sizes = rows.groupBy("key").agg(F.ceil(F.sum("n") / HELD).cast("int").alias("blocks"))
+    rows = rows.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64(F.lit("block"), "fp"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    key = F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("own", "k"), F.greatest("own", "k")))
+    side = F.when((F.col("side") < 2) | (F.col("own") == F.col("k")), F.col("side")).when(F.col("own") < F.col("k"), 0).otherwise(1)
+    return rows.select(key.alias("key"), side.cast("int").alias("side"), *MEMBER)
 
 
 def _cut(large: DataFrame, level: int, num: int, den: int) -> DataFrame:
-    """Rows (key, parent, fp, n, c, bits) of large regions (parent), copied into the Voronoi regions and rings of their own pivots."""
+    """Rows (key, parent, MEMBER) of large regions (parent), copied into the Voronoi regions and rings of their own pivots."""
     groups = large.groupBy("key", "c").agg(F.count("*").alias("g"), F.min(F.struct(F.xxhash64("fp", F.lit(level)).alias("h"), *BITS)).alias("own"))
     place = Window.partitionBy("key").orderBy(F.col("g").desc(), "own.h")
     first = groups.withColumn("r", F.row_number().over(place)).where(F.col("r") <= CENTRES)
@@ -396,11 +437,11 @@ def _cut(large: DataFrame, level: int, num: int, den: int) -> DataFrame:
             times = high - low + 1
             row, cells, rings = np.repeat(of[at], times), np.repeat(cell[at], times), ranges(low, times)
             key = mix(batch.column("key").to_numpy()[row].view(np.uint64) + mix((np.uint64(level + 1) << np.uint64(40)) + (cells.astype(np.uint64) << np.uint64(20)) + rings.astype(np.uint64)))
-            rest = batch.select(["key", "fp", "n", "c", *BITS]).take(pa.array(row))
+            rest = batch.select(["key", *MEMBER]).take(pa.array(row))
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *rest.columns], names=["key", "parent", *rest.schema.names[1:]])
 
-    joined = large.select("key", "fp", "n", "c", *BITS).join(centres, "key")
-    return joined.mapInArrow(run, "key long, parent long, fp long, n long, c long, " + ", ".join(f"{b} long" for b in BITS))
+    joined = large.select("key", *MEMBER).join(centres, "key")
+    return joined.mapInArrow(run, "key long, parent long, " + ", ".join(f"{c} long" for c in MEMBER))
 
 
 def _sizes(rows: DataFrame, *more: str) -> DataFrame:
@@ -430,12 +471,12 @@ def _dealt(large: DataFrame, sizes: DataFrame) -> DataFrame:
     part = F.xxhash64("key", F.col("of_main") | to_main, a, b)
     # rows of a block meet in its part with itself; in a part with another block they meet that block's rows only
     side = F.when(F.col("of_main"), 0).when(to_main, 1).when(F.col("own") == other, 2).when(F.col("own") < other, 0).otherwise(1)
-    return rows.select(part.alias("key"), "fp", "n", "c", side.cast("int").alias("side"), *BITS)
+    return rows.select(part.alias("key"), side.cast("int").alias("side"), *MEMBER)
 
 
 def _parts(rows: DataFrame, scratch: Scratch, num: int, den: int) -> tuple[DataFrame, int]:
-    """Rows (key, g, fp, n, c, bits) of all regions, the large ones cut or dealt until each part (key) has 2 BLOCK rows or so at most; how many."""
-    columns = ["key", "fp", "n", "c", *BITS]
+    """Rows (key, g, MEMBER) of all regions, the large ones cut or dealt until each part (key) has 2 BLOCK rows or so at most; how many."""
+    columns = ["key", *MEMBER]
     whole = F.lit(2).alias("side")
     done = [rows.where(F.col("g") <= BLOCK).select(*columns, whole)]
     amount = done[0].count()
@@ -489,7 +530,7 @@ def _merged(star: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
 
 def _linked(pairs: DataFrame, source: DataFrame, sets: DataFrame, scratch: Scratch, n: int, num: int, den: int, turn: float) -> DataFrame:
     """The pairs (hub, fp) whose sets are alike. Wide sketches leave little to decide; then each hub's set goes once to
-    every PARTNERS of its partners. Both in turns that take so many shingles or so, a wide sketch as much as an eighth of its set."""
+    every PARTNERS of its partners (hubs are few for each set, so pairs are). Both in turns that take so many shingles or so, a wide sketch as much as an eighth of its set."""
     sized = sets.select("fp", "n")
 
     def ends(some: DataFrame) -> DataFrame:
@@ -558,6 +599,68 @@ def _alike(pairs: DataFrame, source: DataFrame, sets: DataFrame, scratch: Scratc
     return found
 
 
+def _joined(near: DataFrame, source: DataFrame, sets: DataFrame, scratch: Scratch, n: int, num: int, den: int, turn: float) -> DataFrame:
+    """Links (a, b) that join all components which links within the parts join, one for each join of a part. Wide sketches, then
+    whole sets go to each row of a part that is left, in turns as above."""
+
+    def turns(rows: DataFrame, shingles: int) -> list[DataFrame]:
+        count = max(1, -int(-shingles // turn))
+        return [rows.where(F.pmod(F.xxhash64("key"), F.lit(count)) == k) for k in range(count)]
+
+    def dealt(rows: DataFrame, bodies: DataFrame) -> DataFrame:
+        return rows.select(*PART).join(bodies, "fp").repartition("key").sortWithinPartitions("key")
+
+    @releasing
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, pairs in _met(batches, num, den):
+            cells = [np.frombuffer(x, np.uint8) for x in rows["wide"]]
+            keep = bytearray(len(cells))
+            for x, y in pairs:
+                most = _apart(rows["n"][x], rows["n"][y], num, den)
+                for i, j, d in zip(x.tolist(), y.tolist(), most.tolist()):
+                    if not (keep[i] and keep[j]) and _wide_apart(cells[i], cells[j]) <= d:
+                        keep[i] = keep[j] = 1
+            yield _some(rows, np.frombuffer(keep, bool))
+
+    @releasing
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, pairs in _met(batches, num, den):
+            own = [np.frombuffer(x, np.uint64) for x in rows["tokens"]]
+            label, root = np.unique(rows["c"], return_inverse=True)[1].tolist(), list(range(len(own)))
+
+            def find(k: int) -> int:
+                while root[k] != k:
+                    root[k] = root[root[k]]
+                    k = root[k]
+                return k
+
+            x_, y_ = [], []
+            for x, y in pairs:
+                for i, j in zip(x.tolist(), y.tolist()):
+                    a, b = find(label[i]), find(label[j])
+                    if a != b:
+                        at = np.minimum(np.searchsorted(own[i], own[j]), len(own[i]) - 1)
+                        both = int((own[i][at] == own[j]).sum())
+                        if den * both >= num * (len(own[i]) + len(own[j]) - both):
+                            root[a] = b
+                            x_.append(i)
+                            y_.append(j)
+            yield pa.RecordBatch.from_arrays([pa.array(rows["fp"][np.array(k, np.int64)]) for k in (x_, y_)], names=["a", "b"])
+
+    wide = _bodies(source, sets, near.select("fp").distinct(), scratch, n, wide=True)
+    left = [scratch.keep(dealt(x, wide.select("fp", "wide")).mapInArrow(close, PART_TYPES)) for x in turns(near, _sum(near, "n") // 8)]
+    scratch.drop(wide)
+    blocks = scratch.keep(_in_blocks(reduce(DataFrame.unionByName, left)))
+    scratch.drop(*left)
+    found = []
+    for some in turns(blocks, _sum(blocks, "n")):
+        bodies = _bodies(source, sets, some.select("fp").distinct(), scratch, n)
+        found.append(scratch.keep(dealt(some, bodies).mapInArrow(join, "a long, b long")))
+        scratch.drop(bodies)
+    scratch.drop(blocks)
+    return reduce(DataFrame.unionByName, found)
+
+
 def _sets(source: DataFrame, scratch: Scratch, n: int, num: int, den: int, part: str) -> tuple[DataFrame, DataFrame]:
     """(doc_id, id, n_shingles and fp of each document; the distinct sets of those that meet the condition: fp, id, n, head, bits)."""
     known = scratch.keep(_classes(source, n, num, den))
@@ -613,20 +716,19 @@ def clusters(source: DataFrame, sets: DataFrame, scratch: Scratch, n: int, num:
         linked = _linked(pairs, source, sets, own, n, num, den, turn)
         star = scratch.keep(_merged(star, linked, own))
         own.clear()
-    rows = scratch.keep(labelled(first))
+    least = first.groupBy("fp").agg(F.sort_array(F.collect_list("pivot")).alias("r"))
+    least = least.select("fp", *(F.coalesce(F.get("r", F.lit(k)), F.lit((1 << 63) - 1)).alias(q) for k, q in enumerate(FIRST)))
+    rows = scratch.keep(labelled(first).withColumn("p", F.col("key")).join(least, "fp"))
     scratch.drop(first)
     parts, amount = _parts(rows, own, num, den)
     turns = max(1, -int(-amount // max(TURN_ROWS, ROWS_SHARE * shingles)))
     some = (parts.where(F.pmod(F.xxhash64("key"), F.lit(turns)) == k) for k in range(turns))
-    some = [scratch.keep(_candidates(x, num, den).select(F.col("a").alias("hub"), F.col("b").alias("fp"))) for x in some]
-    pairs = reduce(DataFrame.unionByName, some)
+    some = [scratch.keep(_candidates(x, num, den)) for x in some]
     own.clear()
     scratch.drop(rows)
-    if turns > 1:
-        pairs = scratch.keep(pairs.distinct())
-        scratch.drop(*some)
     scratch.collect()
-    found = _linked(pairs, source, sets, scratch, n, num, den, turn)
+    found = _joined(reduce(DataFrame.unionByName, some), source, sets, scratch, n, num, den, turn)
+    scratch.drop(*some)
     return _merged(star, found, scratch).withColumnRenamed("label", "component")
 
 

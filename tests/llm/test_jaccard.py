@@ -231,3 +231,33 @@ def test_turns_lose_nothing(spark, monkeypatch):
         monkeypatch.setattr(jaccard, name, value)
     rows = crowd(random.Random(13), 150, 50, 9)
     assert got(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)) == components_of(rows)
+
+
+def test_rows_of_candidates_grow_with_a_group_not_with_its_square(spark, monkeypatch):
+    """What parts hand on, and what joins take: no row for each pair, nor for each region that a pair shares."""
+    made, joined = [], []
+    candidates, merged = jaccard._candidates, jaccard._merged
+
+    def watched(members, num, den):
+        found = candidates(members, num, den)
+        made.append(found.count())
+        return found
+
+    def watched_links(star, found, scratch):
+        joined.append(found.count())
+        return merged(star, found, scratch)
+
+    monkeypatch.setattr(jaccard, "_candidates", watched)
+    monkeypatch.setattr(jaccard, "_merged", watched_links)
+    for copies in (125, 500):
+        rows = crowd(random.Random(14), copies, 0, 8)
+        assert got(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)) == components_of(rows)
+    assert made[1] <= 6 * made[0] and joined[1] <= 6 * joined[0]
+    assert made[1] <= 3 * 500
+
+
+def test_parts_of_many_shingles_are_held_in_blocks(spark, monkeypatch):
+    for name, value in (("BLOCK", 64), ("HELD", 800), ("TURN_SHINGLES", 9000), ("SHINGLES_SHARE", 0)):
+        monkeypatch.setattr(jaccard, name, value)
+    rows = crowd(random.Random(15), 150, 50, 9)
+    assert got(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)) == components_of(rows)
