@@ -109,7 +109,7 @@ class Compiler:
         extent = Extent.around(box, self._width)
         if table == "nodes":
             return df.where(extent.contains(F.col("cell_x"), F.col("cell_y")) & F.col("lon").between(box.min_lon, box.max_lon) & F.col("lat").between(box.min_lat, box.max_lat))
-        return df.where(intersects(box)).where(extent.has_any(F.col("cells")))
+        return self._catalog.marked(table, extent).where(intersects(box)).where("within").drop("within")
 
     def statement(self, statement: Statement, multiplicity: str = "object") -> DataFrame:
         """multiplicity: 'object' gives each object once, 'per_cell' once for each of its cells in the box."""

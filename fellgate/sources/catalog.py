@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fellgate.functions.geometry import intersects
+from fellgate.functions.geometry import Extent, intersects
 from fellgate.lang.syntax import Bbox
 
 TAGS = T.MapType(T.StringType(), T.StringType())
@@ -52,6 +52,10 @@ class Catalog:
     def table(self, name: str) -> DataFrame:
         return getattr(self, name)
 
+    def marked(self, name: str, extent: Extent) -> DataFrame:
+        """Ways or relations with a column within: does a cell of theirs lie in extent?"""
+        return self.table(name).withColumn("within", extent.has_any(F.col("cells")))
+
     def edges(self, context: str, to: str, box: Bbox | None = None) -> DataFrame:
         """(ctx_id, target_id) from a table's objects to related ones; to: the word of the language.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fellgate.functions.geometry import CELL, bounds, cell
+from fellgate.functions.geometry import CELL, Extent, bounds, cell
 from fellgate.sources.catalog import Catalog
 from fellgate.sources.shared import shared_folder
 
@@ -31,38 +31,56 @@ def locate_ways(ways: DataFrame, way_nodes: DataFrame, nodes: DataFrame, width:
     return ways.join(found, "id").select("id", "tags", "nodes", *_BOUND, cells.alias("cells"))
 
 
-def _extent(rows: DataFrame) -> DataFrame:
-    """rel_id with bound and cells, from rows (rel_id, bound, x, y): distinct cells first, so that no list has repeats."""
-    by_cell = rows.groupBy("rel_id", "x", "y").agg(*(f(c).alias(c) for c, f in zip(_BOUND, (F.min, F.min, F.max, F.max))))
-    return by_cell.groupBy("rel_id").agg(*(f(c).alias(c) for c, f in zip(_BOUND, (F.min, F.min, F.max, F.max))), F.array_sort(F.collect_list(F.struct("x", "y"))).alias("cells"))
+def _ancestors(rel_rels: DataFrame, depth: int | None) -> DataFrame:
+    """Pairs (above_id, rel_id): rel_id stands up to depth levels below above_id, or (None) at any level, in cycles too."""
+    pairs = found = rel_rels.where("parent_id IS NOT NULL AND child_id IS NOT NULL").select(F.col("parent_id").alias("above_id"), F.col("child_id").alias("rel_id"))
 
+    def further(first: DataFrame, then: DataFrame) -> DataFrame:
+        below = then.select(F.col("above_id").alias("mid_id"), F.col("rel_id").alias("low_id"))
+        return first.join(below, first["rel_id"] == below["mid_id"]).select("above_id", F.col("low_id").alias("rel_id"))
 
-def locate_relations(relations: DataFrame, catalog: Catalog, depth: int | None = None) -> DataFrame:
+    if depth is not None:
+        for _ in range(depth - 1):
+            found = pairs.unionByName(further(found, pairs))
+        return found.distinct() if depth else found.where(F.lit(False))
+    _checkpoints(rel_rels.sparkSession)
+    found, before = found.distinct().checkpoint(), None
+    while (size := found.count()) != before:  # each round doubles the levels
+        found, before = found.unionByName(further(found, found)).distinct().checkpoint(), size
+    return found
+
+
+def _with_inner(own: DataFrame, above: DataFrame, *columns: str) -> DataFrame:
+    """Rows of own, and once more for each relation above the one that they belong to."""
+    return own.select("rel_id", *columns).unionByName(own.join(above, "rel_id").select(F.col("above_id").alias("rel_id"), *columns))
+
+
+def locate_relations(relations: DataFrame, catalog: Catalog, depth: int | None = None, extent: Extent | None = None) -> DataFrame:
     """relations (id, tags) with bound and cells over all members, child relations included.
 
-    Children's extents flow to parents level by level; depth None goes on until nothing changes, which also ends
-    on cycles, as bounds and cells only grow within those of the members.  Relations without a place are left out.
+    A relation takes the places of all that stand below it, depth levels or (None) as many as there are; the pairs of ids
+    alone decide which, so that places are found once.  Relations without a place are left out.  The list of cells is joined
+    to the left, which Spark leaves out of plans that do not read it.  extent: adds what Catalog.marked says.
     """
-    nodes = catalog.rel_nodes.join(catalog.nodes.select(F.col("id").alias("node_id"), "lon", "lat", F.col("cell_x").alias("x"), F.col("cell_y").alias("y")), "node_id")
-    nodes = nodes.select("rel_id", F.col("lon").alias("min_lon"), F.col("lat").alias("min_lat"), F.col("lon").alias("max_lon"), F.col("lat").alias("max_lat"), "x", "y")
-    ways = catalog.rel_ways.join(catalog.ways.select(F.col("id").alias("way_id"), *_BOUND, F.explode("cells").alias("c")), "way_id").select("rel_id", *_BOUND, "c.x", "c.y")
-    own = nodes.unionByName(ways)
-    extent = _extent(own)
-    level, before = 0, None
-    if depth is None:
-        _checkpoints(relations.sparkSession)
-    while depth is None or level < depth:
-        inner = catalog.rel_rels.join(extent.withColumnRenamed("rel_id", "child_id"), "child_id")
-        inner = inner.select(F.col("parent_id").alias("rel_id"), *_BOUND, F.explode("cells").alias("c")).select("rel_id", *_BOUND, "c.x", "c.y")
-        extent = _extent(own.unionByName(inner))
-        level += 1
-        if depth is None:
-            extent = extent.checkpoint()  # each round reads the one before
-            size = extent.agg(F.count("*"), F.sum(F.size("cells")), F.sum(F.xxhash64("rel_id", *_BOUND).cast("decimal(38,0)"))).first()
-            if size == before:
-                break
-            before = size
-    return relations.join(extent.withColumnRenamed("rel_id", "id"), "id").select("id", "tags", *_BOUND, "cells")
+    above = _ancestors(catalog.rel_rels, depth)
+    to_nodes = catalog.edges("relations", "nodes").select(F.col("ctx_id").alias("rel_id"), F.col("target_id").alias("node_id"))
+    nodes = to_nodes.join(catalog.nodes.select(F.col("id").alias("node_id"), "lon", "lat", F.col("cell_x").alias("x"), F.col("cell_y").alias("y")), "node_id")
+    ways = catalog.marked("ways", extent) if extent else catalog.ways
+    ways = catalog.rel_ways.join(ways.withColumnRenamed("id", "way_id"), "way_id")
+
+    # of each relation first, as few have others above them or below
+    found = {c: f for c, f in zip(_BOUND, (F.min, F.min, F.max, F.max))} | ({"within": F.max} if extent else {})
+    point = dict(zip(_BOUND, ("lon", "lat", "lon", "lat")))
+    inside = [extent.contains(F.col("x"), F.col("y")).alias("within")] if extent else []
+    own = nodes.select("rel_id", *(F.col(v).alias(k) for k, v in point.items()), *inside).unionByName(ways.select("rel_id", *found))
+    own = own.where("rel_id IS NOT NULL").groupBy("rel_id").agg(*(f(c).alias(c) for c, f in found.items()))
+    bound = _with_inner(own, above, *found).groupBy("rel_id").agg(*(f(c).alias(c) for c, f in found.items()))
+
+    inner = ways.select("rel_id", F.explode("cells").alias("c")).select("rel_id", "c.x", "c.y")
+    cells = nodes.select("rel_id", "x", "y").unionByName(inner).where("rel_id IS NOT NULL").repartition("rel_id").distinct()
+    cells = _with_inner(cells, above, "x", "y").distinct().groupBy("rel_id").agg(F.sort_array(F.collect_list(F.struct("x", "y"))).alias("cells"))
+    placed = relations.join(bound.withColumnRenamed("rel_id", "id"), "id").join(cells.withColumnRenamed("rel_id", "id"), "id", "left")
+    return placed.select("id", "tags", *_BOUND, "cells", *(["within"] if extent else []))
 
 
 def build(nodes: DataFrame, ways: DataFrame, way_nodes: DataFrame, relations: DataFrame, rel_nodes: DataFrame, rel_ways: DataFrame, rel_rels: DataFrame, width: float = CELL, precision: str = "float64", depth: int | None = None, keep: Callable[[str, DataFrame], DataFrame] = lambda name, df: df) -> Catalog:

@@ -11,9 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fellgate.functions.geometry import bounds, cell
+from fellgate.functions.geometry import Extent, bounds, cell
+from fellgate.lang.syntax import Bbox
 from fellgate.sources import importer
-from fellgate.sources.catalog import Catalog
+from fellgate.sources.catalog import EDGES, Catalog
 
 REGION, NATION, SUPPLIER, CUSTOMER = 1, 100, 1000, 1_000_000
 
@@ -30,7 +31,7 @@ def _tags(**values: Column) -> Column:
 class _OnDemand(Catalog):
     """A catalog that builds each table when it is first asked for: a statement plans only what it reads."""
 
-    def __init__(self, makers: dict[str, Callable[[Catalog], DataFrame]]) -> None:
+    def __init__(self, makers: dict[str, Callable[..., DataFrame]]) -> None:
         object.__setattr__(self, "_makers", makers)
         object.__setattr__(self, "placed", {})
 
@@ -41,6 +42,15 @@ class _OnDemand(Catalog):
         object.__setattr__(self, name, makers[name](self))
         return object.__getattribute__(self, name)
 
+    def marked(self, name: str, extent: Extent) -> DataFrame:
+        return self._makers[name](self, extent)
+
+    def edges(self, context: str, to: str, box: Bbox | None = None) -> DataFrame:
+        if EDGES[context, to][0] != "rel_nodes":
+            return super().edges(context, to, box)
+        _, a, b = EDGES[context, to]
+        return self.supplied.select(F.col(a).alias("ctx_id"), F.col(b).alias("target_id"))
+
 
 def catalog(spark: SparkSession, sf_dir: str, depth: int | None = 2) -> Catalog:
     """depth: levels of child relations; these tables have two, so None (as many as there are) gives the same."""
@@ -50,10 +60,11 @@ def catalog(spark: SparkSession, sf_dir: str, depth: int | None = 2) -> Catalog:
 
     makers = {
         "nodes": lambda c: _nodes(read("part")),
-        "ways": lambda c: _ways(read("orders"), read("lineitem")),
-        "relations": lambda c: importer.locate_relations(_relations(read("region"), read("nation"), read("supplier"), read("customer")), c, depth=depth),
+        "ways": lambda c, extent=None: _ways(read("orders"), read("lineitem"), extent),
+        "relations": lambda c, extent=None: importer.locate_relations(_relations(read("region"), read("nation"), read("supplier"), read("customer")), c, depth, extent),
         "way_nodes": lambda c: read("lineitem").select(F.col("l_orderkey").alias("way_id"), F.col("l_linenumber").alias("pos"), F.col("l_partkey").alias("node_id")),
-        "rel_nodes": lambda c: read("lineitem").select((F.col("l_suppkey") + SUPPLIER).alias("rel_id"), F.col("l_partkey").alias("node_id")).distinct(),
+        "supplied": lambda c: read("lineitem").select((F.col("l_suppkey") + SUPPLIER).alias("rel_id"), F.col("l_partkey").alias("node_id")),
+        "rel_nodes": lambda c: c.supplied.distinct(),
         "rel_ways": lambda c: read("orders").select((F.col("o_custkey") + CUSTOMER).alias("rel_id"), F.col("o_orderkey").alias("way_id")),
         "rel_rels": lambda c: _children(read("nation"), read("supplier"), read("customer")),
     }
@@ -67,15 +78,20 @@ def _nodes(part: DataFrame) -> DataFrame:
     return importer.locate_nodes(part.select(F.col("p_partkey").alias("id"), lon.alias("lon"), lat.alias("lat"), _tags(type=F.col("p_type"), size=size, name=F.col("p_name"), brand=F.col("p_brand"), width=width).alias("tags")))
 
 
-def _ways(orders: DataFrame, lines: DataFrame) -> DataFrame:
+def _ways(orders: DataFrame, lines: DataFrame, extent: Extent | None = None) -> DataFrame:
+    """Bounds are found apart from the lists of nodes and cells, which are joined to the left: Spark leaves them out of plans that do not read them."""
+    lines = lines.select(F.col("l_orderkey").alias("id"), "l_partkey", "l_linenumber").where("id IS NOT NULL")
     lon, lat = _place(F.col("l_partkey"))
-    placed = lines.select("l_orderkey", "l_partkey", "l_linenumber", "l_suppkey", lon.alias("lon"), lat.alias("lat"))
-    inner = F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "lon", "lat")))
-    lists = placed.groupBy(F.col("l_orderkey").alias("id")).agg(inner.alias("n"), *bounds(F.col("lon"), F.col("lat")))
-    cells = F.array_distinct(F.transform("n", lambda x: F.struct(cell(x["lon"]).alias("x"), cell(x["lat"]).alias("y"))))
+    within = [F.max(extent.contains(cell(F.col("lon")), cell(F.col("lat")))).alias("within")] if extent else []
+    placed = lines.repartition("id").select("id", lon.alias("lon"), lat.alias("lat"))
+    bound = placed.groupBy("id").agg(*bounds(F.col("lon"), F.col("lat")), *within)
+    lists = lines.repartition("id").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("n"))
+    nodes = F.transform("n", lambda x: F.struct(x["l_partkey"].alias("id"), *(c.alias(k) for k, c in zip(("lon", "lat"), _place(x["l_partkey"])))))
+    lists = lists.select("id", nodes.alias("nodes"))
+    lists = lists.select("id", "nodes", F.array_distinct(F.transform("nodes", lambda x: F.struct(cell(x["lon"]).alias("x"), cell(x["lat"]).alias("y")))).alias("cells"))
     tags = _tags(status=F.col("o_orderstatus"), priority=F.col("o_orderpriority"), price=F.floor("o_totalprice"))
-    ways = orders.select(F.col("o_orderkey").alias("id"), tags.alias("tags")).join(lists, "id")
-    return ways.select("id", "tags", F.transform("n", lambda x: F.struct(x["l_partkey"].alias("id"), x["lon"].alias("lon"), x["lat"].alias("lat"))).alias("nodes"), "min_lon", "min_lat", "max_lon", "max_lat", cells.alias("cells"))
+    ways = orders.select(F.col("o_orderkey").alias("id"), tags.alias("tags")).join(bound, "id").join(lists, "id", "left")
+    return ways.select("id", "tags", "nodes", "min_lon", "min_lat", "max_lon", "max_lat", "cells", *(["within"] if extent else []))
 
 
 def _relations(region: DataFrame, nation: DataFrame, supplier: DataFrame, customer: DataFrame) -> DataFrame:
