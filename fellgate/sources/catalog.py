@@ -34,7 +34,8 @@ EDGES = {
 }
 #: Of these the target's bound holds the context's, so it meets whatever box the context meets.
 UPWARD = {("nodes", "ways"), ("nodes", "relations"), ("ways", "relations"), ("relations", "relations")}
-TABLES = ("nodes", "ways", "relations", "way_nodes", "rel_nodes", "rel_ways", "rel_rels")
+#: In this order each can be built from those before it.
+TABLES = ("nodes", "way_nodes", "ways", "rel_nodes", "rel_ways", "rel_rels", "relations")
 
 
 @dataclass(frozen=True)
@@ -76,9 +77,16 @@ class Catalog:
         """Parquet by table. Nodes by cell column and sorted by cell row within, objects with bounds sorted by
         them, so that a bbox prunes partitions and row groups. Edges are written for each way to go along them, with
         the bound of where it begins and sorted by it, so that a box prunes them as it does the objects."""
+        written: dict[str, DataFrame] = {}
         for name in TABLES:
-            self.write(self.table(name), name, path, partitions)
-        self.save_edges(path, partitions)
+            df = self._to_save(name, written)
+            self.write(df, name, path, partitions)
+            written[name] = self.read(df.sparkSession, name, path)
+        Catalog(**written).save_edges(path, partitions)
+
+    def _to_save(self, name: str, written: dict[str, DataFrame]) -> DataFrame:
+        """A table, built from those that are written already where it can be."""
+        return self.table(name)
 
     def save_edges(self, path: str, partitions: int | None = None) -> None:
         for context, to in EDGES:

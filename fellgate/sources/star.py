@@ -45,6 +45,9 @@ class _OnDemand(Catalog):
     def marked(self, name: str, extent: Extent) -> DataFrame:
         return self._makers[name](self, extent)
 
+    def _to_save(self, name: str, written: dict[str, DataFrame]) -> DataFrame:
+        return self._makers[name](Catalog(relations=None, **written)) if name == "relations" else self.table(name)
+
     def edges(self, context: str, to: str, box: Bbox | None = None) -> DataFrame:
         if EDGES[context, to][0] != "rel_nodes":
             return super().edges(context, to, box)

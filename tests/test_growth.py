@@ -7,6 +7,7 @@ import pytest
 
 from fellgate.functions.geometry import Extent
 from fellgate.sources import importer
+from fellgate.sources.catalog import Catalog
 
 DATA = Path("/root/testdata/sf0.001")
 #: Statements that need bounds and whether a cell lies in a box, but no list of cells or nodes.
@@ -55,3 +56,23 @@ def test_places_of_relations_at_any_depth(spark, depth):
     extent = Extent(20, 20, 60, 60)
     relations = importer.locate_relations(frame([(r, {}) for r in range(20)], f"id long, tags {tags}"), catalog, depth, extent)
     assert {r["id"]: r["within"] for r in relations.select("id", "within").collect()} == {r: any(extent.has(*c) for c in p[4]) for r, p in want.items()}
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables here")
+def test_a_save_builds_each_table_on_written_ones(spark, tmp_path, monkeypatch):
+    from fellgate.sources import star
+    from fellgate.sources.catalog import EDGES, TABLES
+
+    read, write = {}, Catalog.write
+
+    def noted(df, name, path, partitions=None):
+        read[name] = {f.split(str(tmp_path))[-1].split("/")[1] if str(tmp_path) in f else f.split("/")[-1] for f in df.inputFiles()}
+        write(df, name, path, partitions)
+
+    monkeypatch.setattr(Catalog, "write", staticmethod(noted))
+    star.catalog(spark, str(DATA)).save(str(tmp_path))
+    assert not read["relations"] & {"lineitem.parquet", "orders.parquet", "part.parquet"} and "ways" in read["relations"]
+    assert read.keys() == {*TABLES, *(f"{a}_to_{b}" for a, b in EDGES)}
+    assert all(not any(f.endswith(".parquet") for f in read[f"{a}_to_{b}"]) for a, b in EDGES)
+    loaded = Catalog.load(spark, str(tmp_path))
+    assert {r["id"] for r in loaded.relations.collect()} == {r["id"] for r in star.catalog(spark, str(DATA)).relations.select("id").collect()}
