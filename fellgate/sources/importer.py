@@ -55,12 +55,17 @@ def _with_inner(own: DataFrame, above: DataFrame, *columns: str) -> DataFrame:
     return own.select("rel_id", *columns).unionByName(own.join(above, "rel_id").select(F.col("above_id").alias("rel_id"), *columns))
 
 
+def _lists(cells: DataFrame, name: str) -> DataFrame:
+    """id and its distinct cells in order, from rows (rel_id, x, y)."""
+    return cells.distinct().groupBy(F.col("rel_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct("x", "y"))).alias(name))
+
+
 def locate_relations(relations: DataFrame, catalog: Catalog, depth: int | None = None, extent: Extent | None = None) -> DataFrame:
     """relations (id, tags) with bound and cells over all members, child relations included.
 
     A relation takes the places of all that stand below it, depth levels or (None) as many as there are; the pairs of ids
-    alone decide which, so that places are found once.  Relations without a place are left out.  The list of cells is joined
-    to the left, which Spark leaves out of plans that do not read it.  extent: adds what Catalog.marked says.
+    alone decide which, so that places are found once.  Relations without a place are left out.  Lists of cells are joined to
+    the left, which Spark leaves out of plans that do not read them.  extent: adds what Catalog.marked says.
     """
     above = _ancestors(catalog.rel_rels, depth)
     to_nodes = catalog.edges("relations", "nodes").select(F.col("ctx_id").alias("rel_id"), F.col("target_id").alias("node_id"))
@@ -77,10 +82,11 @@ def locate_relations(relations: DataFrame, catalog: Catalog, depth: int | None =
     bound = _with_inner(own, above, *found).groupBy("rel_id").agg(*(f(c).alias(c) for c, f in found.items()))
 
     inner = ways.select("rel_id", F.explode("cells").alias("c")).select("rel_id", "c.x", "c.y")
-    cells = nodes.select("rel_id", "x", "y").unionByName(inner).where("rel_id IS NOT NULL").repartition("rel_id").distinct()
-    cells = _with_inner(cells, above, "x", "y").distinct().groupBy("rel_id").agg(F.sort_array(F.collect_list(F.struct("x", "y"))).alias("cells"))
-    placed = relations.join(bound.withColumnRenamed("rel_id", "id"), "id").join(cells.withColumnRenamed("rel_id", "id"), "id", "left")
-    return placed.select("id", "tags", *_BOUND, "cells", *(["within"] if extent else []))
+    cells = nodes.select("rel_id", "x", "y").unionByName(inner).where("rel_id IS NOT NULL").repartition("rel_id")
+    below = cells.join(above, "rel_id").select(F.col("above_id").alias("rel_id"), "x", "y")
+    placed = relations.join(bound.withColumnRenamed("rel_id", "id"), "id").join(_lists(cells, "own"), "id", "left").join(_lists(below, "below"), "id", "left")
+    both = F.when(F.col("below").isNull(), F.col("own")).when(F.col("own").isNull(), F.col("below")).otherwise(F.sort_array(F.array_union("own", "below")))
+    return placed.select("id", "tags", *_BOUND, both.alias("cells"), *(["within"] if extent else []))
 
 
 def build(nodes: DataFrame, ways: DataFrame, way_nodes: DataFrame, relations: DataFrame, rel_nodes: DataFrame, rel_ways: DataFrame, rel_rels: DataFrame, width: float = CELL, precision: str = "float64", depth: int | None = None, keep: Callable[[str, DataFrame], DataFrame] = lambda name, df: df) -> Catalog:
