@@ -11,7 +11,10 @@ from fellgate.sources.catalog import Catalog
 
 DATA = Path("/root/testdata/sf0.001")
 #: Statements that need bounds and whether a cell lies in a box, but no list of cells or nodes.
-LEAN = ("key_absent", "relation_bbox")
+LEAN = (
+    "key_absent", "relation_bbox", "validate", "relations_open_depth", "relation_children", "node_relations", "way_relations", "relation_ways", "relation_parents", "or_sub", "relation_nodes",
+    "geojson_polygons", "cmp_negative", "key_present", "nested_sub",
+)
 
 
 def _plan(spark, name):
